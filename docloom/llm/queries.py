@@ -5,14 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltext, packing, topk, warc
-from .common import new_folder
+from . import htmltext, langid, packing, simhash, topk, warc
+from .common import held_out_sql, new_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    filters = langid.fit(docs.where(f"NOT coalesce({held_out_sql()}, false)"))
+    found = docs.withColumn("found", langid.language(docs, filters))
+    return found.select("doc_id", F.expr(held_out_sql()).alias("held_out"), F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"))
+
+
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"))
 
@@ -32,7 +43,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op6_topk, op7_html, op8_packing, op9_warc)}
+QUERIES = {f.__name__: f for f in (op1_langid, op2_simhash, op6_topk, op7_html, op8_packing, op9_warc)}
 
 ORACLES = {
     "op6_topk": """
