@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltext, langid, packing, simhash, topk, warc
+from . import htmltext, langid, packing, rules, simhash, topk, warc
 from .common import held_out_sql, new_folder
 
 
@@ -24,6 +24,18 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of documents labelled as of good quality, less those held out."""
+    return _table(spark, sf_dir, "labels").where(f"quality = 1 AND NOT {held_out_sql()}").select("doc_id")
+
+
+def op4_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = rules.ratios(docs, trusted(spark, sf_dir))
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+    return docs.withColumn("v", rules.verdict(docs, model)).select("doc_id", *[F.col(f"v.{n}").alias(n) for n in names])
+
+
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"))
 
@@ -43,7 +55,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_simhash, op6_topk, op7_html, op8_packing, op9_warc)}
+QUERIES = {f.__name__: f for f in (op1_langid, op2_simhash, op4_rules, op6_topk, op7_html, op8_packing, op9_warc)}
 
 ORACLES = {
     "op6_topk": """
