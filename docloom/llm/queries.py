@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltext, langid, packing, rules, simhash, topk, warc
+from . import htmltext, langid, packing, quality, rules, simhash, topk, warc
 from .common import held_out_sql, new_folder
 
 
@@ -36,6 +36,18 @@ def op4_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.withColumn("v", rules.verdict(docs, model)).select("doc_id", *[F.col(f"v.{n}").alias(n) for n in names])
 
 
+PREDICTED_FROM = 0.7
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    labels = _table(spark, sf_dir, "labels").where(f"NOT {held_out_sql()}").select("doc_id", F.col("quality").alias("label"))
+    vectors = quality.word_vectors(docs)
+    network = quality.fit(docs, labels, vectors)
+    scored = docs.select("doc_id", F.expr(held_out_sql()).alias("held_out"), quality.score(docs, vectors, network).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= PREDICTED_FROM).cast("int"))
+
+
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"))
 
@@ -55,7 +67,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_simhash, op4_rules, op6_topk, op7_html, op8_packing, op9_warc)}
+QUERIES = {f.__name__: f for f in (op1_langid, op2_simhash, op4_rules, op5_quality, op6_topk, op7_html, op8_packing, op9_warc)}
 
 ORACLES = {
     "op6_topk": """
