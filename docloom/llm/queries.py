@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltext, langid, packing, quality, rules, simhash, topk, warc
+from . import htmltext, langid, packing, quality, rules, simhash, spm, topk, warc
 from .common import held_out_sql, new_folder
 
 
@@ -36,6 +36,13 @@ def op4_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.withColumn("v", rules.verdict(docs, model)).select("doc_id", *[F.col(f"v.{n}").alias(n) for n in names])
 
 
+def op10_spm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = spm.piece_model()
+    found = _table(spark, sf_dir, "documents").select("doc_id", "text", spm.encode(F.col("text"), path).alias("found"))
+    ids = F.col("found.ids")
+    return found.select("doc_id", F.size(ids).cast("long").alias("n_ids"), spm.ids_crc32(ids).alias("ids_crc32"), F.col("found.agrees").alias("agrees"), (spm.decode(ids, path) == F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
 PREDICTED_FROM = 0.7
 
 
@@ -67,7 +74,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_simhash, op4_rules, op5_quality, op6_topk, op7_html, op8_packing, op9_warc)}
+QUERIES = {f.__name__: f for f in (op1_langid, op2_simhash, op4_rules, op5_quality, op6_topk, op7_html, op8_packing, op9_warc, op10_spm)}
 
 ORACLES = {
     "op6_topk": """
