@@ -26,16 +26,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 CAPACITY, END_ID = 4096, 2
 #: Remainders that a task packs together.
 WAITING = 20_000
-MEMO_WORDS = 400_000
-CHUNK = re.compile(r"[ \n]+")
+#: Distinct chunks that a Python worker remembers (about 250 bytes each), and characters it looks up at once.
+MEMO_WORDS, MEMO_CHARS = 1_000_000, 1 << 18
+#: A special token of the file.
+SEPARATOR = "<|endoftext|>"
+STOP = re.compile(r"([.,])(?<=[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff].)(?=[ \n]|\Z)")
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class WordMemo:
-    """Ids of texts by way of their distinct chunks; forgets all once it holds `most` chunks."""
+    """Ids of texts by way of their distinct chunks; forgets all once it holds `most` chunks.
+
+    encode: a list of distinct chunks to their ids end to end and the number of ids of each.
+    """
 
     def __init__(self, encode, most: int = MEMO_WORDS):
         self.encode, self.most = encode, most
@@ -44,32 +52,78 @@ class WordMemo:
     def clear(self) -> None:
         self.at: dict[str, int] = {}
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.starts, self.sizes = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.starts, self.sizes = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
 
     def learn(self, chunks: list[str]) -> None:
-        ids = self.encode(chunks)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        n, total = len(self.at), int(sizes.sum())
-        while n + len(ids) > len(self.starts):
+        flat, sizes = self.encode(chunks)
+        n, total = len(self.at), len(flat)
+        while n + len(chunks) > len(self.starts):
             self.starts, self.sizes = np.concatenate([self.starts, self.starts]), np.concatenate([self.sizes, self.sizes])
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, self.flat])
-        self.sizes[n : n + len(ids)] = sizes
-        self.starts[n : n + len(ids)] = self.used + np.cumsum(sizes) - sizes
-        self.flat[self.used : self.used + total] = np.fromiter((x for y in ids for x in y), np.uint32, total)
+        self.sizes[n : n + len(chunks)] = sizes
+        self.starts[n : n + len(chunks)] = self.used + np.cumsum(sizes) - sizes
+        self.flat[self.used : self.used + total] = flat
         self.used += total
         self.at.update(zip(chunks, range(n, n + len(chunks)), strict=True))
 
-    def ids(self, chunks: list[str]) -> np.ndarray:
+    def ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The chunks' ids end to end, and the number of ids of each."""
         if len(self.at) > self.most:
             self.clear()
-        fresh = [x for x in dict.fromkeys(chunks) if x not in self.at]
-        if fresh:
-            self.learn(fresh)
-        k = np.fromiter(map(self.at.__getitem__, chunks), np.int64, len(chunks))
-        sizes = self.sizes[k]
-        total = int(sizes.sum())
-        return self.flat[np.repeat(self.starts[k] - (np.cumsum(sizes) - sizes), sizes) + np.arange(total)]
+        k = list(map(self.at.get, chunks))
+        if None in k:
+            self.learn(list(dict.fromkeys(c for c, i in zip(chunks, k, strict=True) if i is None)))
+            k = list(map(self.at.__getitem__, chunks))
+        k = np.array(k, np.int64)
+        sizes = self.sizes[k].astype(np.int64)
+        return self.flat[np.repeat(self.starts[k] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))], sizes
+
+
+def plainer(text: str) -> str:
+    """A text with the same ids but fewer distinct chunks: Latin-1 texts in lower case, as the file's normaliser puts them, and a
+    full stop or comma that closes a word of letters set off, as its pre-tokenizer splits them."""
+    if "<|" in text:
+        return text
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+    return STOP.sub(r" \1", text.lower())
+
+
+def texts_ids(memo: WordMemo, texts: list[str | None], plain=plainer, most: int = MEMO_CHARS):
+    """The ids of each text in turn, looked up for `most` characters at a time."""
+    texts = [plain(x or "") for x in texts]
+    for a, b in slices([len(x) for x in texts], most):
+        chunks = [x.replace("\n", " ").split(" ") for x in texts[a:b]]
+        flat, sizes = memo.ids([c for own in chunks for c in own])
+        ends = np.cumsum(sizes)[np.cumsum([len(own) for own in chunks]) - 1]
+        yield from np.split(flat, ends[:-1])
+
+
+def separated(tokenizer, separator: str):
+    """encode for WordMemo: chunks laid end to end with a special token between, whose id shows where each ends."""
+    mark = tokenizer.token_to_id(separator)
+
+    def encode(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        odd = [i for i, c in enumerate(chunks) if "<|" in c]
+        texts = [separator.join(["" if i in set(odd) else c for i, c in enumerate(chunks[at : at + 256], at)]) if odd else separator.join(chunks[at : at + 256]) for at in range(0, len(chunks), 256)]
+        found = [np.array([*e.ids, mark], np.uint32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        flat = np.concatenate(found)
+        ends = np.flatnonzero(flat == mark)
+        sizes = np.diff(ends, prepend=-1) - 1
+        flat = flat[flat != mark]
+        if odd:
+            parts = np.split(flat, np.cumsum(sizes)[:-1])
+            for i in odd:
+                parts[i] = np.array(tokenizer.encode(chunks[i], add_special_tokens=False).ids, np.uint32)
+            sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+            flat = np.concatenate(parts)
+        return flat, sizes
+
+    return encode
 
 
 _memos: dict[str, WordMemo] = {}
@@ -80,8 +134,7 @@ def memo_for(path: str) -> WordMemo:
     if path not in _memos:
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        _memos[path] = WordMemo(lambda chunks: [e.ids for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)])
+        _memos[path] = WordMemo(separated(Tokenizer.from_file(path), SEPARATOR))
     return _memos[path]
 
 
@@ -189,14 +242,14 @@ def _packer(path: str, capacity: int, end_id: int, waiting: int):
             return pa.record_batch([pa.array(x, pa.int64()) for x in columns], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.append(memo.ids(CHUNK.split(text.as_py() or "")), np.uint32(end_id))
+            for doc, found in zip(batch.column(0).to_pylist(), texts_ids(memo, batch.column(1).to_pylist()), strict=True):
+                ids = np.append(found, np.uint32(end_id))
                 n = len(ids)
                 cut = n - n % capacity
                 for start in range(0, cut, capacity):
                     place([(doc, start, ids[start : start + capacity], n)])
                 if n > cut:
-                    bins.add(n - cut, (doc, cut, ids[cut:].astype(np.uint32), n))
+                    bins.add(n - cut, (doc, cut, ids[cut:].copy(), n))
                 if bins.n >= waiting:
                     flush(False)
                 if len(rows) >= 50_000:

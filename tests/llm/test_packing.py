@@ -53,10 +53,12 @@ def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), packing.word_tokenizer()).collect() == []
 
 
-def test_memo_forgets(tokenizer):
-    memo = packing.WordMemo(lambda c: [e.ids for e in tokenizer.encode_batch(c, add_special_tokens=False)], most=2)
-    for text in ("a b c d", "c d e", "", "a a a"):
-        assert memo.ids(packing.CHUNK.split(text)).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+def test_memo_equals_whole_texts(tokenizer):
+    memo = packing.WordMemo(packing.separated(tokenizer, packing.SEPARATOR), most=2)
+    texts = [*TEXTS, "a b c d", "c <|endoftext|> <|startoftext|>x d", "", "a a a", "<|", "x<|endoftext|>y", "Über. ÉA, x. !. a,. 1. 1, ×. ΑΣ. İ. <|ENDOFTEXT|> Don'T.\nX,Y, ß.\u00a0z"]
+    for most in (1, 1 << 18):
+        got = list(packing.texts_ids(memo, texts, most=most))
+        assert [x.tolist() for x in got] == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
 def test_fullest_is_best_subset():
