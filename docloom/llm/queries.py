@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltext, langid, packing, quality, rules, simhash, spm, topk, warc
+from . import htmltext, langid, packing, pii, quality, rules, simhash, spm, topk, warc
 from .common import held_out_sql, new_folder
 
 
@@ -24,6 +24,15 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.with_spans(docs, pii.fit(docs))
+    base, both = F.col("pii.base"), F.array_sort(F.concat("pii.base", "pii.added"))
+    of_kind = lambda k: lambda s: s["kind"] == k
+    counts = [F.size(F.filter(base, of_kind(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.joined(base).cast("binary"), 256).alias("base_sha256"), pii.joined(both).alias("spans"))
+
+
 def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of documents labelled as of good quality, less those held out."""
     return _table(spark, sf_dir, "labels").where(f"quality = 1 AND NOT {held_out_sql()}").select("doc_id")
@@ -74,7 +83,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_simhash, op4_rules, op5_quality, op6_topk, op7_html, op8_packing, op9_warc, op10_spm)}
+QUERIES = {f.__name__: f for f in (op1_langid, op2_simhash, op3_pii, op4_rules, op5_quality, op6_topk, op7_html, op8_packing, op9_warc, op10_spm)}
 
 ORACLES = {
     "op6_topk": """
