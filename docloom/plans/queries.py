@@ -2,5 +2,13 @@
 
 from __future__ import annotations
 
+import importlib
+
+MODULES = ("retrieval_queries", "eval_queries", "catalog_queries", "window_queries", "calc_queries", "text_queries", "table_queries", "stream_queries")
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _name in MODULES:
+    _module = importlib.import_module(f"docloom.plans.{_name}")
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
