@@ -19,7 +19,7 @@ def forward_fill(value: Column, keys: list[str], order: list[str]) -> Column:
 def change(value: Column, keys: list[str], order: list[str]) -> Column:
     """WN-03: growth in percent over the row before, one decimal; null over zero or a negative base."""
     before = F.lag(value).over(Window.partitionBy(*keys).orderBy(*order))
-    return F.when(before > 0, F.round(100 * (value - before) / before, 1))
+    return F.when(before > 0, F.round(100 * (value - before) / before, 1) + F.lit(0.0))
 
 
 def running(value: Column, keys: list[str], order: list[str], digits: int = 4) -> Column:

@@ -62,7 +62,7 @@ def jn01_pinned_join(spark, sf_dir):
     return c.where("c_acctbal > 0").join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey).select("n_name", "r_name", "c_custkey", "c_name")
 
 
-@register(f"WITH {DOCUMENTS_SQL}, ds AS (SELECT doc_id, CAST(1 + item % 3 AS INTEGER) AS version, item FROM (SELECT doc_id, unnest(range(3)) AS item FROM documents)) SELECT id, version, item FROM docs JOIN ds ON docs.id = ds.doc_id AND docs.version = ds.version")
+@register(f"WITH {DOCUMENTS_SQL}, ds AS (SELECT doc_id, CAST(1 + item % 3 AS INTEGER) AS version, item FROM (SELECT doc_id, unnest(range(3)) AS item FROM documents)) SELECT docs.id, docs.version, item FROM docs JOIN ds ON docs.id = ds.doc_id AND docs.version = ds.version")
 def jn02_versioned_join(spark, sf_dir):
     """JN-02: children meet only the version that their document is at."""
     d = documents(spark, sf_dir).select("id", "version")
