@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: A document is held out of learning if crc32 of its id (as text) leaves this remainder.
 FOLDS, HELD_OUT = 4, 2
+#: Rows of an Arrow batch that a function handles at once.
+PART_ROWS = 256
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -46,6 +48,17 @@ def encoded(texts: pa.Array) -> list[bytes]:
     return [x or b"" for x in texts.cast(pa.large_binary()).to_pylist()]
 
 
+def by_parts(run, rows: int = PART_ROWS):
+    """An Arrow function that runs over a few hundred rows at a time, so that what it holds beside a batch stays small."""
+
+    def over(values: pa.Array) -> pa.Array:
+        if len(values) <= rows:
+            return run(values)
+        return pa.concat_arrays([run(values.slice(i, rows)) for i in range(0, len(values), rows)])
+
+    return over
+
+
 def slices(sizes: list[int], most: int) -> list[tuple[int, int]]:
     """Consecutive ranges whose sizes sum to at most `most`; one larger item stands alone."""
     out, start, total = [], 0, 0

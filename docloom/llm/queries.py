@@ -46,10 +46,8 @@ def op4_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_spm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = spm.piece_model()
-    found = _table(spark, sf_dir, "documents").select("doc_id", "text", spm.encode(F.col("text"), path).alias("found"))
-    ids = F.col("found.ids")
-    return found.select("doc_id", F.size(ids).cast("long").alias("n_ids"), spm.ids_crc32(ids).alias("ids_crc32"), F.col("found.agrees").alias("agrees"), (spm.decode(ids, path) == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    found = _table(spark, sf_dir, "documents").select("doc_id", spm.checked(F.col("text"), spm.piece_model()).alias("found"))
+    return found.select("doc_id", "found.*")
 
 
 PREDICTED_FROM = 0.7

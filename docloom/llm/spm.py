@@ -26,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import by_parts, slices
 from .packing import WordMemo
 
 MARK = "▁"
 # Piece kinds and model types of the model file.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-MEMO_SEGMENTS, LOOKUP_CHARS = 1_000_000, 1 << 18
+MEMO_SEGMENTS, LOOKUP_CHARS = 300_000, 1 << 18
 SEGMENT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
@@ -149,18 +149,17 @@ class Codec:
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         self.threads = threads
         self.model = parse(data)
-        self.whole, self.part = backend(self.model), backend(self.model, whole=False)
-        self.peer = sentencepiece.SentencePieceProcessor(model_proto=data)
-        # The library's own normaliser would add a marker and drop spaces: the same pieces with an identity normaliser for segments.
-        self.peer_part = sentencepiece.SentencePieceProcessor(model_proto=without_normaliser(data))
         self.simple = self.model.separable and not self.model.charsmap and not self.model.squeeze and USER not in self.model.kinds
+        # For segments the library's own normaliser would add a marker and drop spaces, so it gets the same pieces with an identity one.
+        self.tokenizer = backend(self.model, whole=not self.simple)
+        self.peer = sentencepiece.SentencePieceProcessor(model_proto=without_normaliser(data) if self.simple else data)
         self.wrong: set[str] = set()
         self.memo = WordMemo(self._learn, MEMO_SEGMENTS)
         self.silent = np.array([k == CONTROL for k in self.model.kinds])
 
     def _learn(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [e.ids for e in self.part.encode_batch_fast(segments, add_special_tokens=False)]
-        peers = self.peer_part.encode(segments, num_threads=self.threads)
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(segments, add_special_tokens=False)]
+        peers = self.peer.encode(segments, num_threads=self.threads)
         self.wrong.update(s for s, a, b in zip(segments, ids, peers, strict=True) if a != b)
         sizes = np.array([len(x) for x in ids], np.int64)
         return np.array([x for y in ids for x in y], np.uint32), sizes
@@ -178,7 +177,7 @@ class Codec:
         texts = [t or "" for t in texts]
         for a, b in slices([len(t) for t in texts], LOOKUP_CHARS):
             if not self.simple:
-                own = [e.ids for e in self.whole.encode_batch_fast(texts[a:b], add_special_tokens=False)]
+                own = [e.ids for e in self.tokenizer.encode_batch_fast(texts[a:b], add_special_tokens=False)]
                 peers = self.peer.encode(texts[a:b], num_threads=self.threads)
                 yield from ((np.array(x, np.uint32), x == y) for x, y in zip(own, peers, strict=True))
                 continue
@@ -193,7 +192,7 @@ class Codec:
         for ids in lists:
             if len(ids) and (ids.min() < 0 or ids.max() >= len(self.silent)):
                 raise ValueError("an id isn't in the model")
-        return self.whole.decode_batch([ids[~self.silent[ids]].tolist() for ids in lists], skip_special_tokens=False)
+        return self.tokenizer.decode_batch([ids[~self.silent[ids]].tolist() for ids in lists], skip_special_tokens=False)
 
 
 def without_normaliser(data: bytes) -> bytes:
@@ -231,34 +230,30 @@ def encode(text: Column, path: str, threads: int = 1) -> Column:
         ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.uint32), *(i for i, _ in found)]).astype(np.int32)))
         return pa.StructArray.from_arrays([ids, pa.array([a for _, a in found], pa.bool_())], names=["ids", "agrees"])
 
-    return F.arrow_udf(run, "struct<ids:array<int>,agrees:boolean>")(text.cast("string"))
+    return F.arrow_udf(by_parts(run), "struct<ids:array<int>,agrees:boolean>")(text.cast("string"))
 
 
-def _rows(ids: pa.ListArray) -> Iterator[np.ndarray]:
+def _rows(ids: pa.ListArray) -> list[np.ndarray]:
     flat, ends = np.asarray(ids.values), np.asarray(ids.offsets)
-    return (flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True))
+    return [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def decode(ids: Column, path: str) -> Column:
     """Text of each list of ids."""
+    return F.arrow_udf(by_parts(lambda lists: pa.array(codec(path).decode(_rows(lists)), pa.string())), "string")(ids)
 
-    def run(lists: pa.Array) -> pa.Array:
-        own = codec(path)
-        out, rows = [], list(_rows(lists))
-        for a, b in slices([len(x) for x in rows], LOOKUP_CHARS):
-            out += own.decode(rows[a:b])
-        return pa.array(out, pa.string())
 
-    return F.arrow_udf(run, "string")(ids)
+def checked(text: Column, path: str, threads: int = 1) -> Column:
+    """struct<n_ids, ids_crc32, agrees, round_trip> of each text: encoded, compared with the other library, decoded again, all in one Python step. The checksum is over unsigned little-endian 32-bit ids."""
 
+    def run(texts: pa.Array) -> pa.Array:
+        own, values = codec(path, threads), [t or "" for t in texts.to_pylist()]
+        ids, agrees = zip(*own.encode(values), strict=True) if values else ((), ())
+        back = own.decode(list(ids))
+        columns = [pa.array([len(i) for i in ids], pa.int64()), pa.array([zlib.crc32(i.astype("<u4").tobytes()) for i in ids], pa.int64()), pa.array(agrees, pa.bool_()), pa.array([a == b for a, b in zip(values, back, strict=True)], pa.bool_())]
+        return pa.StructArray.from_arrays(columns, names=["n_ids", "ids_crc32", "agrees", "round_trip"])
 
-def ids_crc32(ids: Column) -> Column:
-    """CRC-32 of each list of ids as unsigned little-endian 32-bit integers."""
-
-    def run(lists: pa.Array) -> pa.Array:
-        return pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in _rows(lists)], pa.int64())
-
-    return F.arrow_udf(run, "long")(ids)
+    return F.arrow_udf(by_parts(run), "struct<n_ids:long,ids_crc32:long,agrees:boolean,round_trip:boolean>")(text.cast("string"))
 
 
 def piece_model() -> str:
