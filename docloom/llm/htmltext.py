@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .common import by_parts
+
 # HTML element kinds and the words by which sites name what isn't the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big br cite code del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -189,4 +191,4 @@ def _main_texts(pages: pa.Array) -> pa.Array:
 
 def main_text(html: Column) -> Column:
     """Main text of each html, never null; the other columns of the frame stay in the JVM."""
-    return F.arrow_udf(_main_texts, "string")(html.cast("string"))
+    return F.arrow_udf(by_parts(_main_texts), "string")(html.cast("string"))

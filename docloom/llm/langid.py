@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64
+from .common import PART_ROWS, by_parts, materialize, mix64
 from .ngrams import letter_bytes, sliced, sums_by
 
 MIN_RATE, RATIO = 1e-5, 0.1
@@ -53,7 +53,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         del held[lang]
         return pa.record_batch([pa.array([lang] * len(codes), pa.string()), pa.array(codes.astype(np.int64)), pa.array(counts.astype(np.int64))], names=["lang", "gram", "n"])
 
-    for batch in batches:
+    for batch in (b.slice(i, 4 * PART_ROWS) for b in batches for i in range(0, b.num_rows, 4 * PART_ROWS)):
         langs = batch.column(1).to_pylist()
         for lang in set(langs):
             texts = [letter_bytes(t.as_py()) for t, x in zip(batch.column(0), langs, strict=True) if x == lang]
@@ -157,4 +157,4 @@ def language(docs: DataFrame, filters: Filters, text: str = "text") -> Column:
         lang, score, share = predict(shared.value, texts.to_pylist())
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score), pa.array(share)], names=["lang", "score", "share"])
 
-    return F.arrow_udf(run, "struct<lang:string,score:double,share:double>")(F.col(text).cast("string"))
+    return F.arrow_udf(by_parts(run), "struct<lang:string,score:double,share:double>")(F.col(text).cast("string"))

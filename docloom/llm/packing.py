@@ -26,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import PART_ROWS, slices
 
 CAPACITY, END_ID = 4096, 2
 #: Remainders that a task packs together.
 WAITING = 20_000
 #: Distinct chunks that a Python worker remembers (about 250 bytes each), and characters it looks up at once.
-MEMO_WORDS, MEMO_CHARS = 1_000_000, 1 << 18
+MEMO_WORDS, MEMO_CHARS = 400_000, 1 << 18
 #: A special token of the file.
 SEPARATOR = "<|endoftext|>"
 STOP = re.compile(r"([.,])(?<=[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff].)(?=[ \n]|\Z)")
@@ -241,7 +241,7 @@ def _packer(path: str, capacity: int, end_id: int, waiting: int):
             rows.clear()
             return pa.record_batch([pa.array(x, pa.int64()) for x in columns], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-        for batch in batches:
+        for batch in (b.slice(i, PART_ROWS) for b in batches for i in range(0, b.num_rows, PART_ROWS)):
             for doc, found in zip(batch.column(0).to_pylist(), texts_ids(memo, batch.column(1).to_pylist()), strict=True):
                 ids = np.append(found, np.uint32(end_id))
                 n = len(ids)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, slices
+from .common import PART_ROWS, by_parts, materialize, mix64, slices
 
 BUCKETS, DIMENSIONS, NONZERO, NEIGHBOURS = 1 << 13, 32, 4, 2
 LABELLED, HIDDEN, EPOCHS, BATCH, RATE, DECAY = 20_000, 64, 120, 256, 3e-3, 1e-3
@@ -72,7 +72,7 @@ def _sliced(texts: list[str | None]):
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     places, signs = index_vectors()
     total, seen = np.zeros(BUCKETS * DIMENSIONS), np.zeros(BUCKETS, np.int64)
-    for batch in batches:
+    for batch in (b.slice(i, PART_ROWS) for b in batches for i in range(0, b.num_rows, PART_ROWS)):
         for _, t, ends in _sliced(batch.column(0).to_pylist()):
             seen += np.bincount(t, minlength=BUCKETS)
             part = np.repeat(np.arange(len(ends)), np.diff(np.concatenate([[0], ends])))
@@ -180,7 +180,7 @@ def fit_network(x: np.ndarray, y: np.ndarray, check: np.ndarray) -> Network:
 
 def _features(docs: DataFrame, vectors: np.ndarray) -> Column:
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
-    return F.arrow_udf(lambda texts: pa.array(list(pooled(shared.value, texts.to_pylist())), pa.list_(pa.float64())), "array<double>")(F.col("text").cast("string"))
+    return F.arrow_udf(by_parts(lambda texts: pa.array(list(pooled(shared.value, texts.to_pylist())), pa.list_(pa.float64()))), "array<double>")(F.col("text").cast("string"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, most: int = LABELLED) -> Network:
@@ -206,4 +206,4 @@ def score(docs: DataFrame, vectors: np.ndarray, network: Network) -> Column:
         v, net = shared.value
         return pa.array(net.probability(pooled(v, texts.to_pylist())))
 
-    return F.arrow_udf(run, "double")(F.col("text").cast("string"))
+    return F.arrow_udf(by_parts(run), "double")(F.col("text").cast("string"))

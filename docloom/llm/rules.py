@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64
+from .common import PART_ROWS, by_parts, materialize, mix64
 from .ngrams import plain_bytes, sliced, sums_by
 
 SYMBOLS = b"#*$%&|<>"
@@ -77,7 +77,7 @@ def bucket_of(codes: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
 def _counter(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, buckets), np.int64)
-        for batch in batches:
+        for batch in (b.slice(i, PART_ROWS) for b in batches for i in range(0, b.num_rows, PART_ROWS)):
             flags = np.asarray(batch.column(1).to_pylist(), dtype=bool)
             parts = [plain_bytes(t) for t in batch.column(0).to_pylist()]
             for k in (False, True):
@@ -136,4 +136,4 @@ def verdict(docs: DataFrame, model: np.ndarray, text: str = "text", threshold: f
         columns = [pa.array(m[:, i]) for i in range(5)] + [pa.array(score), pa.array(failed), pa.array(~failed & (score >= threshold))]
         return pa.StructArray.from_arrays(columns, names=[x.split(":")[0] for x in VERDICT[7:-1].split(",")])
 
-    return F.arrow_udf(run, VERDICT)(F.col(text).cast("string"))
+    return F.arrow_udf(by_parts(run), VERDICT)(F.col(text).cast("string"))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import encoded, materialize
+from .common import by_parts, encoded, materialize
 
 WORDS, SEED, MAX_BITS, BITS = 3, 42, 3, 64
 FANOUT, GROUP_ROWS = 8, 8192
@@ -54,7 +54,7 @@ def fingerprint_of(text: Column, words: int = WORDS) -> Column:
     def run(texts: pa.Array) -> pa.Array:
         return pa.array(np.array([fingerprint(t, words) for t in encoded(texts)], np.uint64).view(np.int64))
 
-    return F.arrow_udf(run, "long")(text.cast("string"))
+    return F.arrow_udf(by_parts(run), "long")(text.cast("string"))
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
