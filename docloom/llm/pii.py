@@ -6,7 +6,7 @@ describe its normalised form (check digit, digit count, octets, grouping, domain
 word before), not the notation by which the fixed patterns know theirs. Boosted trees of depth two are fitted to tell candidates
 that are base spans from those that aren't: Spark counts the feature combinations over all rows, of which there are at most
 CELLS, and the driver boosts over those counts. For each kind the threshold is the lowest at which PRECISION of the accepted
-candidates of the held-out fold are base spans. The trees go into the second pass as one CASE expression; what it
+candidates of the held-out fold are base spans, and not under the log-odds of PROBABILITY. The trees go into the second pass as one CASE expression; what it
 accepts and neither a base span nor a better candidate overlaps is added.
 
 Defined cases: null texts count as empty; a text without candidates has an empty span list; positions count code points; repeated
@@ -39,7 +39,7 @@ CUE = r"(?i)(?:tel|phone|call|fax|mobil|mail|contact|card|visa|master|server|hos
 #: Features and how many values each has; a candidate is one of CELLS combinations.
 FEATURES = {"kind": 4, "luhn": 2, "digits": 8, "octets": 2, "parens": 2, "groups": 4, "before": 3, "after": 3, "cue": 2, "domain": 3}
 CELLS = int(np.prod(list(FEATURES.values())))
-ROUNDS, RATE, RIDGE, PRECISION, LEAST = 40, 0.3, 1.0, 0.98, 5
+ROUNDS, RATE, RIDGE, PRECISION, LEAST, PROBABILITY = 40, 0.3, 1.0, 0.98, 5, 0.9
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -195,7 +195,7 @@ def boost(x: np.ndarray, positive: np.ndarray, total: np.ndarray, check_positive
         last = np.append(score[own][1:] != score[own][:-1], True) if len(own) else np.zeros(0, bool)
         good = np.flatnonzero(last & (seen >= LEAST) & (hits >= PRECISION * seen))
         if len(good):
-            model.thresholds[k] = float(score[own][good[-1]])
+            model.thresholds[k] = max(float(score[own][good[-1]]), float(np.log(PROBABILITY / (1 - PROBABILITY))))
     return model
 
 
