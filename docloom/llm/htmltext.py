@@ -62,8 +62,8 @@ class Block:
     linked: int = 0
 
 
-def _marks(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """The element's name in a path, whether it is marked as the article, and whether it can't be part of it."""
+def _marks(tag: str, attributes: str, inside: bool) -> tuple[str, bool, bool]:
+    """The element's name in a path, whether it is marked as the article, and whether it can't be part of it; inside the article a header is its own."""
     name, main, off = tag, tag in MAIN, tag in NO_TEXT
     if attributes:
         for m in ATTRIBUTE.finditer(attributes):
@@ -72,7 +72,7 @@ def _marks(tag: str, attributes: str) -> tuple[str, bool, bool]:
                 words = set(WORD.findall(value))
                 name += ("." if key == "class" else "#") + value
                 main |= tag in ("div", "section") and bool(words) and words <= MAIN_WORDS
-                off |= tag not in ("html", "body", "article", "main") and bool(words & OFF_WORDS)
+                off |= tag not in ("html", "body", "article", "main") and bool(words & OFF_WORDS - ({"header"} if inside else set()))
             elif key == "role":
                 main |= value in MAIN_ROLES
                 off |= value in OFF_ROLES
@@ -140,7 +140,7 @@ def blocks(page: str) -> list[Block]:
                     break
         if tag in VOID:
             continue
-        name, main, off = _marks(tag, m[3])
+        name, main, off = _marks(tag, m[3], bool(stack) and stack[-1][2])
         if tag in ("header",) and any(x[0] in HEADED for x in stack):
             off = any(x[3] for x in stack)  # an article's own heading
         above = stack[-1] if stack else ("", "", False, False)

@@ -25,6 +25,11 @@ def test_no_text(page):
     assert extract(page) in ("", "<")
 
 
+def test_headers_inside_and_outside_the_article():
+    page = f"<div class='site-header'><p>{LONG}</p></div><main><div class='entry-header'><h1>Title</h1></div><p>{LONG}</p><div class='entry-footer'><p>Tags</p></div></main>"
+    assert extract(page).split("\n") == ["Title", LONG]
+
+
 def test_broken_and_long():
     assert extract("<article><p>One two.<p>Three &am") == "One two.\nThree &am"
     body = "word, " * 50_000
