@@ -2,8 +2,8 @@
 
 A page is cut into blocks at block-level tags; the tag path of a block is the chain of block-level elements above it, each with
 its class and id. For every path the text length and the punctuation of its blocks are added up and divided by the number of
-blocks (text in links doesn't count). The two ratios are smoothed over paths that share their upper part, fused by a product, and
-paths at or above a share of the best fused ratio are content. Elements that never hold article text (scripts, navigation,
+blocks (text in links doesn't count). The two ratios are smoothed over paths that share their upper part (the marked article, else
+the parent), fused by a product, and paths at or above a share of the best fused ratio are content. Elements that never hold article text (scripts, navigation,
 footers, forms, elements whose class or id names an advert, a notice, a sidebar or comments) count zero whatever their ratios,
 and where a page marks its article, paths inside it outweigh those outside.
 
@@ -56,7 +56,7 @@ OUTSIDE = 0.02
 @dataclass
 class Block:
     path: str
-    main: bool
+    main: str  # path of the outermost element marked as the article, or empty
     off: bool
     parts: list = field(default_factory=list)
     linked: int = 0
@@ -84,7 +84,7 @@ def _marks(tag: str, attributes: str, inside: bool) -> tuple[str, bool, bool]:
 def blocks(page: str) -> list[Block]:
     """Blocks with text, in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, path, main, off
+    stack: list[tuple[str, str, str, bool]] = []  # tag, path, main, off
     links = 0
     current: Block | None = None
     at, size = 0, len(page)
@@ -94,7 +94,7 @@ def blocks(page: str) -> list[Block]:
         if current is None:
             if not raw.strip():
                 return
-            top = stack[-1] if stack else ("", "", False, False)
+            top = stack[-1] if stack else ("", "", "", False)
             current = Block(top[1], top[2], top[3])
             out.append(current)
         current.parts.append(raw)
@@ -140,15 +140,16 @@ def blocks(page: str) -> list[Block]:
                     break
         if tag in VOID:
             continue
-        name, main, off = _marks(tag, m[3], bool(stack) and stack[-1][2])
+        name, main, off = _marks(tag, m[3], bool(stack and stack[-1][2]))
         if tag in ("header",) and any(x[0] in HEADED for x in stack):
             off = any(x[3] for x in stack)  # an article's own heading
-        above = stack[-1] if stack else ("", "", False, False)
+        above = stack[-1] if stack else ("", "", "", False)
         if tag in RAW:
             end = RAW_END[tag].search(page, at)
             at = end.end() if end else size
             continue
-        stack.append((tag, f"{above[1]}/{name}", above[2] or main, above[3] or off))
+        path = f"{above[1]}/{name}"
+        stack.append((tag, path, above[2] or (path if main else ""), above[3] or off))
     return out
 
 
@@ -169,7 +170,7 @@ def extract(page: str | None, smoothing: float = SMOOTHING, least_share: float =
     parents: dict[str, list[float]] = {}
     for path, s in sums.items():
         if not s[3]:
-            p = parents.setdefault(path.rpartition("/")[0], [0, 0.0, 0.0])
+            p = parents.setdefault(s[4] or path.rpartition("/")[0], [0, 0.0, 0.0])
             for i in range(3):
                 p[i] += s[i]
     fused = {}
@@ -177,7 +178,7 @@ def extract(page: str | None, smoothing: float = SMOOTHING, least_share: float =
         if off:
             fused[path] = 0.0
             continue
-        pn, plength, pmarks = parents[path.rpartition("/")[0]]
+        pn, plength, pmarks = parents[main or path.rpartition("/")[0]]
         text_ratio = (1 - smoothing) * length / n + smoothing * plength / pn
         mark_ratio = (1 - smoothing) * marks / n + smoothing * pmarks / pn
         fused[path] = text_ratio * (1 + mark_ratio) * (1 if main or not marked else outside)
