@@ -44,7 +44,7 @@ def _turns(spark, sf_dir):
     n = F.length("text")
     return c.select(
         F.col("conv_id").alias("key"), F.col("turn").alias("seq"), F.when(n % 6 == 0, "acknowledgement").otherwise("question").alias("intent"), F.element_at(F.split("text", " "), 1).alias("topic"), (n % 5 == 0).alias("is_shift"), (n % 2 == 0).alias("searched"),
-        F.left("text", F.lit(20)).alias("query"), F.array(n % 7, n % 11).alias("cited"), (n % 9 > 0).alias("completed"), F.when(n % 4 == 0, "en").alias("asked_language"), "text", "role",
+        F.lower("text").alias("query"), F.array(n % 7, n % 11).alias("cited"), (n % 9 > 0).alias("completed"), F.when(n % 4 == 0, "en").alias("asked_language"), "text", "role",
     )
 
 
