@@ -98,7 +98,7 @@ def url_key(url: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """SC-16: cut after a full stop, question or exclamation mark (with closers) and white space, or at a line end; not after short titles and initials."""
-    marked = F.regexp_replace(text, r"(?<!\b(?:rs|mr|dr|no|ltd|etc|e\.g|i\.e|[A-Z]))([.!?।॥][\"')\]]*)[\x20\t]+", "$1\n")
+    marked = F.regexp_replace(text, r"(?<!\b(?:(?i:rs|mr|dr|no|ltd|etc|e\.g|i\.e)|[A-Z]))([.!?।॥][\"')\]]*)[\x20\t]+", "$1\n")
     return F.filter(F.transform(F.split(marked, r"\n+"), lambda s: F.trim(s)), lambda s: s != "")
 
 
@@ -112,7 +112,8 @@ def tail(text: Column, budget: int) -> Column:
         return F.struct((acc["used"] + F.when(fits, cost(s)).otherwise(0)).cast("long").alias("used"), fits.alias("open"), F.when(fits, F.concat(s, F.when(acc["out"] == "", "").otherwise(" "), acc["out"])).otherwise(acc["out"]).alias("out"))
 
     whole = F.aggregate(F.reverse(sentences(text)), start, step, lambda a: a["out"])
-    words = F.regexp_extract(F.right(collapsed(text), F.lit(int(budget * 3.5))), r"(?:^|\s)(\S.*)$", 1)
+    plain, most = collapsed(text), int(budget * 3.5)
+    words = F.when(F.length(plain) <= most, plain).otherwise(F.regexp_extract(F.right(plain, F.lit(most + 1)), r"\s(\S.*)$", 1))
     return F.when(whole != "", whole).otherwise(words)
 
 
