@@ -157,4 +157,5 @@ def language(docs: DataFrame, filters: Filters, text: str = "text") -> Column:
         lang, score, share = predict(shared.value, texts.to_pylist())
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score), pa.array(share)], names=["lang", "score", "share"])
 
-    return F.arrow_udf(by_parts(run), "struct<lang:string,score:double,share:double>")(F.col(text).cast("string"))
+    # Called nondeterministic so that a filter on the result isn't pushed below it as a second evaluation.
+    return F.arrow_udf(by_parts(run), "struct<lang:string,score:double,share:double>").asNondeterministic()(F.col(text).cast("string"))
