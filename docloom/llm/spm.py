@@ -153,7 +153,8 @@ class Codec:
         # For segments the library's own normaliser would add a marker and drop spaces, so it gets the same pieces with an identity one.
         self.tokenizer = backend(self.model, whole=not self.simple)
         self.peer = sentencepiece.SentencePieceProcessor(model_proto=without_normaliser(data) if self.simple else data)
-        self.wrong: set[str] = set()
+        self.wrong: set[str] = set()  # segments on which the libraries differ, and those that decoding doesn't give back
+        self.lost: set[str] = set()
         self.memo = WordMemo(self._learn, MEMO_SEGMENTS)
         self.silent = np.array([k == CONTROL for k in self.model.kinds])
 
@@ -161,6 +162,9 @@ class Codec:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(segments, add_special_tokens=False)]
         peers = self.peer.encode(segments, num_threads=self.threads)
         self.wrong.update(s for s, a, b in zip(segments, ids, peers, strict=True) if a != b)
+        back = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+        lead = int(self.model.dummy_prefix)
+        self.lost.update(s for s, b in zip(segments, back, strict=True) if s[lead if s[0] == MARK else 0 :].replace(MARK, " ") != b)
         sizes = np.array([len(x) for x in ids], np.int64)
         return np.array([x for y in ids for x in y], np.uint32), sizes
 
@@ -174,18 +178,28 @@ class Codec:
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, bool]]:
         """(ids, whether both libraries agree) of each text in turn."""
+        return ((ids, agrees) for ids, agrees, _ in self.checked(texts))
+
+    def checked(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, bool, bool]]:
+        """(ids, whether both libraries agree, whether decoding gives the text back) of each text in turn.
+
+        Where segments are encoded apart they are also decoded apart, each distinct one once: a byte run never crosses a marker, so a
+        text comes back if all its segments do and it holds no marker of its own.
+        """
         texts = [t or "" for t in texts]
         for a, b in slices([len(t) for t in texts], LOOKUP_CHARS):
             if not self.simple:
                 own = [e.ids for e in self.tokenizer.encode_batch_fast(texts[a:b], add_special_tokens=False)]
                 peers = self.peer.encode(texts[a:b], num_threads=self.threads)
-                yield from ((np.array(x, np.uint32), x == y) for x, y in zip(own, peers, strict=True))
+                back = self.decode([np.array(x, np.int64) for x in own])
+                yield from ((np.array(x, np.uint32), x == y, t == z) for x, y, t, z in zip(own, peers, texts[a:b], back, strict=True))
                 continue
             parts = [self.segments(t) for t in texts[a:b]]
             flat, sizes = self.memo.ids([s for p in parts for s in p])
             ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([len(p) for p in parts])]
             agree = [not self.wrong or self.wrong.isdisjoint(p) for p in parts]
-            yield from zip(np.split(flat, ends[:-1]), agree, strict=True)
+            whole = [MARK not in t and (not self.lost or self.lost.isdisjoint(p)) for t, p in zip(texts[a:b], parts, strict=True)]
+            yield from zip(np.split(flat, ends[:-1]), agree, whole, strict=True)
 
     def decode(self, lists: list[np.ndarray]) -> list[str]:
         """Texts of lists of ids; control ids are silent."""
@@ -247,10 +261,8 @@ def checked(text: Column, path: str, threads: int = 1) -> Column:
     """struct<n_ids, ids_crc32, agrees, round_trip> of each text: encoded, compared with the other library, decoded again, all in one Python step. The checksum is over unsigned little-endian 32-bit ids."""
 
     def run(texts: pa.Array) -> pa.Array:
-        own, values = codec(path, threads), [t or "" for t in texts.to_pylist()]
-        ids, agrees = zip(*own.encode(values), strict=True) if values else ((), ())
-        back = own.decode(list(ids))
-        columns = [pa.array([len(i) for i in ids], pa.int64()), pa.array([zlib.crc32(i.astype("<u4").tobytes()) for i in ids], pa.int64()), pa.array(agrees, pa.bool_()), pa.array([a == b for a, b in zip(values, back, strict=True)], pa.bool_())]
+        ids, agrees, back = zip(*codec(path, threads).checked(texts.to_pylist()), strict=True) if len(texts) else ((), (), ())
+        columns = [pa.array([len(i) for i in ids], pa.int64()), pa.array([zlib.crc32(i.astype("<u4").tobytes()) for i in ids], pa.int64()), pa.array(agrees, pa.bool_()), pa.array(back, pa.bool_())]
         return pa.StructArray.from_arrays(columns, names=["n_ids", "ids_crc32", "agrees", "round_trip"])
 
     return F.arrow_udf(by_parts(run), "struct<n_ids:long,ids_crc32:long,agrees:boolean,round_trip:boolean>")(text.cast("string"))
