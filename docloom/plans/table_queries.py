@@ -78,14 +78,16 @@ def ag25_unanimous_unit(spark, sf_dir):
     return p.groupBy("table_id", "col").agg(T.unanimous(F.col("kind")).alias("kind"), T.unanimous(F.col("decimals")).alias("decimals"))
 
 
-@register(f"""WITH {GRID}, k AS (SELECT table_id, hi - lo + 1 AS n FROM y), c AS (SELECT table_id, CASE WHEN n >= 4 THEN least(0.95, 0.85 + 0.02 * (n - 4)) WHEN n = 3 THEN 0.75 WHEN n = 2 THEN 0.5 ELSE 0 END AS ts FROM k)
-    SELECT table_id, CASE WHEN ts >= 0.75 THEN 'time_series' WHEN ts > 0.68 THEN 'time_series' ELSE 'categorical' END AS best, round(greatest(ts, 0.75)::DOUBLE, 4) AS confidence, CASE WHEN ts >= 0.75 THEN 'time_series,categorical,composition' ELSE 'categorical,composition,time_series' END AS options FROM c WHERE ts > 0""")
+@register(f"""WITH {GRID}, k AS (SELECT table_id, hi - lo + 1 AS n FROM y), m AS (SELECT table_id, count(*) AS m FROM (SELECT table_id, col FROM numbers GROUP BY ALL HAVING count(v) > 0) GROUP BY 1),
+    o AS (SELECT table_id, 0 AS i, 'time_series' AS k, CASE WHEN n >= 4 THEN least(0.95, 0.85 + 0.02 * (n - 4)) WHEN n = 3 THEN 0.75 WHEN n = 2 THEN 0.5 ELSE 0 END::DOUBLE AS c FROM k
+        UNION ALL SELECT table_id, 1, 'composition', greatest(0.65, 0.88 - 0.05 * greatest(m - 1, 0))::DOUBLE FROM m UNION ALL SELECT table_id, 2, 'categorical', 0.75 FROM k)
+    SELECT table_id, arg_min(k, {{'c': -c, 'i': i}}) AS best, round(max(c), 4) AS confidence, string_agg(k, ',' ORDER BY c DESC, i) AS options FROM o WHERE c > 0 GROUP BY 1""")
 def ag33_chartability(spark, sf_dir):
     """AG-33, SO-11."""
     p = T.parsed(grid(spark, sf_dir))
     types = T.column_types(p, T.header_rows(p))
     t = types.groupBy("table_id").agg(F.max("periods").alias("periods"), F.count_if(F.col("type") == "number").alias("number_columns")).withColumn("categories", F.lit(5)).withColumn("negatives", F.lit(0))
-    return T.chartability(t).where("options LIKE '%time_series%'")
+    return T.chartability(t)
 
 
 @register("SELECT l_orderkey AS table_id, l_linenumber + d AS col, min_by(l_linenumber, l_linenumber)::INTEGER AS origin FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem), (SELECT unnest([0, 1]) AS d) GROUP BY ALL".replace("min_by(", "arg_min("))
