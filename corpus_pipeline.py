@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.llm import langid, packing, pii, rules, simhash
+from docloom.llm import langid, nearcopies, packing, pii, rules
 from docloom.llm.common import held_out_sql, materialize
 
 #: A document whose language's filters hold less than this share of its n-grams is rejected.
@@ -36,12 +36,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each class."""
+    """Keeps the document with the smallest doc_id of each class; texts of 0.8-similar five-word shingles are in one class."""
     ids = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count()
     if not ids.where("count > 1").isEmpty():
         first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
         docs = materialize(docs.withColumn(MARK, first).where(F.col("doc_id").isNull() | (F.col(MARK) == 1)).drop(MARK), "pipeline-ids")
-    classes = simhash.near_duplicates(docs.where("doc_id IS NOT NULL"))
+    classes = nearcopies.near_duplicates(docs.where("doc_id IS NOT NULL"))
     others = materialize(classes.where("doc_id <> component_id").select(F.col("doc_id").alias(MARK)), "pipeline-copies")
     return docs.join(others, F.col("doc_id") == F.col(MARK), "left_anti")
 
