@@ -3,8 +3,8 @@
 STAGES lists (name, function). A function takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
 of docs. run() writes each result as Parquet in the shared folder and reads it back as the next one's docs.
 
-Rows without a doc_id pass the near-duplicate stage as they are. Rows that share a doc_id count as one document there: that with
-the smallest text hash. A null text has no words, so the rules reject it.
+Rows without a doc_id take part in the near-duplicate stage: a class of such rows keeps that with the smallest text hash, any other class
+none of them. Rows that share a doc_id count as one document there: that with the smallest text hash. A null text has no words, so the rules reject it.
 """
 
 from __future__ import annotations
@@ -37,13 +37,21 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each class; texts of 0.8-similar five-word shingles are in one class."""
-    ids = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count()
-    if not ids.where("count > 1").isEmpty():
-        first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-        docs = materialize(docs.withColumn(MARK, first).where(F.col("doc_id").isNull() | (F.col(MARK) == 1)).drop(MARK), "pipeline-ids")
-    classes = nearcopies.near_duplicates(docs.where("doc_id IS NOT NULL"))
+    th, cols = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))), docs.columns
+    one = lambda rows, *by: rows.groupBy(*by).agg(F.first(F.struct(*cols)).alias("x")).select("x.*")
+    firsts = docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(MARK)).agg(F.count(F.lit(1)).alias("n"), F.min(th).alias(f"{MARK}_th"))
+    firsts = materialize(firsts.where("n > 1").drop("n"), "pipeline-ids")
+    if not firsts.isEmpty():
+        again = F.col("doc_id") == F.col(MARK)
+        docs = materialize(docs.join(firsts, again, "left_anti").unionByName(one(docs.join(firsts, again & (th == F.col(f"{MARK}_th")), "left_semi"), "doc_id")), "pipeline-single")
+    classes = materialize(nearcopies.near_duplicates(docs), "pipeline-classes")
     others = materialize(classes.where("doc_id <> component_id").select(F.col("doc_id").alias(MARK)), "pipeline-copies")
-    return docs.join(others, F.col("doc_id") == F.col(MARK), "left_anti")
+    kept = docs.where("doc_id IS NOT NULL").join(others, F.col("doc_id") == F.col(MARK), "left_anti")
+    if docs.where("doc_id IS NULL").isEmpty():
+        return kept
+    lone = classes.where("component_id IS NULL").groupBy("class").agg(F.min("th").alias(MARK)).select(MARK)
+    nulls = docs.where("doc_id IS NULL").withColumn(f"{MARK}_th", th).join(lone, F.col(f"{MARK}_th") == F.col(MARK), "left_semi")
+    return kept.unionByName(one(nulls, f"{MARK}_th"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

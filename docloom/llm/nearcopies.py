@@ -135,7 +135,7 @@ def links(docs: DataFrame, sets: DataFrame, words: int, similarity: float) -> Da
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, th (xxhash64 of the text), component_id: the smallest doc_id that links reach."""
+    """doc_id, th (xxhash64 of the text), class, component_id: the smallest doc_id that links reach."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, words))
     found = docs.select("doc_id", F.xxhash64("text").alias("th"), prefixes_of(F.col("text"), shared, words, similarity).alias("s"))
@@ -144,4 +144,4 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     roots = connected(links(docs, sets.select("key", "size", "prefix", "th"), words, similarity))
     rooted = sets.join(roots, sets.key == roots.node, "left").select("key", "first", F.coalesce("root", "key").alias("root"))
     classes = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return prints.select("doc_id", "th", "key").join(rooted.join(classes, "root").select("key", "component_id"), "key").select("doc_id", "th", "component_id")
+    return prints.select("doc_id", "th", "key").join(rooted.join(classes, "root").select("key", F.col("root").alias("class"), "component_id"), "key").select("doc_id", "th", "class", "component_id")

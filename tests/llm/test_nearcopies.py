@@ -100,3 +100,11 @@ def test_stage_and_run_on_whole_rows(spark, tmp_path):
     assert single.columns == docs.columns and {r.doc_id for r in single.collect()} == {i for i in label if label[i] == i}
     whole = {p.doc_id for p in cp.run(spark, str(tmp_path)).collect()}
     assert whole and whole <= {i for i in label if label[i] == i}
+
+
+def test_stage_keeps_one_row_without_id_of_a_class(spark):
+    texts = [(None, "a b c d e f"), (None, "A b  c d e f"), (None, "a b c d e f"), (None, "other words of ours"), (None, "copy of a known row"), (7, "copy of a known row"), (7, "copy of a known row")]
+    rows = [(i, t, "en", "s", 1, True) for i, t in texts]
+    got = cp.near_duplicates(spark, spark.createDataFrame(rows, COLUMNS), "").collect()
+    assert sorted(" ".join(r.text.lower().split()) for r in got if r.doc_id is None) == ["a b c d e f", "other words of ours"]
+    assert [r.text for r in got if r.doc_id == 7] == ["copy of a known row"] and len(got) == 3
