@@ -3,7 +3,9 @@
 A page is cut into blocks at block-level tags; the tag path of a block is the chain of block-level elements above it, each with
 its class and id. For every path the text length and the punctuation of its blocks are added up and divided by the number of
 blocks (text in links doesn't count). The two ratios are smoothed over paths that share their upper part (the marked article, else
-the parent), fused by a product, and paths at or above a share of the best fused ratio are content. Elements that never hold article text (scripts, navigation,
+the parent), fused by a product, and paths at or above a share of the best fused ratio are content. A marked article with such a path is
+content as a whole, so that short headings, items and cells stay beside long paragraphs; a word on an element around the page's only
+articles doesn't exclude them. Elements that never hold article text (scripts, navigation,
 footers, forms, elements whose class or id names an advert, a notice, a sidebar or comments) count zero whatever their ratios,
 and where a page marks its article, paths inside it outweigh those outside.
 
@@ -51,20 +53,22 @@ CLOSED_BY_OWN = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"t
 SMOOTHING, LEAST_SHARE = 0.5, 0.1
 #: Weight of paths outside the marked article.
 OUTSIDE = 0.02
+#: Why an element is off: a word on an element around its article, a word on it or above, its kind.
+AROUND, WORDED, NEVER = 1, 2, 3
 
 
 @dataclass
 class Block:
     path: str
     main: str  # path of the outermost element marked as the article, or empty
-    off: bool
+    off: int
     parts: list = field(default_factory=list)
     linked: int = 0
 
 
-def _marks(tag: str, attributes: str, inside: bool) -> tuple[str, bool, bool]:
+def _marks(tag: str, attributes: str, inside: bool) -> tuple[str, bool, int]:
     """The element's name in a path, whether it is marked as the article, and whether it can't be part of it; inside the article a header is its own."""
-    name, main, off = tag, tag in MAIN, tag in NO_TEXT
+    name, main, off = tag, tag in MAIN, NEVER * (tag in NO_TEXT)
     if attributes:
         for m in ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
@@ -72,19 +76,20 @@ def _marks(tag: str, attributes: str, inside: bool) -> tuple[str, bool, bool]:
                 words = set(WORD.findall(value))
                 name += ("." if key == "class" else "#") + value
                 main |= tag in ("div", "section") and bool(words) and words <= MAIN_WORDS
-                off |= tag not in ("html", "body", "article", "main") and bool(words & OFF_WORDS - ({"header"} if inside else set()))
+                if tag not in ("html", "body", "article", "main") and words & OFF_WORDS - ({"header"} if inside else set()):
+                    off = max(off, WORDED)
             elif key == "role":
                 main |= value in MAIN_ROLES
-                off |= value in OFF_ROLES
+                off = NEVER if value in OFF_ROLES else off
             elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                off = True
+                off = NEVER
     return name, main, off
 
 
 def blocks(page: str) -> list[Block]:
     """Blocks with text, in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, str, str, bool]] = []  # tag, path, main, off
+    stack: list[tuple[str, str, str, int]] = []  # tag, path, main, off
     links = 0
     current: Block | None = None
     at, size = 0, len(page)
@@ -94,7 +99,7 @@ def blocks(page: str) -> list[Block]:
         if current is None:
             if not raw.strip():
                 return
-            top = stack[-1] if stack else ("", "", "", False)
+            top = stack[-1] if stack else ("", "", "", 0)
             current = Block(top[1], top[2], top[3])
             out.append(current)
         current.parts.append(raw)
@@ -142,14 +147,15 @@ def blocks(page: str) -> list[Block]:
             continue
         name, main, off = _marks(tag, m[3], bool(stack and stack[-1][2]))
         if tag in ("header",) and any(x[0] in HEADED for x in stack):
-            off = any(x[3] for x in stack)  # an article's own heading
-        above = stack[-1] if stack else ("", "", "", False)
+            off = max(x[3] for x in stack)  # an article's own heading
+        above = stack[-1] if stack else ("", "", "", 0)
         if tag in RAW:
             end = RAW_END[tag].search(page, at)
             at = end.end() if end else size
             continue
         path = f"{above[1]}/{name}"
-        stack.append((tag, path, above[2] or (path if main else ""), above[3] or off))
+        starts = main and not above[2] and above[3] == WORDED and not off
+        stack.append((tag, path, above[2] or (path if main else ""), AROUND if starts else max(above[3], off)))
     return out
 
 
@@ -160,6 +166,9 @@ def extract(page: str | None, smoothing: float = SMOOTHING, least_share: float =
         t = SPACE.sub(" ", entities.unescape("".join(b.parts))).strip()
         if t:
             found.append((b, t))
+    if not any(b.main and not b.off for b, _ in found):  # the only article stands in an element with such a word
+        for b, _ in found:
+            b.off = 0 if b.off == AROUND else b.off
     sums: dict[str, list[float]] = {}
     for b, t in found:
         s = sums.setdefault(b.path, [0, 0.0, 0.0, b.off, b.main])
@@ -183,7 +192,9 @@ def extract(page: str | None, smoothing: float = SMOOTHING, least_share: float =
         mark_ratio = (1 - smoothing) * marks / n + smoothing * pmarks / pn
         fused[path] = text_ratio * (1 + mark_ratio) * (1 if main or not marked else outside)
     least = least_share * max(fused.values(), default=0)
-    return "\n".join(t for b, t in found if fused[b.path] > 0 and fused[b.path] >= least)
+    # The ratios choose whole containers: all of a marked article that holds a path at or above the least counts.
+    chosen = {s[4] for path, s in sums.items() if s[4] and not s[3] and fused[path] > 0 and fused[path] >= least}
+    return "\n".join(t for b, t in found if not b.off and (b.main in chosen or fused[b.path] > 0 and fused[b.path] >= least))
 
 
 def _main_texts(pages: pa.Array) -> pa.Array:

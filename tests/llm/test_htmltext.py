@@ -42,3 +42,18 @@ def test_column(spark):
     rows = df.withColumn("main", main_text(F.col("html"))).orderBy("page_id").collect()
     assert rows[0].main == extract(PAGE) and rows[1].main == rows[2].main == "" and rows[0].text == "t"
     assert df.limit(0).withColumn("main", main_text(F.col("html"))).collect() == []
+
+
+@pytest.mark.parametrize("text, items", [(500, 20), (5000, 6)])
+def test_short_blocks_stay_beside_long_paragraphs(text, items):
+    p, li = "word, " * (text // 6), "i" * 25
+    body = f"<h1>{'h' * 30}</h1><p>{p}</p><ul>{f'<li>{li}</li>' * items}</ul><table><tr><td>cell</td><td>1</td></tr></table>"
+    page = f"<nav><ul><li>Home</li></ul></nav><article>{body}<div class='ad'>Buy, now.</div></article><p>Outside, short.</p>"
+    assert extract(page).split("\n") == ["h" * 30, p.strip(), *[li] * items, "cell", "1"]
+
+
+def test_word_around_the_article_does_not_exclude_it():
+    body = f"<article><h1>Title</h1><p>{LONG}</p><div class=share>Share this.</div></article>"
+    assert extract(f"<div class='page has-sidebar'><p class=menu>Home</p>{body}</div>").split("\n") == ["Title", LONG]
+    assert extract(f"<div class=comments><article><p>{LONG} Comment.</p></article></div>{body}").split("\n") == ["Title", LONG]
+    assert extract(f"<div class=sidebar hidden>{body}</div>") == ""
