@@ -1,4 +1,4 @@
-"""Text as Column builders: normal forms, snippets, tokens, slugs, keys, markers (SC-01 to SC-43, SC-70)."""
+"""Text as Column builders: normal forms, snippets, tokens, slugs, keys, markers (of SC-01 to SC-42, SC-70)."""
 
 from __future__ import annotations
 

@@ -63,7 +63,7 @@ def routed(text: Column) -> Column:
 
 
 def answer_language(asked: Column, spoken: Column, majority: Column) -> Column:
-    """SC-14, SC-15: asked for, else spoken, else the majority, else English."""
+    """SC-15: asked for, else spoken, else the majority, else English."""
     return F.coalesce(asked, spoken, majority, F.lit("en"))
 
 

@@ -62,7 +62,7 @@ def ag36_pool(spark, sf_dir):
 @register("""WITH p AS (SELECT DISTINCT c_nationkey AS nation, last_day(o_orderdate::DATE) AS "end", CASE WHEN month(o_orderdate) = 3 THEN 12 WHEN month(o_orderdate) % 3 = 0 THEN 3 ELSE 1 END AS months FROM orders JOIN customer ON o_custkey = c_custkey)
     SELECT nation, "end", months::INTEGER AS months, CAST(row_number() OVER (PARTITION BY nation ORDER BY "end", months DESC) AS INTEGER) AS place FROM p""")
 def so12_period_order(spark, sf_dir):
-    """SO-12, SO-13, WN-26: unique periods in order."""
+    """SO-12, WN-26: unique periods in order."""
     o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     m = F.month("o_orderdate")
     p = o.join(c, o.o_custkey == c.c_custkey).select(F.col("c_nationkey").alias("nation"), F.last_day("o_orderdate").alias("end"), F.when(m == 3, 12).when(m % 3 == 0, 3).otherwise(1).alias("months")).distinct()
@@ -113,7 +113,7 @@ def dm02_insert(spark, sf_dir):
 
 @register(f"WITH {JOBS_SQL}, {DOCUMENTS_SQL} SELECT document_id, CASE WHEN state = 'QUEUED' THEN 'renamed' ELSE state END AS state FROM jobs WHERE document_id IN (SELECT id FROM docs)")
 def dm11_compare_and_set(spark, sf_dir):
-    """DM-08, DM-10, DM-11: a change that takes place only where the old value is the one expected and the parent still exists."""
+    """DM-08, DM-11: a change that takes place only where the old value is the one expected and the parent still exists."""
     j = jobs(spark, sf_dir).join(documents(spark, sf_dir).select(F.col("id").alias("document_id")), "document_id", "left_semi")
     return j.select("document_id", F.when(F.col("state") == "QUEUED", "renamed").otherwise(F.col("state")).alias("state"))
 
@@ -129,7 +129,7 @@ def sc05_footnotes(spark, sf_dir):
 
 @register("SELECT conv_id, turn, left(text, 70) AS head, coalesce(CASE WHEN turn % 4 = 0 THEN 'hi' END, CASE WHEN turn % 3 = 0 THEN 'de' END, 'en') AS language FROM conversations")
 def sc11_truncate(spark, sf_dir):
-    """SC-11, SC-14, SC-15."""
+    """SC-11, SC-15."""
     t = F.col("turn")
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", I.within_tokens(F.col("text"), 20).alias("head"), I.answer_language(F.when(t % 4 == 0, "hi"), F.when(t % 3 == 0, "de"), F.lit(None).cast("string")).alias("language"))
 
@@ -205,7 +205,7 @@ def st14_speculation(spark, sf_dir):
 @register("""WITH q AS (SELECT item_id, unnest(list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda t: t <> ''))) AS token FROM benchmark), d AS (SELECT doc_id, unnest(list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda t: t <> ''))) AS token FROM documents), n AS (SELECT item_id, count(*) AS n FROM q GROUP BY 1),
     s AS (SELECT item_id, doc_id, count(*) AS k FROM q JOIN d USING (token) GROUP BY ALL) SELECT item_id, doc_id, round(k / n::DOUBLE, 6) AS score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY round(k / n::DOUBLE, 6) DESC, doc_id) AS INTEGER) AS rank FROM s JOIN n USING (item_id) QUALIFY rank <= 5""")
 def ud03_keyword_scorer(spark, sf_dir):
-    """UD-03, UD-06, UD-07, UD-10: a scorer given as columns; this one is the share of the query's words that a passage has."""
+    """UD-03, UD-06: a scorer given as columns; this one is the share of the query's words that a passage has."""
     words = lambda df, k: df.select(k, F.explode(F.array_distinct(R.tokens(F.col("text")))).alias("token"))
     q, d = words(table(spark, sf_dir, "benchmark"), "item_id"), words(table(spark, sf_dir, "documents"), "doc_id")
     n = q.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))

@@ -29,7 +29,7 @@ def _frames(spark, sf_dir):
 
 @register()
 def st01_endpointing(spark, sf_dir):
-    """ST-01, ST-03."""
+    """ST-01."""
     return folded(_frames(spark, sf_dir), "key", ["frame_no"], S.endpoint(), lambda: None, "key long, frame_no long, event string, speech_ms long, silence_ms long")
 
 

@@ -17,7 +17,7 @@ FIRST_WORDS, CLAUSE_WORDS, MOST_WORDS = 5, 2, 30
 
 @dataclass(frozen=True)
 class Endpoint:
-    """ST-01, ST-03: an utterance being heard."""
+    """ST-01: an utterance being heard."""
 
     started: int | None = None
     speech: int = 0
