@@ -8,7 +8,8 @@ they are read, WAITING at a time, without a shuffle; what is left at the end of
 whose sizes are powers of two, which need no padding.
 
 Token ids come from a word-level memo over a tokenizers file: the file's pre-tokenizer never joins across a space or a line end,
-so encoding the distinct chunks between those and laying their ids end to end equals encoding the whole text.
+so encoding the distinct chunks between those and laying their ids end to end equals encoding the whole text. Arrow cuts texts into
+chunks and finds the distinct ones of a few megabytes of text; only those are looked up in Python.
 
 Defined cases: null and empty texts hold only the closing id; repeated rows are packed each on its own; a null doc_id is kept;
 extra columns are ignored; an empty table gives no rows.
@@ -17,48 +18,64 @@ extra columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import bisect
-import re
+import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PART_ROWS, slices
+from .common import slices
 
 CAPACITY, END_ID = 4096, 2
 #: Remainders that a task packs together.
 WAITING = 20_000
-#: Distinct chunks that a Python worker remembers (about 250 bytes each), and characters it looks up at once.
-MEMO_WORDS, MEMO_CHARS = 400_000, 1 << 18
+#: Distinct chunks that a Python worker remembers (about 250 bytes each), and bytes of text that it looks up at once.
+MEMO_WORDS, MEMO_CHARS = 400_000, 1 << 22
 #: A special token of the file.
 SEPARATOR = "<|endoftext|>"
-STOP = re.compile(r"([.,])(?<=[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff].)(?=[ \n]|\Z)")
+#: Marks that a chunk of letters may end with, and how such a chunk ends.
+MARKS, CLOSED = ".,", "[A-Za-z\\x{C0}-\\x{D6}\\x{D8}-\\x{F6}\\x{F8}-\\x{FF}][.,]$"
+# How the file marks a word's last token, and its pre-tokenizer's words in chunks of letters, digits and marks without an apostrophe.
+WORD_END = "</w>"
+_LETTERS, _SIGNS = "A-Za-z\\x{C0}-\\x{D6}\\x{D8}-\\x{F6}\\x{F8}-\\x{FF}", "!-&(-/:-@\\[-`{-~"
+PLAIN, PLAIN_WORD = f"^[{_LETTERS}0-9{_SIGNS}]+$", f"[{_LETTERS}]+|[0-9]|[{_SIGNS}]+"
+#: Chunks in one text of a batch.
+TOGETHER = 256
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class WordMemo:
-    """Ids of texts by way of their distinct chunks; forgets all once it holds `most` chunks.
+    """Ids of texts by way of their distinct chunks. Once it holds over `most` chunks, it keeps the half that was used last.
 
     encode: a list of distinct chunks to their ids end to end and the number of ids of each.
     """
 
     def __init__(self, encode, most: int = MEMO_WORDS):
-        self.encode, self.most = encode, most
-        self.clear()
-
-    def clear(self) -> None:
+        self.encode, self.most, self.turn, self.used = encode, most, 0, 0
         self.at: dict[str, int] = {}
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.starts, self.sizes = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
+        self.flat = np.zeros(1 << 16, np.uint32)
+        self.starts, self.sizes, self.last = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
+
+    def forget(self) -> None:
+        n, chunks = len(self.at), list(self.at)
+        kept = np.sort(np.argsort(-self.last[:n], kind="stable")[: self.most // 2])
+        sizes = self.sizes[kept]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        flat = self.flat[np.repeat(self.starts[kept] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]
+        self.used = len(flat)
+        self.flat[: self.used] = flat
+        self.starts[: len(kept)], self.sizes[: len(kept)], self.last[: len(kept)] = ends - sizes, sizes, self.last[kept]
+        self.at = {chunks[i]: j for j, i in enumerate(kept.tolist())}
 
     def learn(self, chunks: list[str]) -> None:
         flat, sizes = self.encode(chunks)
         n, total = len(self.at), len(flat)
         while n + len(chunks) > len(self.starts):
-            self.starts, self.sizes = np.concatenate([self.starts, self.starts]), np.concatenate([self.sizes, self.sizes])
+            self.starts, self.sizes, self.last = (np.concatenate([x, x]) for x in (self.starts, self.sizes, self.last))
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, self.flat])
         self.sizes[n : n + len(chunks)] = sizes
@@ -67,60 +84,100 @@ class WordMemo:
         self.used += total
         self.at.update(zip(chunks, range(n, n + len(chunks)), strict=True))
 
-    def ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The chunks' ids end to end, and the number of ids of each."""
+    def entries(self, chunks: list[str]) -> np.ndarray:
+        """The entry of each distinct chunk, good until the next call."""
         if len(self.at) > self.most:
-            self.clear()
+            self.forget()
         k = list(map(self.at.get, chunks))
         if None in k:
-            self.learn(list(dict.fromkeys(c for c, i in zip(chunks, k, strict=True) if i is None)))
+            self.learn([c for c, i in zip(chunks, k, strict=True) if i is None])
             k = list(map(self.at.__getitem__, chunks))
         k = np.array(k, np.int64)
-        sizes = self.sizes[k].astype(np.int64)
-        return self.flat[np.repeat(self.starts[k] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))], sizes
-
-
-def plainer(text: str) -> str:
-    """A text with the same ids but fewer distinct chunks: Latin-1 texts in lower case, as the file's normaliser puts them, and a
-    full stop or comma that closes a word of letters set off, as its pre-tokenizer splits them."""
-    if "<|" in text:
-        return text
-    if not text.isascii():
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return text
-    return STOP.sub(r" \1", text.lower())
-
-
-def texts_ids(memo: WordMemo, texts: list[str | None], plain=plainer, most: int = MEMO_CHARS):
-    """The ids of each text in turn, looked up for `most` characters at a time."""
-    texts = [plain(x or "") for x in texts]
-    for a, b in slices([len(x) for x in texts], most):
-        chunks = [x.replace("\n", " ").split(" ") for x in texts[a:b]]
-        flat, sizes = memo.ids([c for own in chunks for c in own])
-        ends = np.cumsum(sizes)[np.cumsum([len(own) for own in chunks]) - 1]
+        self.turn += 1
+        self.last[k] = self.turn
+        return k
+
+    def ids(self, entries: np.ndarray, tails: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The entries' ids end to end, and the number of ids of each. tails: a further id after each entry, or -1 for none."""
+        own = self.sizes[entries].astype(np.int64)
+        sizes = own if tails is None else own + (tails >= 0)
+        ends = np.cumsum(sizes)
+        at = np.repeat(self.starts[entries] - (ends - sizes), sizes)
+        at += np.arange(len(at))
+        flat = self.flat[np.minimum(at, len(self.flat) - 1, out=at)]
+        if tails is not None:
+            tailed = np.flatnonzero(tails >= 0)
+            flat[ends[tailed] - 1] = tails[tailed]
+        return flat, sizes
+
+
+def plainer(chunks: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Chunks with the same ids but fewer distinct ones, and which mark of MARKS was cut off each (-1: none): Latin-1 chunks in lower case,
+    as the file's normaliser puts them, and a full stop or comma that closes a word of letters set off, as its pre-tokenizer splits them."""
+    plain = pc.and_(pc.match_substring_regex(chunks, r"^[\x00-\x{FF}]*$"), pc.invert(pc.match_substring(chunks, "<|")))
+    lower = pc.if_else(plain, pc.utf8_lower(chunks), chunks)
+    cut = pc.and_(plain, pc.match_substring_regex(lower, CLOSED))
+    mark = pc.if_else(pc.ends_with(lower, MARKS[1]), 1, 0)
+    return pc.if_else(cut, pc.utf8_slice_codeunits(lower, 0, -1), lower), np.asarray(pc.if_else(cut, mark, -1)).astype(np.int64)
+
+
+def texts_ids(memo: WordMemo, texts: pa.Array | list[str | None], most: int = MEMO_CHARS) -> Iterator[np.ndarray]:
+    """The ids of each text in turn, looked up for about `most` bytes at a time; only distinct chunks leave Arrow."""
+    texts = pc.fill_null((texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).cast(pa.large_string()), "")
+    marks, _ = memo.encode(list(MARKS))
+    for a, b in slices(pc.binary_length(texts).to_pylist(), most):
+        own = pc.split_pattern(pc.replace_substring(texts.slice(a, b - a), "\n", " "), " ")
+        chunks = own.flatten().dictionary_encode()
+        words, cut = plainer(chunks.dictionary)
+        words = words.dictionary_encode()
+        entries = memo.entries(words.dictionary.to_numpy(zero_copy_only=False).tolist())[np.asarray(words.indices)]
+        at = np.asarray(chunks.indices)
+        flat, sizes = memo.ids(entries[at], np.append(marks.astype(np.int64), -1)[cut][at])
+        ends = np.cumsum(sizes)[np.cumsum(np.asarray(pc.list_value_length(own))) - 1]
         yield from np.split(flat, ends[:-1])
 
 
 def separated(tokenizer, separator: str):
-    """encode for WordMemo: chunks laid end to end with a special token between, whose id shows where each ends."""
+    """encode for WordMemo: the distinct chunks that the file's pre-tokenizer cuts in a way known beforehand are encoded with spaces between,
+    where the marked last token of each word shows the ends; others with a special token between, whose id shows them."""
     mark = tokenizer.token_to_id(separator)
+    closes = np.zeros(tokenizer.get_vocab_size(), bool)
+    closes[[i for t, i in tokenizer.get_vocab().items() if t.endswith(WORD_END)]] = True
 
-    def encode(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        odd = [i for i, c in enumerate(chunks) if "<|" in c]
-        texts = [separator.join(["" if i in set(odd) else c for i, c in enumerate(chunks[at : at + 256], at)]) if odd else separator.join(chunks[at : at + 256]) for at in range(0, len(chunks), 256)]
-        found = [np.array([*e.ids, mark], np.uint32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        flat = np.concatenate(found)
-        ends = np.flatnonzero(flat == mark)
-        sizes = np.diff(ends, prepend=-1) - 1
+    def run(chunks: list[str], between: str) -> np.ndarray:
+        texts = [between.join(chunks[i : i + TOGETHER]) for i in range(0, len(chunks), TOGETHER)]
+        return np.concatenate([np.zeros(0, np.uint32), *(np.array([*e.ids, mark], np.uint32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False))])
+
+    def by_words(chunks: list[str], words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        flat = run(chunks, " ")
         flat = flat[flat != mark]
-        if odd:
-            parts = np.split(flat, np.cumsum(sizes)[:-1])
-            for i in odd:
-                parts[i] = np.array(tokenizer.encode(chunks[i], add_special_tokens=False).ids, np.uint32)
-            sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-            flat = np.concatenate(parts)
+        ends = np.flatnonzero(closes[flat])[np.cumsum(words) - 1]
+        return flat, np.diff(ends, prepend=-1)
+
+    def by_marks(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        flat = run(chunks, separator)
+        sizes = np.diff(np.flatnonzero(flat == mark), prepend=-1) - 1
+        return flat[flat != mark], sizes
+
+    def alone(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [tokenizer.encode(c, add_special_tokens=False).ids for c in chunks]
+        return np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64)
+
+    def encode(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        column = pa.array(chunks, pa.large_string())
+        odd = np.asarray(pc.match_substring(column, "<|"))
+        plain = np.asarray(pc.match_substring_regex(column, PLAIN)) & ~odd
+        words = np.asarray(pc.count_substring_regex(column, PLAIN_WORD)).astype(np.int64)
+        kinds = [np.flatnonzero(plain), np.flatnonzero(~plain & ~odd), np.flatnonzero(odd)]
+        pick = lambda rows: [chunks[i] for i in rows.tolist()]
+        parts = [by_words(pick(kinds[0]), words[kinds[0]]), by_marks(pick(kinds[1])), alone(pick(kinds[2]))]
+        sizes = np.zeros(len(chunks), np.int64)
+        for rows, (_, own) in zip(kinds, parts, strict=True):
+            sizes[rows] = own
+        flat, starts = np.zeros(int(sizes.sum()), np.uint32), np.cumsum(sizes) - sizes
+        for rows, (ids, own) in zip(kinds, parts, strict=True):
+            flat[np.repeat(starts[rows] - (np.cumsum(own) - own), own) + np.arange(len(ids))] = ids
         return flat, sizes
 
     return encode
@@ -241,8 +298,8 @@ def _packer(path: str, capacity: int, end_id: int, waiting: int):
             rows.clear()
             return pa.record_batch([pa.array(x, pa.int64()) for x in columns], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-        for batch in (b.slice(i, PART_ROWS) for b in batches for i in range(0, b.num_rows, PART_ROWS)):
-            for doc, found in zip(batch.column(0).to_pylist(), texts_ids(memo, batch.column(1).to_pylist()), strict=True):
+        for batch in batches:
+            for doc, found in zip(batch.column(0).to_pylist(), texts_ids(memo, batch.column(1)), strict=True):
                 ids = np.append(found, np.uint32(end_id))
                 n = len(ids)
                 cut = n - n % capacity
