@@ -4,8 +4,9 @@ The model file is parsed as protobuf: pieces with scores and kinds, the trainer'
 normaliser's character map and white-space rules. From these a tokenizers pipeline is rebuilt: normaliser, space marker, a Unigram
 model from the scores or a BPE model whose merges are ordered by the scores of what they make, byte fallback, and decoder. Where
 no piece holds the marker behind another character, which parsing checks, segments that begin at a marker are encoded apart, so
-each distinct segment of a batch is encoded once, by encode_batch on `threads` threads; otherwise whole texts are encoded. Every
-segment that is encoded is also encoded by the SentencePiece library, and a difference is reported with the document.
+each distinct segment of a batch is encoded once, by encode_batch on `threads` threads; otherwise whole texts are. Every whole text is
+also encoded by the SentencePiece library with the model file as it is, so a difference in normaliser, segmentation or model shows with
+its document, and the ids of every document are decoded as a whole.
 
 Defined cases: null texts have no ids (like empty ones) and decode to an empty text; control pieces in a text are ordinary text;
 rows are encoded one by one, so repeated rows get the same ids; texts of any length are encoded whole; decoding ids that aren't in the
@@ -20,9 +21,11 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,7 +36,10 @@ MARK = "▁"
 # Piece kinds and model types of the model file.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-MEMO_SEGMENTS, LOOKUP_CHARS = 300_000, 1 << 18
+#: Segments that a worker remembers, bytes of text that it handles at once, rows of a batch that go together, and threads that encode and decode a batch.
+MEMO_SEGMENTS, LOOKUP_BYTES, BATCH_ROWS, THREADS = 500_000, 1 << 21, 2048, 2
+#: Segments that are encoded as one text.
+TOGETHER = 256
 SEGMENT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
@@ -108,8 +114,8 @@ def merges(model: Model) -> list[tuple[str, str]]:
     return [x[4:] for x in sorted(out)]
 
 
-def backend(model: Model, whole: bool = True):
-    """The tokenizers pipeline; with whole=False, for segments that are normalised and marked already."""
+def backend(model: Model, whole: bool = True, lossless: bool | None = None):
+    """The tokenizers pipeline; with whole=False, for segments that are normalised and marked already. lossless: ids hold no unknown piece, as encoding with byte fallback gives none."""
     from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
     unknown = model.kinds.index(UNKNOWN)
@@ -134,100 +140,96 @@ def backend(model: Model, whole: bool = True):
         users = [AddedToken(p, normalized=False, special=False) for p, k in zip(model.pieces, model.kinds, strict=True) if k == USER]
         if users:
             tokenizer.add_tokens(users)
+    lost = [] if (model.byte_fallback if lossless is None else lossless) else [decoders.Replace(model.pieces[unknown], " \u2047 ")]
     strip = [decoders.Strip(" ", 1, 0)] if model.dummy_prefix else []
-    tokenizer.decoder = decoders.Sequence([decoders.Replace(model.pieces[unknown], " \u2047 "), decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *strip])
+    tokenizer.decoder = decoders.Sequence([*lost, decoders.ByteFallback(), decoders.Fuse(), decoders.Replace(MARK, " "), *strip])
     return tokenizer
 
 
 class Codec:
     """Encoder and decoder of one model in one Python worker."""
 
-    def __init__(self, data: bytes, threads: int = 1):
+    def __init__(self, data: bytes, threads: int = THREADS):
         import sentencepiece
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         self.threads = threads
         self.model = parse(data)
         self.simple = self.model.separable and not self.model.charsmap and not self.model.squeeze and USER not in self.model.kinds
-        # For segments the library's own normaliser would add a marker and drop spaces, so it gets the same pieces with an identity one.
         self.tokenizer = backend(self.model, whole=not self.simple)
-        self.peer = sentencepiece.SentencePieceProcessor(model_proto=without_normaliser(data) if self.simple else data)
-        self.wrong: set[str] = set()  # segments on which the libraries differ, and those that decoding doesn't give back
-        self.lost: set[str] = set()
+        self.peer = sentencepiece.SentencePieceProcessor(model_proto=data)
+        self.wrong = 0  # texts on which the libraries differed
         self.memo = WordMemo(self._learn, MEMO_SEGMENTS)
+        self.opens = np.array([p.startswith(MARK) for p in self.model.pieces]) & (MARK in self.model.pieces)
         self.silent = np.array([k == CONTROL for k in self.model.kinds])
 
+    def _batch(self, texts: list, **kw) -> list[list[int]]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "true" if self.threads > 1 else "false"
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False, **kw)]
+
     def _learn(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(segments, add_special_tokens=False)]
-        peers = self.peer.encode(segments, num_threads=self.threads)
-        self.wrong.update(s for s, a, b in zip(segments, ids, peers, strict=True) if a != b)
-        back = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
-        lead = int(self.model.dummy_prefix)
-        self.lost.update(s for s, b in zip(segments, back, strict=True) if s[lead if s[0] == MARK else 0 :].replace(MARK, " ") != b)
-        sizes = np.array([len(x) for x in ids], np.int64)
-        return np.array([x for y in ids for x in y], np.uint32), sizes
+        """Ids of segments, each a word of its own: those with one marker at the front begin at the only piece that begins with it."""
+        one = self.opens.any() and all(s[0] == MARK != s[1:2] for s in segments)
+        ids = self._batch([segments[i : i + TOGETHER] for i in range(0, len(segments), TOGETHER)], is_pretokenized=True) if one else self._batch(segments)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
+        return flat, np.diff(np.flatnonzero(self.opens[flat]), append=len(flat)) if one else sizes
 
     def segments(self, text: str) -> list[str]:
-        if not text:
-            return []
-        text = (MARK if self.model.dummy_prefix else "") + text.replace(" ", MARK)
-        if self.model.dummy_prefix and MARK + MARK not in text and text[-1] != MARK:
-            return [MARK + w for w in text[1:].split(MARK)]
-        return SEGMENT.findall(text)
+        """The stretches from marker to marker of a text."""
+        return SEGMENT.findall((MARK if self.model.dummy_prefix else "") + text.replace(" ", MARK)) if text else []
+
+    def _by_segments(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text. Where single spaces separate all words Arrow finds the segments, elsewhere a regular expression."""
+        odd = pc.or_(pc.match_substring_regex(texts, f"^$|^ |  | $|{MARK}"), not self.model.dummy_prefix)
+        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
+        words = pc.split_pattern(texts.filter(pc.invert(odd)), " ")
+        rest = pa.array([self.segments(t) for t in texts.filter(odd).to_pylist()], pa.large_list(pa.large_string()))
+        for rows, own, lead in ((pc.invert(odd), words, MARK), (odd, rest, "")):
+            counts = np.asarray(pc.list_value_length(own)).astype(np.int64)
+            chunks = own.flatten().dictionary_encode()
+            distinct = pc.binary_join_element_wise(pa.scalar(lead, pa.large_string()), chunks.dictionary.cast(pa.large_string()), pa.scalar("", pa.large_string()))
+            flat, sizes = self.memo.ids(self.memo.entries(distinct.to_numpy(zero_copy_only=False).tolist())[np.asarray(chunks.indices)])
+            ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(counts)]
+            for i, ids in zip(np.flatnonzero(np.asarray(rows)).tolist(), np.split(flat, ends[:-1]), strict=False):
+                out[i] = ids
+        return out
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, bool]]:
         """(ids, whether both libraries agree) of each text in turn."""
-        return ((ids, agrees) for ids, agrees, _ in self.checked(texts))
-
-    def checked(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, bool, bool]]:
-        """(ids, whether both libraries agree, whether decoding gives the text back) of each text in turn.
-
-        Where segments are encoded apart they are also decoded apart, each distinct one once: a byte run never crosses a marker, so a
-        text comes back if all its segments do and it holds no marker of its own.
-        """
-        texts = [t or "" for t in texts]
-        for a, b in slices([len(t) for t in texts], LOOKUP_CHARS):
-            if not self.simple:
-                own = [e.ids for e in self.tokenizer.encode_batch_fast(texts[a:b], add_special_tokens=False)]
-                peers = self.peer.encode(texts[a:b], num_threads=self.threads)
-                back = self.decode([np.array(x, np.int64) for x in own])
-                yield from ((np.array(x, np.uint32), x == y, t == z) for x, y, t, z in zip(own, peers, texts[a:b], back, strict=True))
-                continue
-            parts = [self.segments(t) for t in texts[a:b]]
-            flat, sizes = self.memo.ids([s for p in parts for s in p])
-            ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([len(p) for p in parts])]
-            agree = [not self.wrong or self.wrong.isdisjoint(p) for p in parts]
-            whole = [MARK not in t and (not self.lost or self.lost.isdisjoint(p)) for t, p in zip(texts[a:b], parts, strict=True)]
-            yield from zip(np.split(flat, ends[:-1]), agree, whole, strict=True)
+        return ((ids, agrees) for ids, agrees, _ in self.checked(pa.array(texts, pa.string())))
+
+    def checked(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, bool, str]]:
+        """(ids, whether the SentencePiece library gives the same for the whole text, the text that these ids decode to) of each text in turn."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        for a, b in slices(pc.binary_length(texts).to_pylist(), LOOKUP_BYTES):
+            part = texts.slice(a, b - a)
+            values = part.to_pylist()
+            ids = self._by_segments(part) if self.simple else [np.array(x, np.uint32) for x in self._batch(values)]
+            peers = self.peer.encode(values, num_threads=self.threads)
+            agree = [len(x) == len(y) and bool((x == np.array(y, np.uint32)).all()) for x, y in zip(ids, peers, strict=True)]
+            self.wrong += agree.count(False)
+            back = self._text([y if same else x.tolist() for x, y, same in zip(ids, peers, agree, strict=True)])
+            yield from zip(ids, agree, back, strict=True)
+
+    def _text(self, lists: list[list[int]]) -> list[str]:
+        return self.tokenizer.decode_batch(lists, skip_special_tokens=False)
 
     def decode(self, lists: list[np.ndarray]) -> list[str]:
         """Texts of lists of ids; control ids are silent."""
         for ids in lists:
             if len(ids) and (ids.min() < 0 or ids.max() >= len(self.silent)):
                 raise ValueError("an id isn't in the model")
-        return self.tokenizer.decode_batch([ids[~self.silent[ids]].tolist() for ids in lists], skip_special_tokens=False)
-
-
-def without_normaliser(data: bytes) -> bytes:
-    """The model file with an identity normaliser that adds and drops nothing."""
-    out = bytearray()
-    for number, value in protobuf(data):
-        if number == 3:
-            value = b"\x0a\x08identity\x18\x00\x20\x00\x28\x01"
-        size, n = bytearray(), len(value)
-        while n > 127:
-            size.append(n & 127 | 128)
-            n >>= 7
-        size.append(n)
-        out += bytes([number << 3 | 2]) + size + value
-    return bytes(out)
+        unknown = self.model.kinds.index(UNKNOWN)
+        if self.model.byte_fallback and any((ids == unknown).any() for ids in lists):
+            return backend(self.model, whole=False, lossless=False).decode_batch([ids[~self.silent[ids]].tolist() for ids in lists], skip_special_tokens=False)
+        return self._text([ids[~self.silent[ids]].tolist() for ids in lists])
 
 
 _codecs: dict[tuple[str, int], Codec] = {}
 
 
-def codec(path: str, threads: int = 1) -> Codec:
+def codec(path: str, threads: int = THREADS) -> Codec:
     """One codec for each Python worker and model file."""
     if (path, threads) not in _codecs:
         with open(path, "rb") as f:
@@ -235,7 +237,7 @@ def codec(path: str, threads: int = 1) -> Codec:
     return _codecs[path, threads]
 
 
-def encode(text: Column, path: str, threads: int = 1) -> Column:
+def encode(text: Column, path: str, threads: int = THREADS) -> Column:
     """struct<ids, agrees> of each text."""
 
     def run(texts: pa.Array) -> pa.Array:
@@ -257,15 +259,24 @@ def decode(ids: Column, path: str) -> Column:
     return F.arrow_udf(by_parts(lambda lists: pa.array(codec(path).decode(_rows(lists)), pa.string())), "string")(ids)
 
 
-def checked(text: Column, path: str, threads: int = 1) -> Column:
-    """struct<n_ids, ids_crc32, agrees, round_trip> of each text: encoded, compared with the other library, decoded again, all in one Python step. The checksum is over unsigned little-endian 32-bit ids."""
+CHECKED = "struct<n_ids:long,ids_crc32:long,agrees:boolean,round_trip:boolean,text_crc32:long>"
 
-    def run(texts: pa.Array) -> pa.Array:
-        ids, agrees, back = zip(*codec(path, threads).checked(texts.to_pylist()), strict=True) if len(texts) else ((), (), ())
-        columns = [pa.array([len(i) for i in ids], pa.int64()), pa.array([zlib.crc32(i.astype("<u4").tobytes()) for i in ids], pa.int64()), pa.array(agrees, pa.bool_()), pa.array(back, pa.bool_())]
-        return pa.StructArray.from_arrays(columns, names=["n_ids", "ids_crc32", "agrees", "round_trip"])
 
-    return F.arrow_udf(by_parts(run), "struct<n_ids:long,ids_crc32:long,agrees:boolean,round_trip:boolean>")(text.cast("string"))
+def checked(text: Column, path: str, threads: int = THREADS) -> Column:
+    """Each whole text encoded, compared with the other library, and decoded again from its ids, all in one Python step, see CHECKED.
+
+    ids_crc32 is over unsigned little-endian 32-bit ids, text_crc32 over the UTF-8 of the decoded text; round_trip: that text is the given one.
+    """
+
+    def run(texts: pa.Array) -> pa.Array:
+        rows = []
+        for given, (ids, agrees, back) in zip(texts.to_pylist(), codec(path, threads).checked(texts), strict=True):
+            rows.append((len(ids), zlib.crc32(ids.astype("<u4").tobytes()), agrees, back == (given or ""), zlib.crc32(back.encode())))
+        names, types = zip(*(x.split(":") for x in CHECKED[7:-1].split(",")), strict=True)
+        columns = zip(*rows, strict=True) if rows else [()] * len(names)
+        return pa.StructArray.from_arrays([pa.array(c, pa.bool_() if t == "boolean" else pa.int64()) for c, t in zip(columns, types, strict=True)], names=list(names))
+
+    return F.arrow_udf(by_parts(run, BATCH_ROWS), CHECKED)(text.cast("string"))
 
 
 def piece_model() -> str:

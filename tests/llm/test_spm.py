@@ -75,11 +75,25 @@ def test_columns(spark):
     peer = sentencepiece.SentencePieceProcessor(model_file=path)
     for r in rows:
         assert r.i == peer.encode(r.text or "") and r.agrees and r.back == peer.decode(r.i)
-        assert r.c == (len(r.i), zlib.crc32(np.array(r.i, "<u4").tobytes()), True, r.back == (r.text or ""))
+        assert r.c == (len(r.i), zlib.crc32(np.array(r.i, "<u4").tobytes()), True, r.back == (r.text or ""), zlib.crc32(r.back.encode()))
     empty = df.limit(0)
     assert empty.select(spm.checked(F.col("text"), path)).collect() == [] and empty.withColumn("e", spm.encode(F.col("text"), path)).collect() == []
 
 
+def test_a_changed_normaliser_shows(monkeypatch):
+    data = Path(spm.piece_model()).read_bytes()
+    codec = spm.Codec(data)
+    assert [a for _, a in codec.encode(["two  words ", "one"])] == [True, True]
+    monkeypatch.setattr(codec, "segments", lambda text: [spm.MARK + w for w in text.split()])
+    assert [a for _, a in codec.encode(["two  words ", "one"])] == [False, True] and codec.wrong == 1
+
+
+def test_control_and_unknown_ids_decode():
+    codec, peer = spm.codec(spm.piece_model()), sentencepiece.SentencePieceProcessor(model_file=spm.piece_model())
+    ids = [1, *peer.encode("some words"), 0, 2]
+    assert codec.decode([np.array(ids)]) == [peer.decode(ids)]
+
+
 def test_ids_beyond_the_model():
     with pytest.raises(ValueError):
         spm.codec(spm.piece_model()).decode([np.array([40_000])])
