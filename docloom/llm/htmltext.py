@@ -2,15 +2,18 @@
 
 A page is cut into blocks at block-level tags; the tag path of a block is the chain of block-level elements above it, each with
 its class and id. For every path the text length and the punctuation of its blocks are added up and divided by the number of
-blocks (text in links doesn't count). The two ratios are smoothed over paths that share their upper part (the marked article, else
-the parent), fused by a product, and paths at or above a share of the best fused ratio are content. A marked article with such a path is
-content as a whole, so that short headings, items and cells stay beside long paragraphs; a word on an element around the page's only
-articles doesn't exclude them. Elements that never hold article text (scripts, navigation,
-footers, forms, elements whose class or id names an advert, a notice, a sidebar or comments) count zero whatever their ratios,
-and where a page marks its article, paths inside it outweigh those outside.
+blocks (text in links doesn't count). The two ratios are smoothed over the path's container (the marked article, else the element
+above) and fused by a product; marks weigh it: OUTSIDE for a path outside the article where a page marks one, NAMED for a path with an element whose
+class or id names an advert, a notice, a sidebar or comments. Paths at or above a share of the best fused ratio are content, and
+open their containers: a marked article then counts with all paths below it, another container with the headings, paragraphs, lists and tables
+directly in it, so that short blocks stay beside long paragraphs. Paths that are mostly links, and named ones, need a ratio of their own for that.
+Kinds that never hold article text (scripts, forms, navigation, headers, footers and asides, hidden elements) count zero. A word on an
+element around the page's only articles doesn't weigh on them. If no ratio is above zero, the marked article counts as it is.
+
+The scanner reads a page once: a tag that never ends ends the page, and after one whose quotes never close, quotes are read as plain characters.
 
 Defined cases: a null or empty html has no text; broken markup, unclosed elements and truncated pages are read as far as they go;
-repeated pages get the same text; pages of any length are read whole; extra columns are ignored.
+repeated pages get the same text; pages of any length and depth are read whole in time that grows with their length; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,28 +43,44 @@ OFF_WORDS = frozenset(
 MAIN_WORDS = frozenset("article articlebody body content entry main post story text".split())
 MAIN_ROLES, OFF_ROLES = frozenset(["main", "article"]), frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar note".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\s*(?:[^\s=>\"'/]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+))?|[/\"'=]))*\s*)>|<[/a-zA-Z][^<>]*\Z", re.S)
+NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+REST = re.compile(r"""((?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+|["'])*+)>""")
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-RAW_END = {x: re.compile(rf"</{x}\b[^>]*>", re.I) for x in RAW}
+RAW_END = {x: re.compile(rf"</{x}(?=[\s/>]|\Z)", re.I) for x in RAW}
 WORD = re.compile(r"[a-z]+")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、！？；：।]")
 SPACE = re.compile(r"\s+")
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 CLOSED_BY_OWN = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+SCOPES = frozenset("ul ol dl table select".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+FLOW = HEADINGS | SCOPES | frozenset("p li dt dd thead tbody tfoot tr td th caption blockquote pre figure figcaption".split())
 
-#: Share of a path's ratios that comes from its parent's paths, and the least share of the best fused ratio that content has.
-SMOOTHING, LEAST_SHARE = 0.5, 0.1
-#: Weight of paths outside the marked article.
-OUTSIDE = 0.02
+#: Share of a path's ratios that comes from its container, and the least share of the best fused ratio that content has.
+SMOOTHING, LEAST_SHARE = 0.5, 0.3
+#: Weights of paths outside the marked article and of named ones; the share of linked text from which a path is mostly links.
+OUTSIDE, NAMED, LINKED = 0.02, 0.02, 0.5
 #: Why an element is off: a word on an element around its article, a word on it or above, its kind.
 AROUND, WORDED, NEVER = 1, 2, 3
 
 
 @dataclass
-class Block:
-    path: str
-    main: str  # path of the outermost element marked as the article, or empty
+class Path:
+    """One tag path of a page; above and main are numbers of paths, or -1."""
+
+    tag: str
+    above: int
+    main: int  # the outermost element marked as the article
     off: int
+    n: int = 0
+    total: int = 0
+    length: int = 0  # text outside links
+    marks: int = 0
+
+
+@dataclass
+class Block:
+    path: int
     parts: list = field(default_factory=list)
     linked: int = 0
 
@@ -86,115 +105,161 @@ def _marks(tag: str, attributes: str, inside: bool) -> tuple[str, bool, int]:
     return name, main, off
 
 
-def blocks(page: str) -> list[Block]:
-    """Blocks with text, in page order."""
+def blocks(page: str, marked: bool = True) -> tuple[list[Block], list[Path]]:
+    """Blocks with text, in page order, and the paths they are numbered by. marked=False: no class, id or role says anything, nor does an article element."""
     out: list[Block] = []
-    stack: list[tuple[str, str, str, int]] = []  # tag, path, main, off
-    links = 0
+    paths = [Path("", -1, -1, 0)]
+    numbers: dict[tuple, int] = {}
+    stack: list[tuple[str, int]] = []  # tag, path
+    places: dict[str, list[int]] = {}  # where in the stack each tag is open
+    linked = False
     current: Block | None = None
-    at, size = 0, len(page)
+    at, size, quotes = 0, len(page), True
 
     def text(raw: str) -> None:
         nonlocal current
         if current is None:
             if not raw.strip():
                 return
-            top = stack[-1] if stack else ("", "", "", 0)
-            current = Block(top[1], top[2], top[3])
+            current = Block(stack[-1][1] if stack else 0)
             out.append(current)
         current.parts.append(raw)
-        if links:
+        if linked:
             current.linked += len(raw)
 
+    def innermost(tags) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=-1)
+
+    def close(i: int) -> None:
+        """Close the i-th open element and all in it."""
+        for tag, _ in stack[i:]:
+            places[tag].pop()
+        del stack[i:]
+
     while at < size:
-        m = TOKEN.search(page, at)
-        if m is None:
+        start = page.find("<", at)
+        if start < 0:
             text(page[at:])
             break
-        if m.start() > at:
-            text(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
+        if start > at:
+            text(page[at:start])
+        m = NAME.match(page, start + 1)
+        if not m:
+            if page[start + 1 : start + 2] not in ("!", "?", "/"):
+                text("<")
+                at = start + 1
+                continue
+            mark = "-->" if page.startswith("<!--", start) else ">"
+            end = page.find(mark, start + 2)
+            if end < 0:
+                break
+            at = end + len(mark)
             continue
+        rest = REST.match(page, m.end()) if quotes else None
+        if rest:
+            at, attributes = rest.end(), rest[1]
+        else:
+            quotes, end = False, page.find(">", m.end())
+            if end < 0:
+                break
+            at, attributes = end + 1, page[m.end() : end]
         tag, closing = m[2].lower(), bool(m[1])
         if tag in INLINE:
             if tag == "br":
                 text(" ")
             elif tag == "a":
-                links = 0 if closing else 1
+                linked = not closing
             continue
-        current = None
-        links = 0
+        current, linked = None, False
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            if places.get(tag):
+                close(places[tag][-1])
             continue
-        if tag in CLOSES_P:
-            if any(x[0] == "p" for x in stack):
-                while stack and stack.pop()[0] != "p":
-                    pass
-        own = CLOSED_BY_OWN.get(tag)
-        if own:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in own:
-                    del stack[i:]
-                    break
-                if stack[i][0] in ("ul", "ol", "dl", "table", "select"):
-                    break
+        if tag in CLOSES_P and places.get("p"):
+            close(places["p"][0])
+        own = innermost(CLOSED_BY_OWN.get(tag, ()))
+        if own > innermost(SCOPES):
+            close(own)
         if tag in VOID:
             continue
-        name, main, off = _marks(tag, m[3], bool(stack and stack[-1][2]))
-        if tag in ("header",) and any(x[0] in HEADED for x in stack):
-            off = max(x[3] for x in stack)  # an article's own heading
-        above = stack[-1] if stack else ("", "", "", 0)
         if tag in RAW:
             end = RAW_END[tag].search(page, at)
-            at = end.end() if end else size
+            closed = page.find(">", end.end()) if end else -1
+            at = closed + 1 if closed >= 0 else size
             continue
-        path = f"{above[1]}/{name}"
-        starts = main and not above[2] and above[3] == WORDED and not off
-        stack.append((tag, path, above[2] or (path if main else ""), AROUND if starts else max(above[3], off)))
+        above = stack[-1][1] if stack else 0
+        name, main, off = _marks(tag, attributes, paths[above].main >= 0)
+        if tag == "header" and any(places.get(x) for x in HEADED):
+            off = paths[above].off  # an article's own heading
+        if not marked:
+            name, main, off = name, False, NEVER * (tag in RAW)
+        key = (above, name, main, off)
+        if key not in numbers:
+            numbers[key] = len(paths)
+            up = paths[above]
+            starts = main and up.main < 0 and up.off == WORDED and not off
+            paths.append(Path(tag, above, up.main if up.main >= 0 else len(paths) if main else -1, AROUND if starts else max(up.off, off)))
+        places.setdefault(tag, []).append(len(stack))
+        stack.append((tag, numbers[key]))
+    return out, paths
+
+
+def fused_ratios(paths: list[Path], smoothing: float, outside: float, named: float) -> list[float]:
+    """The fused ratio of each path."""
+    sums: dict[int, list[int]] = {}
+    for p in paths:
+        if p.off != NEVER:
+            own = sums.setdefault(_container(p), [0, 0, 0])
+            own[0], own[1], own[2] = own[0] + p.n, own[1] + p.length, own[2] + p.marks
+    article = any(p.n and p.main >= 0 and not p.off for p in paths)
+    out = []
+    for p in paths:
+        if not p.n or p.off == NEVER:
+            out.append(0.0)
+            continue
+        n, length, marks = sums[_container(p)]
+        text_ratio = (1 - smoothing) * p.length / p.n + smoothing * length / n
+        mark_ratio = (1 - smoothing) * p.marks / p.n + smoothing * marks / n
+        weight = (outside if article and p.main < 0 else 1) * (named if p.off else 1)
+        out.append(text_ratio * (1 + mark_ratio) * weight if p.length else 0.0)
     return out
 
 
-def extract(page: str | None, smoothing: float = SMOOTHING, least_share: float = LEAST_SHARE, outside: float = OUTSIDE) -> str:
+def _container(p: Path) -> int:
+    return p.main if p.main >= 0 else p.above
+
+
+def content(paths: list[Path], fused: list[float], least_share: float) -> list[bool]:
+    """Which paths are content."""
+    least = least_share * max(fused)
+    if not least:
+        return [p.main >= 0 and not p.off for p in paths]
+    chosen = [f >= least for f in fused]
+    opened = {_container(p) for p, c in zip(paths, chosen, strict=True) if c and not p.off}
+    reached = [False] * len(paths)  # inside an opened container; a path comes after the one above it
+    for i, p in enumerate(paths):
+        reached[i] = p.main in opened if p.main >= 0 else p.tag in FLOW and (p.above in opened or reached[p.above])
+        if reached[i] and p.n and not p.off and (p.tag in HEADINGS or 1 - p.length / p.total < LINKED):
+            chosen[i] = True
+    return chosen
+
+
+def extract(page: str | None, smoothing: float = SMOOTHING, least_share: float = LEAST_SHARE, outside: float = OUTSIDE, named: float = NAMED, marked: bool = True) -> str:
     """Text of the content blocks, joined by line ends."""
+    cut, paths = blocks(page or "", marked)
     found = []
-    for b in blocks(page or ""):
+    for b in cut:
         t = SPACE.sub(" ", entities.unescape("".join(b.parts))).strip()
         if t:
-            found.append((b, t))
-    if not any(b.main and not b.off for b, _ in found):  # the only article stands in an element with such a word
-        for b, _ in found:
-            b.off = 0 if b.off == AROUND else b.off
-    sums: dict[str, list[float]] = {}
-    for b, t in found:
-        s = sums.setdefault(b.path, [0, 0.0, 0.0, b.off, b.main])
-        s[0] += 1
-        s[1] += max(0, len(t) - b.linked)
-        s[2] += 0 if b.linked else len(PUNCTUATION.findall(t))
-    marked = any(s[4] and not s[3] for s in sums.values())
-    parents: dict[str, list[float]] = {}
-    for path, s in sums.items():
-        if not s[3]:
-            p = parents.setdefault(s[4] or path.rpartition("/")[0], [0, 0.0, 0.0])
-            for i in range(3):
-                p[i] += s[i]
-    fused = {}
-    for path, (n, length, marks, off, main) in sums.items():
-        if off:
-            fused[path] = 0.0
-            continue
-        pn, plength, pmarks = parents[main or path.rpartition("/")[0]]
-        text_ratio = (1 - smoothing) * length / n + smoothing * plength / pn
-        mark_ratio = (1 - smoothing) * marks / n + smoothing * pmarks / pn
-        fused[path] = text_ratio * (1 + mark_ratio) * (1 if main or not marked else outside)
-    least = least_share * max(fused.values(), default=0)
-    # The ratios choose whole containers: all of a marked article that holds a path at or above the least counts.
-    chosen = {s[4] for path, s in sums.items() if s[4] and not s[3] and fused[path] > 0 and fused[path] >= least}
-    return "\n".join(t for b, t in found if not b.off and (b.main in chosen or fused[b.path] > 0 and fused[b.path] >= least))
+            found.append((b.path, t))
+            p = paths[b.path]
+            p.n, p.total, p.length = p.n + 1, p.total + len(t), p.length + max(0, len(t) - b.linked)
+            p.marks += 0 if b.linked else len(PUNCTUATION.findall(t))
+    if not any(p.n and p.main >= 0 and not p.off for p in paths):  # the only article stands in an element with such a word
+        for p in paths:
+            p.off = 0 if p.off == AROUND else p.off
+    chosen = content(paths, fused_ratios(paths, smoothing, outside, named), least_share)
+    return "\n".join(t for path, t in found if chosen[path])
 
 
 def _main_texts(pages: pa.Array) -> pa.Array:

@@ -1,3 +1,7 @@
+import random
+import time
+from html.parser import HTMLParser
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,3 +61,114 @@ def test_word_around_the_article_does_not_exclude_it():
     assert extract(f"<div class='page has-sidebar'><p class=menu>Home</p>{body}</div>").split("\n") == ["Title", LONG]
     assert extract(f"<div class=comments><article><p>{LONG} Comment.</p></article></div>{body}").split("\n") == ["Title", LONG]
     assert extract(f"<div class=sidebar hidden>{body}</div>") == ""
+
+
+N = 100_000
+HOSTILE = [
+    "<p>Hello.</p><div " + "a" * N, "<p>Hello.</p><div " + "a" * N + " <", "<p>Hello.</p>" + "<a " * N, "<p>Hello.</p>" + "<div x=\"" * N, "<p>Hello.</p>" + "<script></script " * N,
+    "<p>Hello.</p>" + "<!-- " * N, "<p>Hello.</p><p " + "class " * N, "<p>Hello.</p><p " + "class = " * N + ">", "<p>Hello.</p><p class" + " " * N + ">",
+]
+
+
+@pytest.mark.parametrize("page", HOSTILE)
+def test_unfinished_tags_take_linear_time(page):
+    start = time.perf_counter()
+    assert extract(page) == "Hello."
+    assert time.perf_counter() - start < 1
+
+
+def test_deep_and_unbalanced_pages():
+    start = time.perf_counter()
+    assert extract("<div>" * N + "<p>Hello.</p>" + "</q></div>" * N) == "Hello."
+    assert extract("<li><ul>" + "<div>" * 20_000 + "<li></li>" * 20_000 + "<p>Hello.</p>") == "Hello."
+    assert extract("a < b " * 20_000) == ("a < b " * 20_000).strip()
+    assert extract("<p title='it > x'>One, two.</p><p title=it's>Three.</p><p title=\"x>Four.</p>") == "One, two.\nThree.\nFour."
+    assert time.perf_counter() - start < 10
+
+
+class Plain(HTMLParser):
+    """Blocks of a well-formed page with their paths, as lists of (tag, class)."""
+
+    def __init__(self):
+        super().__init__()
+        self.stack, self.found, self.linked = [], [], False
+
+    def handle_starttag(self, tag, attrs):
+        self.linked |= tag == "a"
+        if tag != "a":
+            self.stack.append((tag, dict(attrs).get("class", "")))
+            self.found.append([tuple(self.stack), "", 0])
+
+    def handle_endtag(self, tag):
+        self.linked &= tag != "a"
+        if tag != "a":
+            self.stack.pop()
+            self.found.append([tuple(self.stack), "", 0])
+
+    def handle_data(self, data):
+        self.found[-1][1] += data
+        self.found[-1][2] += len(data) * self.linked
+
+
+def plain_extract(page):
+    """Path ratios in the plainest way, for pages of div, p, h2, ul and li without telling names."""
+    p = Plain()
+    p.feed(page)
+    found = [(path, t.strip(), linked) for path, t, linked in p.found if t.strip()]
+    mean = lambda rows, f: sum(map(f, rows)) / len(rows)
+    length, marks = lambda r: max(0, len(r[1]) - r[2]), lambda r: 0 if r[2] else sum(c in ".,;:!?" for c in r[1])
+    fused = {}
+    for path in {r[0] for r in found}:
+        own, near = [r for r in found if r[0] == path], [r for r in found if r[0][:-1] == path[:-1]]
+        fused[path] = (mean(own, length) + mean(near, length)) / 2 * (1 + (mean(own, marks) + mean(near, marks)) / 2) if sum(map(length, own)) else 0
+    chosen = {x for x, f in fused.items() if f >= 0.3 * max(fused.values())}
+    opened = {x[:-1] for x in chosen}
+    for path in fused:
+        k = len(path)
+        while k and path[k - 1][0] in ("p", "h2", "ul", "li") and path[: k - 1] not in opened:
+            k -= 1
+        own = [r for r in found if r[0] == path]
+        if k and path[k - 1][0] in ("p", "h2", "ul", "li") and (path[-1][0] == "h2" or 2 * sum(map(length, own)) > sum(len(r[1]) for r in own)):
+            chosen.add(path)
+    return [r[1] for r in found if r[0] in chosen], [r[1] for r in found]
+
+
+def random_page(rng):
+    """A page without marks: (html, article blocks)."""
+    words = lambda a, b, end: " ".join("w" * rng.randrange(2, 9) + "," * (rng.random() < 0.15) for _ in range(rng.randrange(a, b))) + f" {rng.random()}{end}"
+    links = lambda n: "".join(f"<li><a href=x>{words(1, 3, '')}</a></li>" for _ in range(n))
+    article, body = [], ""
+    for _ in range(rng.randrange(3, 9)):
+        kind, t = rng.choice(["h2", "p", "p", "p", "li"]), words(2, 5, "")
+        t = words(25, 90, ".") if kind == "p" else t
+        article.append(t)
+        body += f"<ul><li>{t}</li></ul>" if kind == "li" else f"<{kind}>{t}</{kind}>"
+    t = words(30, 90, ".")
+    page = f"<div class=a1><ul>{links(6)}</ul></div><div class=b2>{words(2, 6, '')}</div><div class=c3><p>{t}</p>{body}<ul class=e5>{links(3)}</ul></div><div class=d4><p>{words(2, 7, '.')}</p></div>"
+    return page, [t, *article]
+
+
+def test_ratios_against_a_plain_version():
+    rng = random.Random(4)
+    right = kept = wanted = 0
+    for _ in range(200):
+        page, article = random_page(rng)
+        got, everything = extract(page).split("\n"), plain_extract(page)[1]
+        assert got == plain_extract(page)[0]
+        assert got != everything and set(got) <= set(everything)
+        right, kept, wanted = right + len(set(got) & set(article)), kept + len(got), wanted + len(article)
+    assert right / kept > 0.97 and right / wanted > 0.99
+
+
+def test_ratios_decide_beside_marks():
+    article = f"<article><h1>Title</h1><p>{LONG}</p><p>{LONG}</p><ul><li><a href=x>Other page</a></li><li><a href=y>One more page</a></li></ul></article>"
+    assert extract(article).split("\n") == ["Title", LONG, LONG]
+    assert extract(article, least_share=0).split("\n")[-1] == "One more page"
+    teaser = f"<article><p>Tiny.</p></article><div class=c1>{f'<p>{LONG * 20}</p>' * 3}</div>"
+    assert extract(teaser).split("\n") == [LONG * 20] * 3
+    assert extract("<article><p><a href=x>Only a link</a></p></article><p><a>Menu</a></p>") == "Only a link"
+
+
+def test_without_marks_ratios_stand_alone():
+    got = extract(PAGE, marked=False).split("\n")
+    assert LONG in got and "One" not in got and "Name" not in got
