@@ -3,11 +3,15 @@
 Fixed patterns give the base spans of every text. Wider generators (numbers with any of the usual separators, each as a card, a
 phone and an address; e-mail addresses with "at" and "dot" spelled out) propose overlapping candidates. A candidate's features
 describe its normalised form (check digit, digit count, octets, grouping, domain) and its context (characters on either side, a cue
-word before), not the notation by which the fixed patterns know theirs. Boosted trees of depth two are fitted to tell candidates
-that are base spans from those that aren't: Spark counts the feature combinations over all rows, of which there are at most
-CELLS, and the driver boosts over those counts. For each kind the threshold is the lowest at which PRECISION of the accepted
-candidates of the held-out fold are base spans, and not under the log-odds of PROBABILITY. The trees go into the second pass as one CASE expression; what it
-accepts and neither a base span nor a better candidate overlaps is added.
+word before), not the notation by which the fixed patterns know theirs. Boosted trees of depth two learn from candidates whose kind is known:
+those in base notation that pass the kind's checks are positive, those that fail the checks (see `plausible`) negative, whatever their notation;
+candidates that pass in another notation are what the trees are for, so they count as neither. Spark counts the feature combinations over all rows,
+of which there are at most CELLS, and the driver boosts over those counts. For each kind the threshold is the lowest at which PRECISION of the
+accepted known candidates of the held-out fold are positive, and not under the log-odds of PROBABILITY. The trees go into the second pass as one
+CASE expression. That pass proposes candidates in what base spans leave of a text, addresses before numbers; a number gets the kind by
+which it passes best, so spans that are added overlap nothing.
+
+Positions come from running sums over chunks, and texts are cut by chunks, so work grows with the length of a text and the spans in it.
 
 Defined cases: null texts count as empty; a text without candidates has an empty span list; positions count code points; repeated
 rows get the same spans; texts of any length are searched whole; without a single base span of a kind nothing of it is added; other columns
@@ -34,26 +38,57 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 # Wider generators.
 NUMBER = r"(?<![A-Za-z0-9])\+?[(]?[0-9](?:[\x20().\-/ ‐-―]{0,3}[0-9]){6,}+"
 ADDRESS = rf"(?<!{LOCAL}){LOCAL}{{1,64}}+\x20?(?:@|[(\[{{](?i:at)[)\]}}]|\x20(?i:at)\x20)\x20?[A-Za-z0-9-]++(?:(?:\.|\x20?[(\[{{](?i:dot)[)\]}}]\x20?|\x20(?i:dot)\x20)[A-Za-z0-9-]++)++"
+SPELLED = r"@|(?i:[(\[{]at[)\]}]|\x20at\x20[a-z0-9-]+(?:\.|\x20dot\x20|\x20?[(\[{]dot[)\]}]))"
+KNOWN_TOP = "(?i)^(?:com|net|org|edu|gov|io|info|biz|eu|de|at|ch|uk|fr|es|it|pt|nl|be|pl|cz|se|no|dk|fi|ru|ua|us|ca|mx|br|ar|in|cn|jp|kr|au|nz|za)$"
+#: Base notation of a whole candidate, by kind.
+WRITTEN = (rf"^{LOCAL}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+\z", r"^[0-9]+(?:\.[0-9]+){3}\z", r"^[0-9](?:[\x20-]?[0-9])+\z", r"^\+[0-9][\x20().0-9-]+[0-9]\z")
 CUE = r"(?i)(?:tel|phone|call|fax|mobil|mail|contact|card|visa|master|server|host|\bip\b|address)"
 
 #: Features and how many values each has; a candidate is one of CELLS combinations.
 FEATURES = {"kind": 4, "luhn": 2, "digits": 8, "octets": 2, "parens": 2, "groups": 4, "before": 3, "after": 3, "cue": 2, "domain": 3}
 CELLS = int(np.prod(list(FEATURES.values())))
+#: Values that a running sum takes at once, and code points of the pieces a text is cut from.
+CHUNK, PIECE, FILLER = 64, 512, "\ue000"
+MATCHES = "array<struct<start:long,stop:long,value:string,before:string,after:string>>"
+SPANS = "array<struct<start:long,kind:int,stop:long>>"
 ROUNDS, RATE, RIDGE, PRECISION, LEAST, PROBABILITY = 40, 0.3, 1.0, 0.98, 5, 0.9
 
 
+def let(value: Column, f) -> Column:
+    """f(value), with value computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def running(values: Column, join) -> Column:
+    """For each of an array of longs what join makes of all before it, from 0 on. By chunks, since appending copies an array."""
+    none = F.array().cast("array<long>")
+    start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("out"))
+
+    def along(array: Column, of) -> Column:
+        return F.aggregate(array, start, lambda acc, x: F.struct(join(acc["at"], of(x)).cast("long").alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))
+
+    def joined_up(parts: Column) -> Column:
+        return F.flatten(F.zip_with(parts, along(parts, lambda p: p["at"])["out"], lambda p, b: F.transform(p["out"], lambda x: join(x, b))))
+
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / CHUNK).cast("int")), lambda j: F.slice(values, j * CHUNK + 1, F.lit(CHUNK)))
+    return F.when(F.size(values) > 0, let(F.transform(chunks, lambda c: along(c, lambda x: x)), joined_up)).otherwise(none)
+
+
 def matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, stop, value>> of all leftmost matches, which don't overlap. Text between matches comes from split with the same pattern."""
-    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    empty = F.array().cast("array<struct<start:long,stop:long,value:string>>")
-    step = F.arrays_zip(F.slice(between, 1, F.greatest(F.size(found), F.lit(0))).alias("gap"), found.alias("value"))
+    """MATCHES of all leftmost matches, which don't overlap. Text between matches comes from split with the same pattern."""
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        stop = start + F.length(x["value"])
-        return F.struct(stop.cast("long").alias("at"), F.concat(acc["out"], F.array(F.struct(start.cast("long").alias("start"), stop.cast("long").alias("stop"), x["value"].alias("value")))).alias("out"))
+    def placed(b: Column) -> Column:
+        n = F.size(b["found"])
+        each = F.arrays_zip(F.slice(b["gaps"], 1, n).alias("gap"), b["found"].alias("value"), F.slice(b["gaps"], 2, n).alias("next"))
+        ends = running(F.transform(each, lambda x: (F.length(x["gap"]) + F.length(x["value"])).cast("long")), lambda a, x: a + x)
 
-    return F.aggregate(step, F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out")), add, lambda acc: acc["out"])
+        def one(x: Column, at: Column) -> Column:
+            start = at + F.length(x["gap"])
+            return F.struct(start.alias("start"), (start + F.length(x["value"])).alias("stop"), x["value"].alias("value"), F.right(x["gap"], F.lit(20)).alias("before"), F.left(x["next"], F.lit(1)).alias("after"))
+
+        return F.zip_with(each, ends, one)
+
+    return let(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps")), placed)
 
 
 def digits_of(value: Column) -> Column:
@@ -75,7 +110,7 @@ def octets(value: Column) -> Column:
 
 def base_spans(text: Column) -> Column:
     """array<struct<start, kind, stop>> of the fixed patterns, by start, then kind as in KINDS."""
-    none = F.array().cast("array<struct<start:long,stop:long,value:string>>")
+    none = F.array().cast(MATCHES)
     at, digit, plus = F.contains(text, F.lit("@")), text.rlike("[0-9]"), F.contains(text, F.lit("+"))
     n = lambda v: F.length(digits_of(v))
     kept = [
@@ -88,39 +123,60 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*[F.transform(m, tagged(k)) for k, m in enumerate(kept)]))
 
 
-def _context(text: Column, position: Column) -> Column:
-    """0 at an end of the text or white space, 1 at a mark, 2 at a letter or digit."""
-    c = F.substring(text, position, F.lit(1))
-    return F.when((position < 1) | (c == "") | c.rlike(r"\s"), 0).when(c.rlike(r"[\p{L}\p{N}]"), 2).otherwise(1)
+def _context(c: Column) -> Column:
+    """0 at an end of the text or white space, 1 at a mark or another match, 2 at a letter or digit."""
+    return F.when(c.rlike(r"\s"), 0).when(c.rlike(r"[\p{L}\p{N}]"), 2).otherwise(1)
+
+
+def plausible(kind: Column, value: Column, digits: Column, written: Column, cue: Column, domain: Column) -> Column:
+    """The kind's checks. In base notation those of the fixed patterns; else a card passes the check digit, a phone begins like one or is cut into groups and has
+    its digits, an address has four octets and a cue, and an e-mail address ends in a known domain, or has a cue and ends like one."""
+    n, groups = F.length(digits), F.size(F.split(value, "[^0-9]+"))
+    card = n.between(12, 19) & F.when(n.between(12, 19), luhn(digits)).otherwise(False)
+    phone = n.between(9, 15) & (written | value.rlike(r"^(?:\+|00|\(?0)") | (groups >= 3))
+    ip = octets(F.regexp_replace(value, "[^0-9]+", ".")) & (written | cue)
+    email = written | (domain == 2) | ((domain == 1) & cue)
+    return F.when(kind == 0, email).when(kind == 1, ip).when(kind == 2, card).otherwise(phone)
 
 
-def _features(text: Column, m: Column, kind: Column, value: Column, domain: Column) -> Column:
+def _candidate(m: Column, kind: int, value: Column, domain: Column) -> Column:
+    """A struct of span, features, and whether it is written in base notation and plausible."""
     digits = digits_of(value)
-    n = F.length(digits)
-    before = F.substring(text, F.greatest(m["start"] - 19, F.lit(1)).cast("int"), F.least(m["start"], F.lit(20)).cast("int"))
+    n, k, cue, written = F.length(digits), F.lit(kind), m["before"].rlike(CUE), m["value"].rlike(WRITTEN[kind])
+    number = lambda x: F.lit(0) if kind == 0 else x
     return F.struct(
-        m["start"].alias("start"), kind.cast("int").alias("kind"), m["stop"].alias("stop"),
-        F.when(kind == 0, 0).when(n.between(12, 19), luhn(digits).cast("int")).otherwise(0).alias("luhn"),
-        F.when(kind == 0, 0).when(n < 9, 0).when(n < 12, 1).when(n == 12, 2).when(n < 15, 3).when(n == 15, 4).when(n == 16, 5).when(n < 20, 6).otherwise(7).alias("digits"),
-        F.when(kind == 0, 0).otherwise(octets(value).cast("int")).alias("octets"),
-        F.when(kind == 0, 0).otherwise(F.contains(value, F.lit("(")).cast("int")).alias("parens"),
-        F.when(kind == 0, 0).otherwise(F.least(F.size(F.split(value, "[^0-9]+")) - 1, F.lit(3))).alias("groups"),
-        _context(text, m["start"].cast("int")).alias("before"), _context(text, (m["stop"] + 1).cast("int")).alias("after"),
-        before.rlike(CUE).cast("int").alias("cue"), domain.alias("domain"),
+        m["start"].alias("start"), k.alias("kind"), m["stop"].alias("stop"),
+        number(F.when(n.between(12, 19), luhn(digits).cast("int")).otherwise(0)).alias("luhn"),
+        number(F.when(n < 9, 0).when(n < 12, 1).when(n == 12, 2).when(n < 15, 3).when(n == 15, 4).when(n == 16, 5).when(n < 20, 6).otherwise(7)).alias("digits"),
+        number(octets(F.regexp_replace(value, "[^0-9]+", ".")).cast("int")).alias("octets"),
+        number(F.contains(value, F.lit("(")).cast("int")).alias("parens"),
+        number(F.least(F.size(F.split(value, "[^0-9]+")) - 1, F.lit(3))).alias("groups"),
+        F.when(m["before"] == "", F.when(m["start"] == 0, 0).otherwise(1)).otherwise(_context(F.right(m["before"], F.lit(1)))).alias("before"),
+        F.when(m["after"] == "", 0).otherwise(_context(m["after"])).alias("after"),
+        cue.cast("int").alias("cue"), domain.alias("domain"), written.alias("written"), plausible(k, value, digits, written, cue, domain).alias("plausible"),
     )
 
 
-def candidates(text: Column) -> Column:
-    """array<struct<start, kind, stop, features>>: every number as card, phone and address, and every spelled or plain e-mail address."""
-    none = F.array().cast("array<struct<start:long,stop:long,value:string>>")
-    numbers = F.when(text.rlike("[0-9]"), matches(text, NUMBER)).otherwise(none)
-    spelled = F.contains(text, F.lit("@")) | text.rlike(r"(?i)\x20dot\x20|[(\[{]dot[)\]}]|[(\[{]at[)\]}]")
-    addresses = F.when(spelled, matches(text, ADDRESS)).otherwise(none)
+def addresses(text: Column) -> Column:
+    """Candidates for e-mail addresses, spelled or plain."""
+    found = F.when(text.rlike(SPELLED), matches(text, ADDRESS)).otherwise(F.array().cast(MATCHES))
     of = lambda m: F.regexp_replace(F.regexp_replace(m["value"], r"(?i)\x20dot\x20|\x20?[(\[{]dot[)\]}]\x20?", "."), r"(?i)\x20at\x20|\x20?[(\[{]at[)\]}]\x20?", "@")
     top = lambda m: F.regexp_extract(of(m), r"\.([A-Za-z0-9-]+)\z", 1)
-    domain = lambda m: F.when(top(m).rlike("^[A-Za-z]{2,12}$"), F.when(top(m).rlike("(?i)^(?:com|net|org|edu|gov|io|info|[a-z]{2})$"), 2).otherwise(1)).otherwise(0)
-    as_kind = lambda k: F.transform(numbers, lambda m: _features(text, m, F.lit(k), m["value"], F.lit(0)))
-    return F.concat(F.transform(addresses, lambda m: _features(text, m, F.lit(0), of(m), domain(m))), as_kind(1), as_kind(2), as_kind(3))
+    # With "at" spelled bare and a plain dot, as where a sentence ends without a space, the domain counts as unknown.
+    bare = lambda m: m["value"].rlike(r"(?i)\x20at\x20[A-Za-z0-9-]+\.") & ~m["value"].rlike(r"(?i)dot")
+    domain = lambda m: F.when(top(m).rlike("^[A-Za-z]{2,12}$"), F.when(top(m).rlike(KNOWN_TOP) & ~bare(m), 2).otherwise(1)).otherwise(0)
+    return F.transform(found, lambda m: _candidate(m, 0, of(m), domain(m)))
+
+
+def numbers(text: Column) -> Column:
+    """array<array<candidate>>: each number as address, card and phone."""
+    found = F.when(text.rlike(r"[0-9](?:[^0-9]{0,3}[0-9]){6}"), matches(text, NUMBER)).otherwise(F.array().cast(MATCHES))
+    return F.transform(found, lambda m: F.array(*[_candidate(m, k, m["value"], F.lit(0)) for k in (1, 2, 3)]))
+
+
+def candidates(text: Column) -> Column:
+    """Every number as address, card and phone, and every spelled or plain e-mail address."""
+    return F.concat(addresses(text), F.flatten(numbers(text)))
 
 
 @dataclass
@@ -146,11 +202,12 @@ class Trees:
             out = out + pick(*root, pick(*left, F.lit(leaves[0]), F.lit(leaves[1])), pick(*right, F.lit(leaves[2]), F.lit(leaves[3])))
         return out
 
-    def accepts(self, c: Column) -> Column:
-        out = F.lit(False)
+    def margin(self, c: Column) -> Column:
+        """How far the score of a plausible candidate is above its kind's threshold; null for others."""
+        out = F.lit(None).cast("double")
         for k, t in enumerate(self.thresholds):
             if t is not None:
-                out = out | ((c["kind"] == k) & (c["score"] >= t))
+                out = F.when((c["kind"] == k) & c["plausible"], self.column(c) - t).otherwise(out)
         return out
 
 
@@ -202,11 +259,10 @@ def boost(x: np.ndarray, positive: np.ndarray, total: np.ndarray, check_positive
 def fit(docs: DataFrame) -> Trees:
     """Boosted over counts of feature combinations from every row of docs; the driver receives at most twice CELLS rows."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.expr(f"coalesce({held_out_sql()}, false)").alias("held_out"), text.alias("text")).where(F.col("text").rlike(r"[0-9@]|(?i:dot)"))
-    rows = rows.select("held_out", base_spans(F.col("text")).alias("base"), candidates(F.col("text")).alias("found"))
-    rows = rows.select("held_out", "base", F.explode("found").alias("c"))
-    is_base = F.exists("base", lambda b: (b["start"] == F.col("c.start")) & (b["stop"] == F.col("c.stop")) & (b["kind"] == F.col("c.kind")))
-    cells = rows.select("held_out", is_base.cast("long").alias("hit"), *[F.col(f"c.{n}").alias(n) for n in FEATURES]).groupBy("held_out", *FEATURES).agg(F.sum("hit").alias("hits"), F.count(F.lit(1)).alias("n")).collect()
+    rows = docs.select(F.expr(f"coalesce({held_out_sql()}, false)").alias("held_out"), text.alias("text")).where(F.col("text").rlike(r"[0-9]") | F.col("text").rlike(SPELLED))
+    rows = rows.select("held_out", F.explode(candidates(F.col("text"))).alias("c")).where("c.written OR NOT c.plausible")
+    counted = rows.select("held_out", F.col("c.plausible").cast("long").alias("hit"), *[F.col(f"c.{n}").alias(n) for n in FEATURES])
+    cells = counted.groupBy("held_out", *FEATURES).agg(F.sum("hit").alias("hits"), F.count(F.lit(1)).alias("n")).collect()
     index: dict[tuple, int] = {}
     for r in cells:
         index.setdefault(tuple(r[n] for n in FEATURES), len(index))
@@ -222,18 +278,27 @@ def fit(docs: DataFrame) -> Trees:
 def with_spans(docs: DataFrame, model: Trees, text: str = "text", name: str = "pii") -> DataFrame:
     """docs with struct<base, added>, each array<struct<start, kind, stop>> by start, then kind; added ones overlap nothing else."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    none = F.array().cast("array<struct<start:long,kind:int,stop:long>>")
+    none = F.array().cast(SPANS)
     base = F.when(t.rlike("[0-9@]"), base_spans(t)).otherwise(none)
     if all(x is None for x in model.thresholds):
         return docs.withColumn(name, F.struct(base.alias("base"), none.alias("added")))
-    scored = F.transform(candidates(t), lambda c: F.struct((-model.column(c)).alias("rank"), c["start"].alias("start"), c["kind"].alias("kind"), c["stop"].alias("stop"), model.column(c).alias("score")))
-    accepted = F.array_sort(F.filter(F.when(t.rlike(r"[0-9@]|(?i:dot)"), scored), lambda c: model.accepts(c)))
-    plain = F.transform(accepted, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["stop"].alias("stop")))
-    overlaps = lambda a, b: (a["start"] < b["stop"]) & (b["start"] < a["stop"])
-    held = docs.withColumn(name, F.struct(base.alias("base"), F.coalesce(plain, none).alias("plain")))
-    free = F.filter(F.col(f"{name}.plain"), lambda c: ~F.exists(F.col(f"{name}.base"), lambda b: overlaps(b, c)))
-    added = F.aggregate(free, none, lambda acc, c: F.when(F.exists(acc, lambda b: overlaps(b, c)), acc).otherwise(F.concat(acc, F.array(c))))
-    return held.withColumn(name, F.struct(F.col(f"{name}.base").alias("base"), F.array_sort(added).alias("added")))
+    span = lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["stop"].alias("stop"))
+    good = lambda c: F.coalesce(model.margin(c) >= 0, F.lit(False))
+
+    def added(free: Column) -> Column:
+        spelled = F.transform(F.filter(addresses(free), good), span)
+
+        def with_numbers(own: Column) -> Column:
+            best = F.transform(numbers(F.when(F.size(own) > 0, masked(free, own)).otherwise(free)), lambda kinds: F.array_max(F.transform(kinds, lambda c: F.struct(model.margin(c).alias("margin"), span(c).alias("span")))))
+            return F.array_sort(F.concat(own, F.transform(F.filter(best, lambda x: F.coalesce(x["margin"] >= 0, F.lit(False))), lambda x: x["span"])))
+
+        return let(spelled, with_numbers)
+
+    held = docs.withColumn(name, base)
+    own = F.col(name)
+    free = F.when(F.size(own) > 0, masked(t, own)).otherwise(t)
+    wide = t.rlike(r"[0-9](?:[^0-9]{0,3}[0-9]){6}") | t.rlike(SPELLED)
+    return held.withColumn(name, F.struct(own.alias("base"), F.when(wide, let(free, added)).otherwise(none).alias("added")))
 
 
 def joined(spans: Column) -> Column:
@@ -242,15 +307,32 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
+def _replaced(text: Column, spans: Column, first, more) -> Column:
+    """The text with first(span) for each span that begins no earlier than all before it end, and more(span, where those end) for others."""
+
+    def whole(x: Column) -> Column:
+        last = running(F.transform(x["spans"], lambda s: s["stop"]), lambda a, b: F.greatest(a, b))
+
+        def piece(a: Column, b: Column) -> Column:
+            """Code points a to b."""
+            chunk, count = F.floor(a / PIECE).cast("int"), (F.floor(b / PIECE) - F.floor(a / PIECE) + 1).cast("int")
+            return F.substring(F.array_join(F.slice(x["pieces"], chunk + 1, count), ""), (a % PIECE + 1).cast("int"), (b - a).cast("int"))
+
+        parts = F.zip_with(x["spans"], last, lambda s, at: F.when(s["start"] >= at, F.concat(piece(at, s["start"]), first(s))).otherwise(more(s, at)))
+        rest = piece(F.array_max(F.transform(x["spans"], lambda s: s["stop"])), F.length(text).cast("long"))
+        return F.concat(F.array_join(parts, ""), rest)
+
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}+"), F.lit(0))
+    return let(F.struct(F.array_sort(spans).alias("spans"), pieces.alias("pieces")), whole)
+
+
+def masked(text: Column, spans: Column) -> Column:
+    """The text, as long as before, with a filler that no pattern knows in place of all that spans cover."""
+    fill = lambda n: F.repeat(F.lit(FILLER), F.greatest(n, F.lit(0)).cast("int"))
+    return _replaced(text, spans, lambda s: fill(s["stop"] - s["start"]), lambda s, at: fill(s["stop"] - at))
+
+
 def redacted(text: Column, spans: Column) -> Column:
     """The text with every stretch that spans cover replaced by the kind of its first span, in brackets."""
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        fresh = F.struct(s["stop"].alias("at"), F.concat(acc["out"], gap, F.get(names, s["kind"])).alias("out"))
-        return F.when(s["start"] >= acc["at"], fresh).otherwise(F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), acc["out"].alias("out")))
-
-    whole = F.aggregate(F.array_sort(spans), start, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+    return F.when(F.size(spans) > 0, _replaced(text, spans, lambda s: F.get(names, s["kind"]), lambda s, at: F.lit(""))).otherwise(text)

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -121,3 +122,48 @@ def test_boost_separates_cells():
     score = model.raw(x)
     assert score[0] < model.thresholds[2] <= score[1]
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_running_sums_and_maxima(spark):
+    rng = random.Random(3)
+    lists = [[rng.randrange(100) for _ in range(n)] for n in (0, 1, 63, 64, 65, 128, 129, 1000)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i int, x array<long>")
+    for r in df.select("i", pii.running(F.col("x"), lambda a, b: a + b).alias("s"), pii.running(F.col("x"), lambda a, b: F.greatest(a, b)).alias("m")).collect():
+        x = lists[r.i]
+        assert r.s == [sum(x[:k]) for k in range(len(x))] and r.m == [max([0, *x[:k]]) for k in range(len(x))]
+
+
+def test_a_text_with_very_many_spans(spark, nothing):
+    text = "é a@b.cd 10.0.0.1 x" * 50_000
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    start = time.perf_counter()
+    row = pii.with_spans(df, nothing).select(F.size("pii.base").alias("n"), F.element_at("pii.base", -1).alias("last"), pii.redacted(F.col("text"), F.col("pii.base")).alias("r")).first()
+    assert time.perf_counter() - start < 30
+    assert row.n == 100_000 and (row.last.start, row.last.stop) == (len(text) - 10, len(text) - 2) and row.r == "é [EMAIL] [IP] x" * 50_000
+
+
+def planted(rng, n):
+    """Texts with one of several further notations each, and the kind that is there; or a decoy and no kind."""
+    out = []
+    for i in range(n):
+        card, area, line = number(rng, True), rng.randrange(200, 999), rng.randrange(1000, 9999)
+        kind, piece = [
+            ("card", f"{card[:4]}.{card[4:8]}.{card[8:12]}.{card[12:]}"), ("card", f"{card[:4]} / {card[4:8]} / {card[8:12]} / {card[12:]}"), ("phone", f"call ({area}) 555 {line}"), ("phone", f"tel 0049 {area} 555 {line}"),
+            ("email", f"jane{i} at mail dot example dot com"), ("email", f"jane{i}(at)mail.example.org"), ("email", f"jane{i} [at] example [dot] net"),
+            ("", f"order {rng.randrange(10**9, 10**10)}"), ("", f"no {number(rng, False)}"), ("", f"on 20{rng.randrange(10, 30)}-01-{rng.randrange(10, 29)}"), ("", f"we met at noon.Then {i}"), ("", f"v {i}.2.3 and 1,234,567.89"),
+        ][i % 12]
+        out.append((100_000 + i, f"the thing and of {piece} ing er", kind))
+    return out
+
+
+def test_planted_notations_are_found_and_decoys_left(spark):
+    rng = random.Random(7)
+    learn, test = corpus(rng, 1500), planted(rng, 600)
+    model = pii.fit(spark.createDataFrame([*learn, *[r[:2] for r in test]], "doc_id long, text string"))
+    df = spark.createDataFrame([r[:2] for r in test], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.with_spans(df, model).select("doc_id", "pii.added", "pii.base").collect()}
+    want = {i: k for i, _, k in test}
+    found = {i: [pii.KINDS[s.kind] for s in r.added] for i, r in got.items()}
+    right = sum(want[i] in k for i, k in found.items() if want[i])
+    assert right / sum(map(bool, want.values())) > 0.95
+    assert sum(len(k) for i, k in found.items() if k != [want[i]]) <= 0.02 * sum(map(len, found.values()))
