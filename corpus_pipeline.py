@@ -18,10 +18,17 @@ from docloom.llm.common import held_out_sql, materialize
 #: A document whose language's filters hold less than this share of its n-grams is rejected.
 LEAST_SHARE = 0.3
 MARK = "_docloom"
+#: Rows of an Arrow batch on the way to Python and back: documents are long, so Spark's default of 10,000 holds much memory at once.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what the rules reject. Trusted: documents labelled as of good quality, less those held out."""
+    small_batches(spark)
     trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").where(f"quality = 1 AND NOT {held_out_sql()}").select("doc_id")
     model = rules.ratios(docs, trusted)
     return docs.withColumn(MARK, rules.verdict(docs, model)).where(F.col(f"{MARK}.kept")).select(*docs.columns)
@@ -29,6 +36,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in no learned language and sets lang to the predicted one."""
+    small_batches(spark)
     filters = langid.fit(docs.where(f"NOT coalesce({held_out_sql()}, false)"))
     found = docs.withColumn(MARK, langid.language(docs, filters))
     kept = found.where((F.col(f"{MARK}.lang") != langid.UNDETERMINED) & (F.col(f"{MARK}.share") >= LEAST_SHARE))
@@ -37,6 +45,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each class; texts of 0.8-similar five-word shingles are in one class."""
+    small_batches(spark)
     th, cols = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))), docs.columns
     one = lambda rows, *by: rows.groupBy(*by).agg(F.first(F.struct(*cols)).alias("x")).select("x.*")
     firsts = docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(MARK)).agg(F.count(F.lit(1)).alias("n"), F.min(th).alias(f"{MARK}_th"))
@@ -64,6 +73,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of fixed-size sequences, see docloom.llm.packing."""
+    small_batches(spark)
     return packing.pack(docs, packing.word_tokenizer())
 
 

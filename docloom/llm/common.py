@@ -9,6 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+# Workers live on through many stages; the system's allocator gives large buffers back when they are freed.
+pa.set_memory_pool(pa.system_memory_pool())
+
 #: A document is held out of learning if crc32 of its id (as text) leaves this remainder.
 FOLDS, HELD_OUT = 4, 2
 #: Rows of an Arrow batch that a function handles at once.

@@ -31,7 +31,7 @@ HASHES, SLOTS_A_GRAM = 4, 24
 UNDETERMINED = "und"
 LETTER = re.compile(r"[^\W\d_]")
 #: Grams of a task that are held before they go on to the shuffle.
-HELD = 2_000_000
+HELD = 1_000_000
 COUNTS = "lang string, gram long, n long"
 
 

@@ -1,10 +1,13 @@
-"""Near-duplicate classes by exact shingle similarity: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 at least.
+"""SimHash near-duplicates at a stated similarity: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 at least.
 
-Texts with equal sets collapse to one row first. Two sets that similar share a member of their prefixes, the n - ceil(0.8 n) + 1
+Fingerprints that differ in few bits find the closest copies only, so the Gray-order index of `simhash` over five-word fingerprints proposes
+the first links, and an exact completion finds the rest. Texts with equal sets collapse to one row first. Two sets that similar share a member
+of their prefixes, the n - ceil(0.8 n) + 1
 first of n shingles in any order that holds for all, so rows that meet at a prefix shingle are all there is to compare and no link
 is lost. The order puts shingles that are frequent in a sample last, which keeps common lines out of most prefixes; it changes
 the cost only. Of the rows at a shingle, each is compared with the one that shares most; only rows still in different classes
-are then compared pair by pair, where sizes and positions allow 0.8. Every link is confirmed on the whole sets.
+are then compared pair by pair, where sizes and positions allow 0.8. Every link, those of the index too, is confirmed on the whole sets, which are
+computed for the texts of proposed pairs alone.
 
 Defined cases: a null, empty or white-space text has no shingles and links to its like only; fewer words than a shingle form one;
 repeated rows share a class; a null doc_id takes part but never names a class (a class of null ids alone is null); other columns are
@@ -22,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_parts, encoded, materialize
-from .simhash import SEED, connected
+from .simhash import MAX_BITS, SEED, connected, majority, near_edges, shingle_hashes
 
 WORDS, SIMILARITY = 5, 0.8
 #: Documents sampled for frequent shingles, how many of these a shingle must be in, and the most shingles kept.
@@ -32,12 +35,7 @@ EDGE = 1e-9
 
 def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
     """Distinct hashes, ascending."""
-    w = text.lower().split()
-    if not w:
-        return np.zeros(0, np.uint64)
-    found = map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)) if len(w) >= words else [b" ".join(w)]
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(s, SEED) for s in found], np.uint64))
+    return np.unique(shingle_hashes(text, words))
 
 
 def prefix(found: np.ndarray, frequent: np.ndarray, counts: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
@@ -74,14 +72,16 @@ def sets_of(text: Column, words: int) -> Column:
 
 
 def prefixes_of(text: Column, shared, words: int, similarity: float) -> Column:
-    """struct<key, size, prefix>; shared: a broadcast of frequent shingles and their counts."""
+    """struct<key, fp, size, prefix>; shared: a broadcast of frequent shingles and their counts; fp: the fingerprint."""
 
     def run(texts: pa.Array) -> pa.Array:
-        rows = [shingles(t, words) for t in encoded(texts)]
+        hashes = [shingle_hashes(t, words) for t in encoded(texts)]
+        prints = pa.array(np.array([majority(x) for x in hashes], np.uint64).view(np.int64))
+        rows = [np.unique(x) for x in hashes]
         sizes = pa.array([len(x) for x in rows], pa.int32())
-        return pa.StructArray.from_arrays([_keys(rows), sizes, _lists([prefix(x, *shared.value, similarity) for x in rows])], names=["key", "size", "prefix"])
+        return pa.StructArray.from_arrays([_keys(rows), prints, sizes, _lists([prefix(x, *shared.value, similarity) for x in rows])], names=["key", "fp", "size", "prefix"])
 
-    return F.arrow_udf(by_parts(run), "struct<key:long,size:int,prefix:array<long>>")(text.cast("string"))
+    return F.arrow_udf(by_parts(run), "struct<key:long,fp:long,size:int,prefix:array<long>>")(text.cast("string"))
 
 
 def frequent_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,8 +94,12 @@ def frequent_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarr
     return hashes[order], counts[order]
 
 
-def confirmed(pairs: DataFrame, members: DataFrame, similarity: float) -> DataFrame:
-    """u, v: the pairs whose whole sets are similar."""
+def confirmed(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int, similarity: float) -> DataFrame:
+    """u, v: the pairs of keys whose whole sets are similar; sets names one text (th) of each key."""
+    keys = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
+    wanted = materialize(sets.select("key", "th").join(keys, "key", "left_semi").select("th"), "copies-wanted")
+    texts = docs.withColumn("th", F.xxhash64("text")).join(wanted, "th", "left_semi").groupBy("th").agg(F.first("text").alias("text"))
+    members = materialize(texts.select(sets_of(F.col("text"), words).alias("s")).select("s.key", "s.hashes"), "copies-members")
     side = lambda n: members.select(F.col("key").alias(n), F.col("hashes").alias(f"of_{n}"))
     both = pairs.join(side("u"), "u").join(side("v"), "v")
     both = both.select("u", "v", F.size("of_u").alias("n"), F.size("of_v").alias("m"), F.size(F.array_intersect("of_u", "of_v")).alias("common"))
@@ -106,21 +110,26 @@ def _ordered(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
 
 
-def links(docs: DataFrame, sets: DataFrame, words: int, similarity: float) -> DataFrame:
-    """u, v: edges between keys of sets (key, size, prefix, th: a hash of one text) whose connected parts are those of all links."""
-    entries = sets.select("key", "size", F.posexplode("prefix").alias("pos", "h"))
-    met = entries.groupBy("h").agg(F.count(F.lit(1)).alias("met")).where("met > 1")
-    shared = materialize(entries.join(met, "h"), "copies-shared")
-    degrees = shared.groupBy("key").agg(F.sum("met").alias("degree"))
-    wanted = sets.join(degrees, "key").select("th")
-    texts = docs.withColumn("th", F.xxhash64("text")).join(wanted, "th", "left_semi").select("text").distinct()
-    members = materialize(texts.select(sets_of(F.col("text"), words).alias("s")).select("s.key", "s.hashes").dropDuplicates(["key"]), "copies-members")
-    near_size = lambda a, b: F.least(a, b) >= similarity * F.greatest(a, b) - EDGE
+def indexed(sets: DataFrame, max_bits: int) -> DataFrame:
+    """key, size, o_key, o_size: pairs that the Gray-order index links, each set with the first of its fingerprint and those along its forest."""
+    lead = materialize(sets.groupBy("fp").agg(F.min(F.struct("key", "size")).alias("lead")), "copies-codes")
+    own = sets.join(lead, "fp").where(F.col("key") != F.col("lead.key")).select("key", "size", F.col("lead.key").alias("o_key"), F.col("lead.size").alias("o_size"))
+    one = lambda n, p: lead.select(F.col("fp").alias(n), F.col("lead.key").alias(f"{p}key"), F.col("lead.size").alias(f"{p}size"))
+    near = near_edges(lead.select("fp"), max_bits).join(one("u", ""), "u").join(one("v", "o_"), "v")
+    return own.unionByName(near.select("key", "size", "o_key", "o_size"))
 
+
+def links(docs: DataFrame, sets: DataFrame, words: int, similarity: float, max_bits: int) -> DataFrame:
+    """u, v: edges between keys of sets (key, fp, size, prefix, th: a hash of one text) whose connected parts are those of all links."""
+    near_size = lambda a, b: F.least(a, b) >= similarity * F.greatest(a, b) - EDGE
+    met = materialize(sets.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("met")).where("met > 1"), "copies-met")
+    shared = materialize(sets.select("key", "size", F.posexplode("prefix").alias("pos", "h")).join(met, "h"), "copies-shared")
+    degrees = shared.groupBy("key").agg(F.sum("met").alias("degree"))
     leads = shared.join(degrees, "key").groupBy("h").agg(F.max(F.struct("degree", "key", "size")).alias("lead"))
-    led = shared.join(leads, "h").where((F.col("key") != F.col("lead.key")) & near_size(F.col("size"), F.col("lead.size")))
-    tried = materialize(led.select(*_ordered(F.col("key"), F.col("lead.key"))).distinct(), "copies-tried")
-    first = materialize(confirmed(tried, members, similarity), "copies-first")
+    led = shared.join(leads, "h").select("key", "size", F.col("lead.key").alias("o_key"), F.col("lead.size").alias("o_size"))
+    proposed = indexed(sets, max_bits).unionByName(led).where((F.col("key") != F.col("o_key")) & near_size(F.col("size"), F.col("o_size")))
+    tried = materialize(proposed.select(*_ordered(F.col("key"), F.col("o_key"))).distinct(), "copies-tried")
+    first = materialize(confirmed(tried, docs, sets, words, similarity), "copies-first")
     roots = connected(first)
 
     now = shared.join(roots, F.col("key") == F.col("node"), "left").select("h", "key", "size", "pos", F.coalesce("root", "key").alias("root"))
@@ -131,17 +140,17 @@ def links(docs: DataFrame, sets: DataFrame, words: int, similarity: float) -> Da
     room = F.least(F.col("size") - F.col("pos"), F.col("o_size") - F.col("o_pos")) >= similarity / (1 + similarity) * (F.col("size") + F.col("o_size")) - EDGE
     pairs = now.join(other, "h").where((F.col("key") < F.col("o_key")) & (F.col("root") != F.col("o_root")) & near_size(F.col("size"), F.col("o_size")) & room)
     rest = materialize(pairs.select(F.col("key").alias("u"), F.col("o_key").alias("v")).distinct().join(tried, ["u", "v"], "left_anti"), "copies-pairs")
-    return first.unionByName(confirmed(rest, members, similarity))
+    return first.unionByName(confirmed(rest, docs, sets, words, similarity))
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, max_bits: int = MAX_BITS) -> DataFrame:
     """doc_id, th (xxhash64 of the text), class, component_id: the smallest doc_id that links reach."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, words))
     found = docs.select("doc_id", F.xxhash64("text").alias("th"), prefixes_of(F.col("text"), shared, words, similarity).alias("s"))
-    prints = materialize(found.select("doc_id", "th", "s.key", "s.size", "s.prefix"), "copies-prints")
-    sets = materialize(prints.groupBy("key").agg(F.min("doc_id").alias("first"), F.min("th").alias("th"), F.first("size").alias("size"), F.first("prefix").alias("prefix")), "copies-sets")
-    roots = connected(links(docs, sets.select("key", "size", "prefix", "th"), words, similarity))
+    prints = materialize(found.select("doc_id", "th", "s.key", "s.fp", "s.size", "s.prefix"), "copies-prints")
+    sets = materialize(prints.groupBy("key").agg(F.min("doc_id").alias("first"), F.min(F.struct("th", "fp")).alias("one"), F.first("size").alias("size"), F.first("prefix").alias("prefix")).select("key", "first", "one.th", "one.fp", "size", "prefix"), "copies-sets")
+    roots = connected(links(docs, sets.select("key", "fp", "size", "prefix", "th"), words, similarity, max_bits))
     rooted = sets.join(roots, sets.key == roots.node, "left").select("key", "first", F.coalesce("root", "key").alias("root"))
     classes = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     return prints.select("doc_id", "th", "key").join(rooted.join(classes, "root").select("key", F.col("root").alias("class"), "component_id"), "key").select("doc_id", "th", "class", "component_id")

@@ -34,7 +34,7 @@ CAPACITY, END_ID = 4096, 2
 #: Remainders that a task packs together.
 WAITING = 20_000
 #: Distinct chunks that a Python worker remembers (about 250 bytes each), and bytes of text that it looks up at once.
-MEMO_WORDS, MEMO_CHARS = 400_000, 1 << 22
+MEMO_WORDS, MEMO_CHARS = 300_000, 1 << 20
 #: A special token of the file.
 SEPARATOR = "<|endoftext|>"
 #: Marks that a chunk of letters may end with, and how such a chunk ends.
@@ -45,6 +45,8 @@ _LETTERS, _SIGNS = "A-Za-z\\x{C0}-\\x{D6}\\x{D8}-\\x{F6}\\x{F8}-\\x{FF}", "!-&(-
 PLAIN, PLAIN_WORD = f"^[{_LETTERS}0-9{_SIGNS}]+$", f"[{_LETTERS}]+|[0-9]|[{_SIGNS}]+"
 #: Chunks in one text of a batch.
 TOGETHER = 256
+#: Rows of a batch that are looked up together.
+PART_ROWS = 1024
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -55,7 +57,11 @@ class WordMemo:
     """
 
     def __init__(self, encode, most: int = MEMO_WORDS):
-        self.encode, self.most, self.turn, self.used = encode, most, 0, 0
+        self.encode, self.most = encode, most
+        self.clear()
+
+    def clear(self) -> None:
+        self.turn = self.used = 0
         self.at: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.starts, self.sizes, self.last = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
@@ -298,7 +304,7 @@ def _packer(path: str, capacity: int, end_id: int, waiting: int):
             rows.clear()
             return pa.record_batch([pa.array(x, pa.int64()) for x in columns], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-        for batch in batches:
+        for batch in (b.slice(i, PART_ROWS) for b in batches for i in range(0, b.num_rows, PART_ROWS)):
             for doc, found in zip(batch.column(0).to_pylist(), texts_ids(memo, batch.column(1)), strict=True):
                 ids = np.append(found, np.uint32(end_id))
                 n = len(ids)
@@ -313,6 +319,7 @@ def _packer(path: str, capacity: int, end_id: int, waiting: int):
                     yield out()
         flush(True)
         yield out()
+        memo.clear()  # a worker lives on through other stages
 
     return run
 

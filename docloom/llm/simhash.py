@@ -34,20 +34,28 @@ HASHES_AT_ONCE = 1 << 16
 NO_ID = (1 << 63) - 1
 
 
-def fingerprint(text: bytes, words: int = WORDS) -> int:
-    """Bits set in over half of the shingles' hashes."""
+def shingle_hashes(text: bytes, words: int = WORDS) -> np.ndarray:
+    """The hash of each shingle, repeats included."""
     w = text.lower().split()
     if not w:
-        return 0
+        return np.zeros(0, np.uint64)
     shingles = map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)) if len(w) >= words else [b" ".join(w)]
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(s, SEED) for s in shingles], np.uint64)
+    return np.array([digest(s, SEED) for s in shingles], np.uint64)
+
+
+def majority(h: np.ndarray) -> int:
+    """Bits set in over half of the hashes."""
     counts = np.zeros(BITS, np.int64)
     for i in range(0, len(h), HASHES_AT_ONCE):
         counts += np.unpackbits(h[i : i + HASHES_AT_ONCE].view(np.uint8), bitorder="little").reshape(-1, BITS).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * counts > len(h), bitorder="little").tobytes(), "little")
 
 
+def fingerprint(text: bytes, words: int = WORDS) -> int:
+    return majority(shingle_hashes(text, words))
+
+
 def fingerprint_of(text: Column, words: int = WORDS) -> Column:
     """The fingerprint as a long with the same bits."""
 
