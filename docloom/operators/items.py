@@ -118,3 +118,28 @@ def vocabulary(df: DataFrame, key: str, text: str, most: int) -> DataFrame:
 def with_job(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """DM-02: a document, its first version and a queued job, as three frames of one commit."""
     return documents, documents.select(F.col("id").alias("document_id"), F.lit(1).alias("version")), documents.select(F.col("id").alias("document_id"), F.lit("QUEUED").alias("state"))
+
+
+def events_in_order(df: DataFrame, key: str, date: str, printed: str) -> DataFrame:
+    """SO-13: place of each event: by date if all dates of a key are ISO, else in the printed order."""
+    iso = F.bool_and(F.col(date).rlike(r"^\d{4}-\d{2}-\d{2}$")).over(Window.partitionBy(key))
+    ordered = df.withColumn("_date", F.when(iso, F.col(date)))
+    return ordered.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("_date", printed))).drop("_date")
+
+
+def spec_key(spec: Column) -> Column:
+    """SC-75: a flat JSON object with its keys in order."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.from_json(spec, "map<string,string>")))))
+
+
+def overview_rebuilt(old: DataFrame, new: DataFrame, scope: str, order: list[Column]) -> DataFrame:
+    """DM-10: the new panels of each scope, in order; one whose spec was there keeps the old id (the first, if there are more), others take fresh_id. What is only old goes."""
+    known = old.groupBy(scope, spec_key(F.col("spec")).alias("_key")).agg(F.min("id").alias("_id"))
+    joined = new.withColumn("_key", spec_key(F.col("spec"))).join(known, [scope, "_key"], "left")
+    place = F.row_number().over(Window.partitionBy(scope).orderBy(*order)) - 1
+    return joined.withColumn("position", place.cast("int")).withColumn("id", F.coalesce("_id", "fresh_id")).drop("_key", "_id", "fresh_id")
+
+
+def ordered_union(first: Column, second: Column) -> Column:
+    """SE-05: all of the first, then what the second adds, each once."""
+    return F.array_distinct(F.concat(first, second))

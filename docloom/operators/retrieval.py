@@ -9,8 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import shared_folder
+
 RRF_K, PREFETCH, RERANK, MIN_SCORE = 60, 8, 5, 0.02
 QUERY_BLOCK = 4096
+#: Items that are scored at once against a block of queries.
+SLICE = 1024
 
 
 def top_per(df: DataFrame, key: str | list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:
@@ -19,48 +23,76 @@ def top_per(df: DataFrame, key: str | list[str], order: list[Column], k: int, na
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(name) <= k)
 
 
-def unit(column: pa.ListArray) -> np.ndarray:
-    """Rows of equal length scaled to unit length; zero vectors stay zero (SC-61)."""
-    n = len(column)
-    v = np.asarray(column.flatten()).astype(np.float64).reshape(n, -1) if n else np.zeros((0, 0))
+def unit(column: pa.ListArray, width: int = 0) -> np.ndarray:
+    """Rows scaled to unit length, short ones padded with zeros; zero vectors stay zero (SC-61)."""
+    sizes = np.asarray(column.value_lengths()).astype(np.int64)
+    flat, v = np.asarray(column.flatten()).astype(np.float64), np.zeros((len(column), max(width, int(sizes.max(initial=0)))))
+    rows = np.repeat(np.arange(len(sizes)), sizes)
+    v[rows, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
     norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
     return np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
 
 
-def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = PREFETCH, query_id: str = "query_id", item_id: str = "vec_id", vector: str = "embedding", digits: int = 6) -> DataFrame:
-    """JN-08, SO-07: for each query its k nearest items by cosine (rounded), ties to the smaller id, the query itself left out.
+def first_k(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best scores, ties to the smaller id; sorts only what reaches the kth score."""
+    if len(scores) > k:
+        rows = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
+        return rows[np.lexsort((ids[rows], -scores[rows]))[:k]]
+    return np.lexsort((ids, -scores))
+
+
+def block_by_block(queries: DataFrame, corpus: DataFrame, key: str, block_of, search, schema: str, finish, block: int = QUERY_BLOCK) -> DataFrame:
+    """search(broadcast of block_of(table)) over corpus for every block of queries, then finish(found).
 
-    Queries go out in blocks of bounded size; each task multiplies a block with its rows and passes on k rows a query.
+    One block is broadcast as it is. More go one after the other: the queries are written by block, each block's result is written, and
+    its broadcast released, so the driver never holds more than one.
     """
     spark = corpus.sparkSession
-    n = max(1, -(-queries.count() // QUERY_BLOCK))
-    schema = f"{query_id} long, {item_id} long, score double"
+    n = -(-queries.select(key).distinct().count() // block)
+    if n <= 1:
+        shared = spark.sparkContext.broadcast(block_of(queries.toArrow()))
+        return finish(corpus.mapInArrow(search(shared), schema))
+    path, found = shared_folder(spark, "query-blocks"), shared_folder(spark, "query-results")
+    queries.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(n))).repartition("_block").write.partitionBy("_block").parquet(path)
+    result = None
+    for b in range(n):
+        own = spark.read.parquet(path).where(F.col("_block") == b).drop("_block").toArrow()
+        shared = spark.sparkContext.broadcast(block_of(own))
+        part = finish(corpus.mapInArrow(search(shared), schema))
+        result = part.schema
+        part.write.parquet(f"{found}/block={b}")
+        shared.destroy()
+    return spark.read.schema(result).parquet(*[f"{found}/block={b}" for b in range(n)])
+
+
+def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = PREFETCH, query_id: str = "query_id", item_id: str = "vec_id", vector: str = "embedding", digits: int = 6, block: int = QUERY_BLOCK) -> DataFrame:
+    """JN-08, SO-07: for each query its k nearest items by cosine (rounded), ties to the smaller id, the query itself left out.
+
+    Queries go out in blocks of bounded size; each task multiplies a block with its rows and passes on k rows a query. Null vectors and
+    those that hold nulls take no part; shorter ones count as padded with zeros.
+    """
+    usable = lambda df, i: df.where(F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull())).select(i, vector)
+
+    def block_of(table: pa.Table):
+        return np.asarray(table.column(0).combine_chunks()), unit(pa.concat_arrays(table.column(1).chunks)) if table.num_rows else np.zeros((0, 0))
 
     def search(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, q = shared.value
             for batch in batches:
-                own = np.asarray(batch.column(0))
-                score = np.round(q @ unit(batch.column(1)).T, digits)
-                out: list[tuple[np.ndarray, ...]] = []
+                own, v = np.asarray(batch.column(0)), unit(batch.column(1), q.shape[1])
+                score = np.round(v[:, : q.shape[1]] @ q.T, digits).T
+                out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
                 for i, qid in enumerate(ids):
                     rows = np.flatnonzero(own != qid)
-                    best = rows[np.lexsort((own[rows], -score[i, rows]))[:k]]
+                    best = rows[first_k(score[i, rows], own[rows], k)]
                     out.append((np.full(len(best), qid), own[best], score[i, best]))
                 yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=[query_id, item_id, "score"])
 
         return run
 
-    parts = []
-    for b in range(n):
-        block = queries.where(F.pmod(F.xxhash64(query_id), F.lit(n)) == b).select(query_id, vector).toArrow()
-        if block.num_rows:
-            shared = spark.sparkContext.broadcast((np.asarray(block.column(0).combine_chunks()), unit(block.column(1).combine_chunks())))
-            parts.append(corpus.select(item_id, vector).mapInArrow(search(shared), schema))
-    found = parts[0] if parts else spark.createDataFrame([], schema)
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    return top_per(found, query_id, [F.desc("score"), F.col(item_id)], k)
+    finish = lambda found: top_per(found, query_id, [F.desc("score"), F.col(item_id)], k)
+    return block_by_block(usable(queries, query_id), usable(corpus, item_id), query_id, block_of, search, f"{query_id} long, {item_id} long, score double", finish, block)
 
 
 def tokens(text: Column) -> Column:
@@ -73,11 +105,57 @@ def token_weights(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     return df.select(key, F.explode(tokens(F.col(text))).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 
-def sparse_topk(queries: DataFrame, corpus: DataFrame, query_id: str, item_id: str, k: int = PREFETCH) -> DataFrame:
-    """JN-09: inverted-index join of (id, token, weight) tables, sum of weight products, k best per query."""
-    q, c = queries.withColumnRenamed("weight", "wq"), corpus.withColumnRenamed("weight", "wc")
-    score = q.join(c, "token").groupBy(query_id, item_id).agg(F.sum(F.col("wq") * F.col("wc")).alias("score"))
-    return top_per(score, query_id, [F.desc("score"), F.col(item_id)], k)
+def sparse_topk(queries: DataFrame, corpus: DataFrame, query_id: str, item_id: str, k: int = PREFETCH, digits: int | None = None, share: bool = False, block: int = 512) -> DataFrame:
+    """JN-09: for each query its k best items by the sum of weight products over the tokens that they share (weights above zero), ties to the smaller id.
+
+    queries: (id, token, weight). corpus: (id, tokens), an array with repeats, whose counts are the weights. A block of queries goes out as an
+    inverted index; a task scores a few items against it at a time and passes on k rows a query, so a word that all hold makes no pair that is shuffled.
+    share: the score is the share of the query's total weight whose tokens the item has.
+    """
+
+    def block_of(table: pa.Table):
+        ids, tokens_, weights = (np.asarray(table.column(c).combine_chunks().to_numpy(zero_copy_only=False)) for c in (query_id, "token", "weight"))
+        keys, place = np.unique(ids, return_inverse=True)
+        words, number = np.unique(tokens_.astype(str), return_inverse=True)
+        order = np.argsort(number, kind="stable")
+        starts = np.searchsorted(number[order], np.arange(len(words) + 1))
+        return keys, {w: i for i, w in enumerate(words.tolist())}, starts, place[order], weights[order].astype(np.float64), np.bincount(place, weights, len(keys))
+
+    def search(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            keys, words, starts, place, weights, totals = shared.value
+            best_score, best_item = np.full((len(keys), k), -1.0), np.zeros((len(keys), k), np.int64)
+            for batch in batches:
+                lists = batch.column(1)
+                coded = lists.flatten().dictionary_encode()
+                number = np.array([words.get(w, -1) for w in coded.dictionary.to_pylist()] or [-1], np.int64)[np.asarray(coded.indices)] if len(coded) else np.zeros(0, np.int64)
+                row = np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths().fill_null(0)))
+                known = number >= 0
+                pair, count = np.unique(row[known] * (len(words) + 1) + number[known], return_counts=True)
+                row, number = np.divmod(pair, len(words) + 1)
+                items = np.asarray(batch.column(0))
+                for first in range(0, len(items), SLICE):
+                    a, b = np.searchsorted(row, [first, first + SLICE])
+                    hits = starts[number[a:b] + 1] - starts[number[a:b]]
+                    at = np.repeat(starts[number[a:b]] - (np.cumsum(hits) - hits), hits) + np.arange(int(hits.sum()))
+                    cell = place[at] * SLICE + np.repeat(row[a:b] - first, hits)
+                    value = weights[at] * (1 if share else np.repeat(count[a:b], hits))
+                    score = np.bincount(cell, value, len(keys) * SLICE).reshape(len(keys), SLICE)[:, : len(items) - first]
+                    score = score / np.maximum(totals, 1e-300)[:, None] if share else score
+                    score = score if digits is None else np.round(score, digits)
+                    own = items[first : first + SLICE]
+                    for q in np.flatnonzero((score > 0).any(axis=1) & (score.max(axis=1, initial=0) >= best_score.min(axis=1))):
+                        rows = np.flatnonzero(score[q] > 0)
+                        s, i = np.concatenate([best_score[q], score[q, rows]]), np.concatenate([best_item[q], own[rows]])
+                        best = first_k(s, i, k)
+                        best_score[q], best_item[q] = s[best], i[best]
+            found = best_score > 0
+            yield pa.record_batch([pa.array(np.repeat(keys, found.sum(axis=1)).astype(np.int64)), pa.array(best_item[found]), pa.array(best_score[found])], names=[query_id, item_id, "score"])
+
+        return run
+
+    finish = lambda found: top_per(found, query_id, [F.desc("score"), F.col(item_id)], k)
+    return block_by_block(queries.select(query_id, "token", "weight"), corpus.select(item_id, "tokens"), query_id, block_of, search, f"{query_id} long, {item_id} long, score double", finish, block)
 
 
 def rrf(legs: list[DataFrame], query_id: str, item_id: str, k: int = RRF_K, limit: int = PREFETCH) -> DataFrame:
@@ -132,3 +210,11 @@ def promote(df: DataFrame, key: str, rank: str, score: str, fits: str, minimum:
     first_fits = F.max(F.when(F.col(rank) == 1, F.col(fits))).over(w)
     fine = ~first_fits & F.col(fits) & (F.col(score) >= F.greatest(F.lit(minimum), 0.5 * F.max(score).over(w)))
     return df.withColumn("_fine", fine).withColumn("new_rank", F.row_number().over(w.orderBy(F.desc("_fine"), F.col(rank)))).drop("_fine")
+
+
+def over_grid(hits: DataFrame, grid: list[tuple[int, float]], fits: Column) -> DataFrame:
+    """UD-10, UD-06: k, minimum, hit (queries with a fitting hit among the first k from minimum on), returned: every point of a grid in one pass."""
+    points = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(m)).alias("minimum")) for k, m in grid])
+    each = hits.withColumn("fits", fits).withColumn("p", F.explode(points)).select("query_id", "fits", "p.k", "p.minimum", ((F.col("rank") <= F.col("p.k")) & (F.col("score") >= F.col("p.minimum"))).alias("in"))
+    by_query = each.groupBy("k", "minimum", "query_id").agg(F.max((F.col("in") & F.col("fits")).cast("int")).alias("hit"), F.count_if("in").alias("returned"))
+    return by_query.groupBy("k", "minimum").agg(F.sum("hit").alias("hit"), F.sum("returned").alias("returned"))

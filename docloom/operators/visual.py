@@ -42,9 +42,9 @@ def problems(profiles: DataFrame) -> DataFrame:
     return p.select(*profiles.columns, "kind", found.alias("problems"))
 
 
-def built(profiles: DataFrame, wanted: Column) -> DataFrame:
-    """VQ-10: the wanted kind, or the first of its fallbacks that nothing stands against, else a table."""
-    ok = problems(profiles).where(F.size("problems") == 0).groupBy(*profiles.columns).agg(F.collect_set("kind").alias("ok"))
+def built(profiles: DataFrame, wanted: Column, check=None) -> DataFrame:
+    """VQ-10, UD-07: the wanted kind, or the first of its fallbacks that nothing stands against (nor fails check(kind), a condition of the caller's), else a table."""
+    ok = problems(profiles).where((F.size("problems") == 0) & (F.lit(True) if check is None else check(F.col("kind")))).groupBy(*profiles.columns).agg(F.collect_set("kind").alias("ok"))
     chain = F.create_map(*[F.lit(x) for kv in FALLBACK.items() for x in kv])
     d = profiles.join(ok, profiles.columns, "left").withColumn("wanted", wanted)
     one = chain[F.col("wanted")]

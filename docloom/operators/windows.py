@@ -109,7 +109,7 @@ def folded(df: DataFrame, key: str, order: list[str], step: Callable, start, sch
             out = []
             for row in frame.itertuples(index=False):
                 k = getattr(row, key)
-                if not started or k != last:
+                if not started or (k != last and not (pd.isna(k) and pd.isna(last))):
                     if started:
                         out += step(state, None)[1]
                     last, state, started = k, start(), True

@@ -94,7 +94,7 @@ def so17_recent_panels(spark, sf_dir):
 
 @register("SELECT lang, count(DISTINCT source) AS sources FROM documents GROUP BY 1")
 def se04_in_every(spark, sf_dir):
-    """SE-04, SE-05: how many groups hold each label."""
+    """SE-04: how many groups hold each label."""
     return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count_distinct("source").alias("sources"))
 
 
@@ -113,7 +113,7 @@ def dm02_insert(spark, sf_dir):
 
 @register(f"WITH {JOBS_SQL}, {DOCUMENTS_SQL} SELECT document_id, CASE WHEN state = 'QUEUED' THEN 'renamed' ELSE state END AS state FROM jobs WHERE document_id IN (SELECT id FROM docs)")
 def dm11_compare_and_set(spark, sf_dir):
-    """DM-08, DM-11: a change that takes place only where the old value is the one expected and the parent still exists."""
+    """DM-11: a change that takes place only where the old value is the one expected and the parent still exists."""
     j = jobs(spark, sf_dir).join(documents(spark, sf_dir).select(F.col("id").alias("document_id")), "document_id", "left_semi")
     return j.select("document_id", F.when(F.col("state") == "QUEUED", "renamed").otherwise(F.col("state")).alias("state"))
 
@@ -161,7 +161,7 @@ def sc38_router_phrases(spark, sf_dir):
 
 @register("""SELECT c_custkey, CASE WHEN n = 1 THEN c_mktsegment ELSE c_mktsegment || ' (' || n || ')' END AS shown, 'D' || row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS alias FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) AS n FROM customer)""")
 def sc78_unique_labels(spark, sf_dir):
-    """SC-78, SC-20, SC-21."""
+    """SC-78."""
     return I.labels_unique(table(spark, sf_dir, "customer"), "c_mktsegment", ["c_nationkey"], ["c_custkey"]).select("c_custkey", "shown", "alias")
 
 
@@ -205,9 +205,8 @@ def st14_speculation(spark, sf_dir):
 @register("""WITH q AS (SELECT item_id, unnest(list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda t: t <> ''))) AS token FROM benchmark), d AS (SELECT doc_id, unnest(list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda t: t <> ''))) AS token FROM documents), n AS (SELECT item_id, count(*) AS n FROM q GROUP BY 1),
     s AS (SELECT item_id, doc_id, count(*) AS k FROM q JOIN d USING (token) GROUP BY ALL) SELECT item_id, doc_id, round(k / n::DOUBLE, 6) AS score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY round(k / n::DOUBLE, 6) DESC, doc_id) AS INTEGER) AS rank FROM s JOIN n USING (item_id) QUALIFY rank <= 5""")
 def ud03_keyword_scorer(spark, sf_dir):
-    """UD-03, UD-06: a scorer given as columns; this one is the share of the query's words that a passage has."""
-    words = lambda df, k: df.select(k, F.explode(F.array_distinct(R.tokens(F.col("text")))).alias("token"))
-    q, d = words(table(spark, sf_dir, "benchmark"), "item_id"), words(table(spark, sf_dir, "documents"), "doc_id")
-    n = q.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
-    s = q.join(d, "token").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("k")).join(n, "item_id").select("item_id", "doc_id", F.round(F.col("k") / F.col("n"), 6).alias("score"))
-    return top_per(s, "item_id", [F.desc("score"), F.col("doc_id")], R.RERANK)
+    """UD-03: a scorer of (query, passage); this one is the share of the query's words that a passage has."""
+    words = F.array_distinct(R.tokens(F.col("text")))
+    q = table(spark, sf_dir, "benchmark").select("item_id", F.explode(words).alias("token"), F.lit(1.0).alias("weight"))
+    d = table(spark, sf_dir, "documents").select("doc_id", words.alias("tokens"))
+    return R.sparse_topk(q, d, "item_id", "doc_id", R.RERANK, digits=6, share=True)

@@ -33,8 +33,9 @@ def _legs(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     q = e.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
     dense = R.dense_topk(q, e)
-    # The second leg: items that share the query's label, in id order.
-    own = q.select("query_id", "label").join(e.select("vec_id", "label"), "label").where("vec_id <> query_id").withColumn("score", F.lit(1.0))
+    # The second leg: items that share the query's label, in id order. The first of each label are all that can count, with one more for the query itself.
+    firsts = R.top_per(e.select("vec_id", "label"), "label", [F.col("vec_id")], R.PREFETCH + 1, "_r").drop("_r")
+    own = q.select("query_id", "label").join(firsts, "label").where("vec_id <> query_id").withColumn("score", F.lit(1.0))
     return e, dense, R.top_per(own, "query_id", [F.col("vec_id")], R.PREFETCH).select("query_id", "vec_id", "score", "rank")
 
 
@@ -99,7 +100,7 @@ TOKENS = "list_filter(string_split_regex(lower({0}), '[^a-z0-9]+'), lambda t: t
 def jn09_sparse_topk(spark, sf_dir):
     """JN-09."""
     b, d = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
-    return R.sparse_topk(R.token_weights(b, "item_id"), R.token_weights(d, "doc_id"), "item_id", "doc_id")
+    return R.sparse_topk(R.token_weights(b, "item_id"), d.select("doc_id", R.tokens(F.col("text")).alias("tokens")), "item_id", "doc_id")
 
 
 @register("SELECT count(*) AS n, count(*) FILTER (WHERE len(embedding) <> 64) AS wrong_size, count(*) FILTER (WHERE embedding IS NULL) AS missing FROM embeddings")
@@ -137,10 +138,7 @@ def flt22_payload(spark, sf_dir):
 
 @register("""SELECT b.item_id, d.doc_id, d.lang FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text))""")
 def jn10_evidence_containment(spark, sf_dir):
-    """JN-10, FLT-09: documents whose text holds the evidence.
-
-    Evidence and texts meet on evidence's first five words, hashed, among the text's five-word windows: an equi-join, then the full test.
-    """
+    """JN-10, FLT-09: documents whose text holds the evidence."""
     from ..operators.catalog import contained
 
     return contained(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))

@@ -11,20 +11,31 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def stateful(df: DataFrame, key: str, order: list[str], step: Callable, schema: str) -> DataFrame:
-    """Runs step over each key's rows, in order within a batch, keeping its state between batches."""
+def stateful(df: DataFrame, key: str, order: list[str], step: Callable, schema: str, idle_ms: int | None = None) -> DataFrame:
+    """Runs step over each key's rows, in order within a batch, keeping its state between batches.
+
+    With idle_ms a key from which nothing came for so long is ended by step(state, None) and its state removed.
+    """
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now = pickle.loads(state.get[0]) if state.exists else None
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame(step(now, None)[1], columns=names)
+            return
+        parts = list(frames)
         out: list[tuple] = []
-        for row in pd.concat(list(frames)).sort_values(order).itertuples(index=False):
+        for row in (pd.concat(parts) if len(parts) > 1 else parts[0]).sort_values(order).itertuples(index=False):
             now, rows = step(now, row)
             out += rows
         state.update((pickle.dumps(now),))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=names)
 
-    return df.groupBy(key).applyInPandasWithState(run, schema, "state binary", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return df.groupBy(key).applyInPandasWithState(run, schema, "state binary", "append", timeout)
 
 
 def sessions(df: DataFrame, key: str, at: str, gap: str, late: str | None = None) -> DataFrame:

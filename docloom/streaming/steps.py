@@ -195,3 +195,42 @@ def script_check(s: Script | None, row):
         return s, []
     s = replace(s, verdict="hi" if s.native * 10 >= s.letters * 3 else "en")
     return s, [(row.key, row.seq, s.verdict)]
+
+
+ABBREVIATED = re.compile(r"(?:^|[(\"'])(?:(?:rs|mr|mrs|ms|dr|vs|e\.g|i\.e|etc|approx|inc|ltd|co|st|fig|no)\.|(?:[a-z]\.){2,}|\(?\d{1,2}\.)$", re.I)
+SENTENCE_END = re.compile(r"[.!?।॥][\"'”’)»]*(?=\s)|\n")
+
+
+def sentence_end(text: str) -> int | None:
+    """ST-09: where the first whole sentence ends, or None; citation markers hold no end, nor do abbreviations, initials and list numbers."""
+    plain = re.sub(r"\[[^\]]*\]", lambda m: " " * len(m[0]), text)
+    for m in SENTENCE_END.finditer(plain):
+        head = plain[: m.end()]
+        if not head.strip() or (m[0][0] == "." and ABBREVIATED.search(head.split()[-1].rstrip("\"'”’)»"))):
+            continue
+        return m.end()
+    return None
+
+
+@dataclass(frozen=True)
+class Writing:
+    """ST-09: the sentence being written and how many went before."""
+
+    held: str = ""
+    n: int = 0
+    key: object = None
+
+
+def sentence_out(s: Writing | None, row):
+    """ST-09: holds pieces until a sentence is whole. Rows: key, n, sentence."""
+    s = s or Writing()
+    if row is None:
+        rest = s.held.strip()
+        return Writing(), ([(s.key, s.n + 1, rest)] if rest else [])
+    held, n, out = s.held + row.text, s.n, []
+    while (end := sentence_end(held)) is not None:
+        if held[:end].strip():
+            n += 1
+            out.append((row.key, n, held[:end].strip()))
+        held = held[end:]
+    return Writing(held, n, row.key), out
