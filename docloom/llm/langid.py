@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import PART_ROWS, by_parts, materialize, mix64
+from .common import PART_ROWS, by_parts, hand_back, materialize, mix64
 from .ngrams import letter_bytes, sliced, sums_by
 
 MIN_RATE, RATIO = 1e-5, 0.1
@@ -66,6 +66,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield out(max(held, key=lambda x: sum(len(c) for c, _ in held[x])))
     for lang in list(held):
         yield out(lang)
+    hand_back()
 
 
 @dataclass

@@ -6,7 +6,7 @@ of their prefixes, the n - ceil(0.8 n) + 1
 first of n shingles in any order that holds for all, so rows that meet at a prefix shingle are all there is to compare and no link
 is lost. The order puts shingles that are frequent in a sample last, which keeps common lines out of most prefixes; it changes
 the cost only. Of the rows at a shingle, each is compared with the one that shares most; only rows still in different classes
-are then compared pair by pair, where sizes and positions allow 0.8. Every link, those of the index too, is confirmed on the whole sets, which are
+are then compared pair by pair, where sizes and positions allow 0.8 and their prefixes share as much as such sets must. Every link, those of the index too, is confirmed on the whole sets, which are
 computed for the texts of proposed pairs alone.
 
 Defined cases: a null, empty or white-space text has no shingles and links to its like only; fewer words than a shingle form one;
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_parts, encoded, materialize
+from .common import by_parts, discard, encoded, materialize
 from .simhash import MAX_BITS, SEED, connected, majority, near_edges, shingle_hashes
 
 WORDS, SIMILARITY = 5, 0.8
@@ -94,6 +94,23 @@ def frequent_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarr
     return hashes[order], counts[order]
 
 
+def needed(n: Column, m: Column, similarity: float) -> Column:
+    """How many members the prefixes of two sets of n and m have in common at least, if the sets are similar.
+
+    Such sets share `both`; the prefix that ends first in the order lies in the other's wherever the sets meet, and misses at most what its own set does.
+    """
+    both = F.ceil(similarity / (1 + similarity) * (n + m) - EDGE)
+    of = lambda x: both - F.ceil(similarity * x - EDGE) + 1
+    return F.least(of(n), of(m))
+
+
+def promising(pairs: DataFrame, shared: DataFrame, similarity: float) -> DataFrame:
+    """u, v: the pairs whose prefixes share enough."""
+    side = lambda k, n: shared.select(F.col("key").alias(k), F.col("size").alias(n), "h")
+    met = pairs.join(side("u", "n"), "u").join(side("v", "m"), ["v", "h"]).groupBy("u", "v").agg(F.count(F.lit(1)).alias("common"), F.first("n").alias("n"), F.first("m").alias("m"))
+    return met.where(F.col("common") >= needed(F.col("n"), F.col("m"), similarity)).select("u", "v")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int, similarity: float) -> DataFrame:
     """u, v: the pairs of keys whose whole sets are similar; sets names one text (th) of each key."""
     keys = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
@@ -103,7 +120,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int, si
     side = lambda n: members.select(F.col("key").alias(n), F.col("hashes").alias(f"of_{n}"))
     both = pairs.join(side("u"), "u").join(side("v"), "v")
     both = both.select("u", "v", F.size("of_u").alias("n"), F.size("of_v").alias("m"), F.size(F.array_intersect("of_u", "of_v")).alias("common"))
-    return both.where(F.col("common") >= similarity * (F.col("n") + F.col("m") - F.col("common")) - EDGE).select("u", "v")
+    found = materialize(both.where(F.col("common") >= similarity * (F.col("n") + F.col("m") - F.col("common")) - EDGE).select("u", "v"), "copies-links")
+    discard(wanted, members)
+    return found
 
 
 def _ordered(a: Column, b: Column) -> list[Column]:
@@ -122,25 +141,30 @@ def indexed(sets: DataFrame, max_bits: int) -> DataFrame:
 def links(docs: DataFrame, sets: DataFrame, words: int, similarity: float, max_bits: int) -> DataFrame:
     """u, v: edges between keys of sets (key, fp, size, prefix, th: a hash of one text) whose connected parts are those of all links."""
     near_size = lambda a, b: F.least(a, b) >= similarity * F.greatest(a, b) - EDGE
-    met = materialize(sets.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("met")).where("met > 1"), "copies-met")
+    met = materialize(sets.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count(F.lit(1)).cast("int").alias("met")).where("met > 1"), "copies-met")
     shared = materialize(sets.select("key", "size", F.posexplode("prefix").alias("pos", "h")).join(met, "h"), "copies-shared")
-    degrees = shared.groupBy("key").agg(F.sum("met").alias("degree"))
+    degrees = materialize(shared.groupBy("key").agg(F.sum("met").alias("degree")), "copies-degrees")
     leads = shared.join(degrees, "key").groupBy("h").agg(F.max(F.struct("degree", "key", "size")).alias("lead"))
-    led = shared.join(leads, "h").select("key", "size", F.col("lead.key").alias("o_key"), F.col("lead.size").alias("o_size"))
+    led = shared.select("key", "size", "h").join(leads, "h").select("key", "size", F.col("lead.key").alias("o_key"), F.col("lead.size").alias("o_size"))
     proposed = indexed(sets, max_bits).unionByName(led).where((F.col("key") != F.col("o_key")) & near_size(F.col("size"), F.col("o_size")))
     tried = materialize(proposed.select(*_ordered(F.col("key"), F.col("o_key"))).distinct(), "copies-tried")
-    first = materialize(confirmed(tried, docs, sets, words, similarity), "copies-first")
+    likely = materialize(promising(tried, shared, similarity), "copies-likely")
+    first = confirmed(likely, docs, sets, words, similarity)
     roots = connected(first)
 
-    now = shared.join(roots, F.col("key") == F.col("node"), "left").select("h", "key", "size", "pos", F.coalesce("root", "key").alias("root"))
+    now = shared.drop("met").join(roots, F.col("key") == F.col("node"), "left").select("h", "key", "size", "pos", F.coalesce("root", "key").alias("root"))
     split = now.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("h")
     now = materialize(now.join(split, "h", "left_semi"), "copies-left")
     other = now.select("h", *[F.col(c).alias(f"o_{c}") for c in ("key", "size", "pos", "root")])
     # At the first shingle that two ordered sets share, all other common ones come after it in both.
     room = F.least(F.col("size") - F.col("pos"), F.col("o_size") - F.col("o_pos")) >= similarity / (1 + similarity) * (F.col("size") + F.col("o_size")) - EDGE
-    pairs = now.join(other, "h").where((F.col("key") < F.col("o_key")) & (F.col("root") != F.col("o_root")) & near_size(F.col("size"), F.col("o_size")) & room)
-    rest = materialize(pairs.select(F.col("key").alias("u"), F.col("o_key").alias("v")).distinct().join(tried, ["u", "v"], "left_anti"), "copies-pairs")
-    return first.unionByName(confirmed(rest, docs, sets, words, similarity))
+    pairs = now.join(other, "h").where((F.col("key") < F.col("o_key")) & (F.col("root") != F.col("o_root")) & near_size(F.col("size"), F.col("o_size")))
+    counted = pairs.groupBy(F.col("key").alias("u"), F.col("o_key").alias("v")).agg(F.count(F.lit(1)).alias("common"), F.bool_or(room).alias("room"), F.first("size").alias("n"), F.first("o_size").alias("m"))
+    counted = counted.where(F.col("room") & (F.col("common") >= needed(F.col("n"), F.col("m"), similarity))).select("u", "v")
+    rest = materialize(counted.join(tried, ["u", "v"], "left_anti"), "copies-pairs")
+    found = materialize(first.unionByName(confirmed(rest, docs, sets, words, similarity)), "copies-edges")
+    discard(met, shared, degrees, tried, likely, now, rest)
+    return found
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, max_bits: int = MAX_BITS) -> DataFrame:
@@ -148,9 +172,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, words))
     found = docs.select("doc_id", F.xxhash64("text").alias("th"), prefixes_of(F.col("text"), shared, words, similarity).alias("s"))
-    prints = materialize(found.select("doc_id", "th", "s.key", "s.fp", "s.size", "s.prefix"), "copies-prints")
-    sets = materialize(prints.groupBy("key").agg(F.min("doc_id").alias("first"), F.min(F.struct("th", "fp")).alias("one"), F.first("size").alias("size"), F.first("prefix").alias("prefix")).select("key", "first", "one.th", "one.fp", "size", "prefix"), "copies-sets")
-    roots = connected(links(docs, sets.select("key", "fp", "size", "prefix", "th"), words, similarity, max_bits))
-    rooted = sets.join(roots, sets.key == roots.node, "left").select("key", "first", F.coalesce("root", "key").alias("root"))
+    prints = materialize(found.select(F.monotonically_increasing_id().alias("row"), "doc_id", "th", "s.*"), "copies-prints")
+    # Of equal sets one row goes on; the others are listed, so that where they are few no prefix is shuffled.
+    firsts = materialize(prints.groupBy("key").agg(F.min("row").alias("row"), F.min("doc_id").alias("first")), "copies-firsts")
+    again = materialize(prints.select("row").join(firsts, "row", "left_anti"), "copies-again")
+    sets = prints.join(again, "row", "left_anti").select("key", "fp", "size", "prefix", "th")
+    roots = connected(links(docs, sets, words, similarity, max_bits))
+    rooted = firsts.join(roots, firsts.key == roots.node, "left").select("key", "first", F.coalesce("root", "key").alias("root"))
     classes = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     return prints.select("doc_id", "th", "key").join(rooted.join(classes, "root").select("key", F.col("root").alias("class"), "component_id"), "key").select("doc_id", "th", "class", "component_id")

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import hand_back, slices
 
 CAPACITY, END_ID = 4096, 2
 #: Remainders that a task packs together.
@@ -189,16 +189,10 @@ def separated(tokenizer, separator: str):
     return encode
 
 
-_memos: dict[str, WordMemo] = {}
-
-
 def memo_for(path: str) -> WordMemo:
-    """One memo for each Python worker and tokenizer file."""
-    if path not in _memos:
-        from tokenizers import Tokenizer
+    from tokenizers import Tokenizer
 
-        _memos[path] = WordMemo(separated(Tokenizer.from_file(path), SEPARATOR))
-    return _memos[path]
+    return WordMemo(separated(Tokenizer.from_file(path), SEPARATOR))
 
 
 def fullest(sizes: list[int], count, room: int) -> dict[int, int]:
@@ -319,7 +313,8 @@ def _packer(path: str, capacity: int, end_id: int, waiting: int):
                     yield out()
         flush(True)
         yield out()
-        memo.clear()  # a worker lives on through other stages
+        del memo
+        hand_back()
 
     return run
 

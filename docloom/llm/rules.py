@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import PART_ROWS, by_parts, materialize, mix64
+from .common import PART_ROWS, by_parts, hand_back, materialize, mix64
 from .ngrams import plain_bytes, sliced, sums_by
 
 SYMBOLS = b"#*$%&|<>"
@@ -85,6 +85,7 @@ def _counter(buckets: int):
                     total[int(k)] += np.bincount(bucket_of(codes, buckets), minlength=buckets)
         used = np.flatnonzero(total.any(axis=0))
         yield pa.record_batch([pa.array(used), pa.array(total[1, used]), pa.array(total[:, used].sum(axis=0))], names=["bucket", "target", "raw"])
+        hand_back()
 
     return run
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_parts, encoded, materialize
+from .common import by_parts, discard, encoded, hand_back, materialize
 
 WORDS, SEED, MAX_BITS, BITS = 3, 42, 3, 64
 FANOUT, GROUP_ROWS = 8, 8192
@@ -179,6 +179,7 @@ def _linker(max_bits: int, held_rows: int):
                     groups, codes = groups[n:], codes[n:]
         if len(groups):
             yield edges(len(groups))
+        hand_back()
 
     return run
 
@@ -227,7 +228,8 @@ def connected(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        now = materialize(small.where("u <> v").distinct(), "components")
+        last, now = now, materialize(small.where("u <> v").distinct(), "components")
+        discard(last)
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS, group_rows: int = GROUP_ROWS) -> DataFrame:
