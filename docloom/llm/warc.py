@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 MIN_REVISIT_BYTES = 100
-#: Bounds the size of one archive, which one task reads whole.
-RECORDS_PER_ARCHIVE = 1000
+#: Payloads of up to so many bytes, and how many such records an archive holds. A task reads archives whole, so they stay near 8 MB; a longer page has one of its own.
+ARCHIVES = ((1 << 13, 1000), (1 << 17, 64), (1 << 20, 8), (1 << 62, 1))
 END = "\r\n\r\n"
 WARC_DATE = "2024-01-01T00:00:00Z"
 
@@ -58,13 +58,13 @@ def _field(name: str, value: Column) -> Column:
     return F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit("\r\n"))
 
 
-def records(resolved: DataFrame) -> DataFrame:
+def records(resolved: DataFrame, date: str = WARC_DATE) -> DataFrame:
     """One column, the whole record without the two line ends that close it. A revisit has no block."""
     revisit = F.col("record_type") == "revisit"
     optional = lambda c: F.coalesce(c, F.lit(""))
     return resolved.select(
         F.concat(
-            F.lit("WARC/1.1\r\n"), _field("WARC-Type", F.col("record_type")), _field("WARC-Record-ID", record_id(F.col("page_id"))), F.lit(f"WARC-Date: {WARC_DATE}\r\n"),
+            F.lit("WARC/1.1\r\n"), _field("WARC-Type", F.col("record_type")), _field("WARC-Record-ID", record_id(F.col("page_id"))), F.lit(f"WARC-Date: {date}\r\n"),
             optional(_field("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]", ""))), optional(_field("X-Page-Id", F.col("page_id"))), _field("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("payload_digest"))),
             F.when(revisit, F.concat(F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n"), _field("WARC-Refers-To", record_id(F.col("refers_to"))))).otherwise(F.lit("Content-Type: text/html; charset=utf-8\r\n")),
             _field("Content-Length", F.when(revisit, F.lit(0)).otherwise(F.col("payload_bytes"))), F.lit("\r\n"), F.when(revisit, F.lit("")).otherwise(F.col("payload")),
@@ -72,8 +72,16 @@ def records(resolved: DataFrame) -> DataFrame:
     )
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTES, per_archive: int = RECORDS_PER_ARCHIVE) -> None:
-    records(resolve(pages, min_bytes)).write.option("lineSep", END).option("maxRecordsPerFile", per_archive).text(path)
+def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTES, per_archive: int = 1000, archives: tuple[tuple[int, int], ...] = ARCHIVES, date: str = WARC_DATE) -> None:
+    """One write for each size of payloads that occurs, without a shuffle of payloads; revisits, which have none, go with the shortest."""
+    size = F.octet_length(F.coalesce("html", F.lit("")))
+    sizes = [(low, most, min(count, per_archive)) for low, (most, count) in zip([-1, *(most for most, _ in archives[:-1])], archives, strict=True)]
+    found = pages.agg(*[F.bool_or((size > low) & (size <= most)).alias(f"has_{low}") for low, most, _ in sizes]).first()
+    resolved, payload, revisit = resolve(pages, min_bytes), F.col("payload_bytes"), F.col("record_type") == "revisit"
+    for i, (low, most, count) in enumerate(sizes):
+        own = (payload <= most) | revisit if i == 0 else (payload > low) & (payload <= most) & ~revisit
+        if found[i] or i == 0:
+            records(resolved.where(own), date).write.mode("append").option("lineSep", END).option("maxRecordsPerFile", count).text(path)
 
 
 def parse_archive(content: bytes) -> Iterator[tuple[dict[str, str], memoryview]]:

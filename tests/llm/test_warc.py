@@ -1,4 +1,5 @@
 import hashlib
+from pathlib import Path
 
 from docloom.llm import warc
 from docloom.llm.common import new_folder
@@ -22,6 +23,16 @@ def test_round_trip_matches_brute_force(spark):
     assert got == sorted(want, key=str)
 
 
+def test_archives_are_bounded_by_bytes(spark):
+    rows = [(i, "u", f"{i} " * 10) for i in range(1500)] + [(2000 + i, "u", f"{i:04}" * 500_000) for i in range(4)] + [(3000 + i, "u", "same" * 500_000) for i in range(40)] + [(4000 + i, "u", f"{i} " * 50_000) for i in range(100)]
+    pages, path = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), new_folder(spark, "t")
+    warc.write_archives(pages, path)
+    files = [f.stat().st_size for f in Path(path.removeprefix("file:")).glob("part-*")]
+    assert max(files) < 10 << 20 and len(files) < 60
+    got = warc.read_archives(spark, path)
+    assert got.count() == len(rows) and got.where("record_type = 'revisit'").count() == 39 and got.where("payload_bytes = 2000000").count() == 44
+
+
 def test_empty_table(spark):
     path = new_folder(spark, "t")
     warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), path)
