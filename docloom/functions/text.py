@@ -167,7 +167,7 @@ def short_list(items: Column, most: int = 4) -> Column:
 
 def readable(html: Column) -> Column:
     """SRC-13: text of a page's blocks of 40 characters and more, each once, in order; scripts, styles, navigation and footers left out."""
-    body = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style|nav|footer|header|form|aside|title)\b.*?</\1\s*>", " ")
+    body = F.regexp_replace(F.regexp_replace(html, r"\s+", " "), r"(?is)<!--.*?-->|<(script|style|nav|footer|header|form|aside|title)\b.*?</\1\s*>", " ")
     blocks = F.split(F.regexp_replace(body, r"(?i)</?(?:p|div|h[1-6]|li|ul|ol|table|tr|td|section|article|blockquote|br)\b[^>]*>", "\n"), "\n")
     plain = F.transform(blocks, lambda b: collapsed(unescaped(F.regexp_replace(b, "<[^>]*>", ""))))
     return F.array_distinct(F.filter(plain, lambda b: F.length(b) >= 40))

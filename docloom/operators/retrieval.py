@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import shared_folder
+from .shared import numbered, shared_folder
 
 RRF_K, PREFETCH, RERANK, MIN_SCORE = 60, 8, 5, 0.02
 QUERY_BLOCK = 4096
@@ -198,10 +198,12 @@ def keep_first(df: DataFrame, keys: list[Column], order: list[Column]) -> DataFr
 
 def sections(df: DataFrame, group: list[str], score: str, position: str, scope: str) -> DataFrame:
     """WN-16: groups within a scope ordered by their best member, members in reading order, numbered S1, S2, …"""
-    best = F.max(score).over(Window.partitionBy(scope, *group))
-    ordered = df.withColumn("_best", best)
-    w = Window.partitionBy(scope).orderBy(F.desc("_best"), *[F.col(g) for g in group], F.col(position))
-    return ordered.withColumn("number", F.row_number().over(w)).withColumn("label", F.concat(F.lit("S"), F.col("number").cast("string"))).drop("_best")
+    best = df.groupBy(*[F.col(c).alias(f"_of_{c}") for c in (scope, *group)]).agg(F.max(score).alias("_best"))
+    same = F.lit(True)
+    for c in (scope, *group):
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    ordered = numbered(df.join(best, same).select(*df.columns, "_best"), [scope], [F.desc("_best"), *[F.col(g) for g in group], F.col(position)], "number")
+    return ordered.withColumn("label", F.concat(F.lit("S"), F.col("number").cast("string"))).drop("_best")
 
 
 def promote(df: DataFrame, key: str, rank: str, score: str, fits: str, minimum: float = MIN_SCORE) -> DataFrame:

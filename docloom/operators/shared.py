@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession, tag: str) -> str:
@@ -24,3 +25,20 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     path = shared_folder(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
+    """row_number of each row within keys of which there are few and large ones, without a task that holds a whole group.
+
+    Rows are dealt by ranges of (keys, order) and stored; each range numbers its own, and the sizes of the ranges before it, a row for each range
+    and key, shift them. Rows that tie in the order share a range, so the order should be total.
+    """
+    t = stored(df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    sizes = t.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shift = sizes.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_part").alias("_range"), before.alias("_before"))
+    own = t.withColumn("_own", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order)))
+    same = F.col("_part") == F.col("_range")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return own.join(shift, same).withColumn(name, (F.col("_own") + F.col("_before")).cast("int")).select(*df.columns, name)

@@ -89,10 +89,15 @@ def chartability(t: DataFrame) -> DataFrame:
 
 
 def continuations(t: DataFrame, group: str, keys: str, periods: str, id_col: str = "table_id") -> DataFrame:
-    """JN-25: tables of a document with the same columns and no period in common."""
-    a = t.withColumn("_k", F.xxhash64(F.array_sort(keys)))
-    b = a.select(F.col(group), "_k", F.col(id_col).alias("other_id"), F.col(periods).alias("_p"), F.array_sort(keys).alias("_keys"))
-    return a.join(b, [group, "_k"]).where((F.col(id_col) < F.col("other_id")) & (F.array_sort(keys) == F.col("_keys")) & ~F.arrays_overlap(periods, "_p")).select(group, id_col, "other_id")
+    """JN-25: tables of a document with the same columns and no period in common.
+
+    Tables with like columns and periods form a class; only classes are compared, and the pairs of those that fit become pairs of tables, all of which are results.
+    """
+    a = t.select(group, id_col, F.array_sort(keys).alias("_k"), F.array_sort(periods).alias("_p"))
+    one = a.select(group, "_k", "_p").distinct()
+    fit = one.join(one.withColumnRenamed("_p", "_q"), [group, "_k"]).where(~F.arrays_overlap("_p", "_q"))
+    other = a.select(group, "_k", F.col("_p").alias("_q"), F.col(id_col).alias("other_id"))
+    return a.join(fit, [group, "_k", "_p"]).join(other, [group, "_k", "_q"]).where(F.col(id_col) < F.col("other_id")).select(group, id_col, "other_id")
 
 
 def coverage(old: Column, new: Column) -> Column:

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import numbered
+
 UP_TO_NOW = (Window.unboundedPreceding, Window.currentRow)
 
 
@@ -37,13 +39,12 @@ def rolling_percentile(value: str, p: float, keys: list[str], order: list[str],
     return F.percentile(value, F.lit(p)).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(1 - rows, 0))
 
 
-def evicted(df: DataFrame, key: str, pinned: str, created: list[Column], most: int) -> DataFrame:
-    """WN-18: the oldest rows that aren't pinned go, so that a key has at most `most`; the newest row always stays."""
-    w = Window.partitionBy(key)
-    total, newest = F.count(F.lit(1)).over(w), F.row_number().over(w.orderBy(*[c.desc() for c in created])) == 1
-    age = F.row_number().over(Window.partitionBy(key, pinned).orderBy(*[c.asc() for c in created]))
-    gone = ~F.col(pinned) & ~newest & (age <= total - most)
-    return df.withColumn("evicted", gone)
+def evicted(df: DataFrame, key: str, pinned: str, created: list[str], most: int) -> DataFrame:
+    """WN-18: the oldest rows that aren't pinned go, so that a key has at most `most`; the newest row always stays. created orders rows without ties."""
+    facts = df.groupBy(F.col(key).alias("_of")).agg(F.count(F.lit(1)).alias("_total"), F.max(F.struct(*created)).alias("_newest"))
+    aged = numbered(df, [key, pinned], [F.col(c) for c in created], "_age").join(facts, F.col(key).eqNullSafe(F.col("_of")))
+    gone = ~F.col(pinned) & (F.struct(*created) != F.col("_newest")) & (F.col("_age") <= F.col("_total") - most)
+    return aged.select(*df.columns, gone.alias("evicted"))
 
 
 def renumbered(keys: list[str], order: list[Column]) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import catalog as C
 from ..operators.retrieval import top_per
 from ..sources.frames import DOCUMENTS_SQL, JOBS_SQL, MESSAGES_SQL, documents, jobs, messages
+from ..operators.shared import numbered
 from .registry import registry, table
 
 QUERIES, ORACLES, register = registry()
@@ -246,8 +247,8 @@ def dm12_memory_due(spark, sf_dir):
 @register(f"WITH {DOCUMENTS_SQL} SELECT id, project_id, CAST(row_number() OVER (PARTITION BY project_id ORDER BY (id % 5 = 0) DESC, n_chars DESC, id) AS INTEGER) AS place FROM docs")
 def so01_pinned_first(spark, sf_dir):
     """SO-01, SO-02, SO-03, SO-15: pinned first, then activity, then id; the place in each project."""
-    w = Window.partitionBy("project_id").orderBy((F.col("id") % 5 == 0).desc(), F.desc("n_chars"), "id")
-    return documents(spark, sf_dir).select("id", "project_id", F.row_number().over(w).alias("place"))
+    d = documents(spark, sf_dir).select("id", "project_id", "n_chars")
+    return numbered(d, ["project_id"], [(F.col("id") % 5 == 0).desc(), F.desc("n_chars"), F.col("id")], "place").drop("n_chars")
 
 
 @register(f"WITH {JOBS_SQL} SELECT document_id, state, CAST(row_number() OVER (PARTITION BY state ORDER BY document_id) AS INTEGER) AS place FROM jobs WHERE state IN ('QUEUED', 'RUNNING') QUALIFY place <= 5")

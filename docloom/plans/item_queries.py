@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import items as I
 from ..operators import retrieval as R
 from ..operators.retrieval import top_per
+from ..operators.shared import numbered
 from ..sources.frames import DOCUMENTS_SQL, JOBS_SQL, MESSAGES_SQL, documents, jobs, messages
 from .registry import registry, table
 from .table_queries import GRID, grid
@@ -81,8 +82,8 @@ def so10_candidates(spark, sf_dir):
 @register("SELECT source, doc_id, CASE WHEN doc_id % 3 = 0 THEN 'web' ELSE 'document' END AS kind, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id % 3 = 0, n_chars, doc_id) AS INTEGER) AS place FROM documents")
 def so14_source_order(spark, sf_dir):
     """SO-14: documents before web results, then number, then position."""
-    w = Window.partitionBy("source").orderBy(F.col("doc_id") % 3 == 0, "n_chars", "doc_id")
-    return table(spark, sf_dir, "documents").select("source", "doc_id", F.when(F.col("doc_id") % 3 == 0, "web").otherwise("document").alias("kind"), F.row_number().over(w).alias("place"))
+    d = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars", F.when(F.col("doc_id") % 3 == 0, "web").otherwise("document").alias("kind"))
+    return numbered(d, ["source"], [F.col("kind"), F.col("n_chars"), F.col("doc_id")], "place").drop("n_chars")
 
 
 @register("WITH r AS (SELECT o_custkey, o_orderkey, o_orderdate, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders QUALIFY r <= 3) SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INTEGER) AS position, r = 1 AS target FROM r")

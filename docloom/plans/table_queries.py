@@ -85,9 +85,13 @@ def ag25_unanimous_unit(spark, sf_dir):
 def ag33_chartability(spark, sf_dir):
     """AG-33, SO-11."""
     p = T.parsed(grid(spark, sf_dir))
-    types = T.column_types(p, T.header_rows(p))
-    t = types.groupBy("table_id").agg(F.max("periods").alias("periods"), F.count_if(F.col("type") == "number").alias("number_columns")).withColumn("categories", F.lit(5)).withColumn("negatives", F.lit(0))
-    return T.chartability(t)
+    headers = T.header_rows(p)
+    types = T.column_types(p, headers)
+    t = types.groupBy("table_id").agg(F.max("periods").alias("periods"), F.count_if(F.col("type") == "number").alias("number_columns"))
+    cells = p.join(headers, "table_id")
+    named = F.when((F.col("row") < F.col("header_rows")) & (F.col("col") > 0) & (F.col("status") == "text"), F.col("text"))
+    counts = cells.groupBy("table_id").agg(F.count_distinct(named).alias("categories"), F.count_if((F.col("row") >= F.col("header_rows")) & (F.col("value") < 0)).alias("negatives"))
+    return T.chartability(t.join(counts, "table_id"))
 
 
 @register("SELECT l_orderkey AS table_id, l_linenumber + d AS col, min_by(l_linenumber, l_linenumber)::INTEGER AS origin FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem), (SELECT unnest([0, 1]) AS d) GROUP BY ALL".replace("min_by(", "arg_min("))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import visual as V
 from ..operators.retrieval import top_per
+from ..operators.shared import numbered
 from ..sources.frames import DOCUMENTS_SQL, MESSAGES_SQL, documents, messages
 from .registry import registry, table
 from .table_queries import SUMS, sums
@@ -129,8 +130,10 @@ def jn24_series_merge(spark, sf_dir):
 @register("SELECT doc_id, source, n_chars, CAST(row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS INTEGER) AS rank, max((lang = 'en')::INT) OVER w = 1 AND lang <> 'en' AS dropped FROM documents WINDOW w AS (PARTITION BY source)")
 def flt13_subject(spark, sf_dir):
     """FLT-13: where a group has rows on the subject, the others go."""
-    d, w = table(spark, sf_dir, "documents"), Window.partitionBy("source")
-    return d.select("doc_id", "source", "n_chars", F.row_number().over(w.orderBy(F.desc("n_chars"), "doc_id")).alias("rank"), (F.bool_or(F.col("lang") == "en").over(w) & (F.col("lang") != "en")).alias("dropped"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", "lang")
+    about = d.groupBy(F.col("source").alias("_of")).agg(F.bool_or(F.col("lang") == "en").alias("_some"))
+    ranked = numbered(d, ["source"], [F.desc("n_chars"), F.col("doc_id")], "rank").join(about, F.col("source").eqNullSafe(F.col("_of")))
+    return ranked.select("doc_id", "source", "n_chars", "rank", (F.col("_some") & (F.col("lang") != "en")).alias("dropped"))
 
 
 @register("""SELECT o_orderkey, NOT list_contains(years, y + 1) AND len(years) > 0 AS vetoed FROM (SELECT o_orderkey, year(o_orderdate)::INTEGER AS y, CASE o_orderkey % 3 WHEN 0 THEN []::INTEGER[] WHEN 1 THEN [year(o_orderdate)::INTEGER] ELSE [year(o_orderdate)::INTEGER, year(o_orderdate)::INTEGER + 1] END AS years FROM orders)""")

@@ -102,7 +102,7 @@ def wn17_renumber(spark, sf_dir):
 def wn18_eviction(spark, sf_dir):
     """WN-18."""
     d = table(spark, sf_dir, "documents").select("source", "doc_id", (F.col("doc_id") % 4 == 0).alias("pinned"))
-    return W.evicted(d, "source", "pinned", [F.col("doc_id")], 20)
+    return W.evicted(d, "source", "pinned", ["doc_id"], 20)
 
 
 @register(f"WITH {MESSAGES_SQL}, l AS (SELECT * FROM msgs WHERE role = 'agent' QUALIFY row_number() OVER (PARTITION BY chat_id ORDER BY seq DESC) <= 20) SELECT chat_id, arg_max(seq, seq) AS seq, arg_max(text, seq) AS text FROM l WHERE length(text) % 3 <> 0 GROUP BY 1")
@@ -149,7 +149,8 @@ def wn24_dominant_granularity(spark, sf_dir):
     SELECT lang, source, doc_id, CAST(row_number() OVER (PARTITION BY lang ORDER BY round, source) AS INTEGER) AS turn FROM r QUALIFY turn <= 12""")
 def wn25_round_robin(spark, sf_dir):
     """WN-25: groups take turns, up to a cap that the operator has."""
-    d = table(spark, sf_dir, "documents").withColumn("round", F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("n_chars"), "doc_id")))
+    # A row of round r comes after r - 1 others of its own source, so later rounds than the cap can't be among the turns.
+    d = top_per(table(spark, sf_dir, "documents").select("lang", "source", "doc_id", "n_chars"), ["lang", "source"], [F.desc("n_chars"), F.col("doc_id")], 12, "round")
     return top_per(d, "lang", [F.col("round"), F.col("source")], 12, "turn").select("lang", "source", "doc_id", "turn")
 
 
@@ -189,7 +190,9 @@ def _ema(state, row):
     return level, [(row.user_id, row.event_id, round(level, 6))]
 
 
-@register()
+@register("""WITH RECURSIVE e AS (SELECT user_id, event_id, value::DOUBLE AS value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE value IS NOT NULL),
+    r AS (SELECT user_id, event_id, i, value AS level FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.event_id, e.i, level + CASE WHEN value > level THEN 0.5::DOUBLE ELSE 0.15::DOUBLE END * (value - level) FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)
+    SELECT user_id, event_id, round(level, 6) AS level FROM r""")
 def wn22_user_level(spark, sf_dir):
     """WN-22."""
     e = table(spark, sf_dir, "events").where("value IS NOT NULL").select("user_id", "ts", "event_id", "value")
@@ -210,7 +213,9 @@ def packer(limit: int):
     return step
 
 
-@register()
+@register(f"""WITH RECURSIVE {MESSAGES_SQL}, m AS (SELECT chat_id, seq, CAST(ceil(length(text) * 2 / 7) AS BIGINT) AS cost, row_number() OVER (PARTITION BY chat_id ORDER BY seq) AS i FROM msgs),
+    r AS (SELECT chat_id, seq, i, 1::BIGINT AS chunk, cost AS tokens FROM m WHERE i = 1 UNION ALL SELECT m.chat_id, m.seq, m.i, CASE WHEN tokens + cost <= 420 THEN chunk ELSE chunk + 1 END, CASE WHEN tokens + cost <= 420 THEN tokens + cost ELSE cost END FROM r JOIN m ON m.chat_id = r.chat_id AND m.i = r.i + 1)
+    SELECT chat_id, seq, chunk, tokens FROM r""")
 def wn13_chunk_pack(spark, sf_dir):
     """WN-13, SC-10: turns of a conversation merged into chunks of at most 420 tokens."""
     return W.folded(messages(spark, sf_dir), "chat_id", ["seq"], packer(420), lambda: (0, 0), "chat_id long, seq long, chunk long, tokens long")
@@ -229,7 +234,9 @@ def budget(limit: int, extra: int = 24):
     return step
 
 
-@register()
+@register("""WITH RECURSIVE d AS (SELECT source, doc_id, CAST(ceil(n_chars * 2 / 7) AS BIGINT) + 24 AS cost, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
+    r AS (SELECT source, doc_id, i, true AS kept, 3000 - cost AS left_over FROM d WHERE i = 1 UNION ALL SELECT d.source, d.doc_id, d.i, cost <= left_over, left_over - CASE WHEN cost <= left_over THEN cost ELSE 0 END FROM r JOIN d ON d.source = r.source AND d.i = r.i + 1)
+    SELECT source, doc_id, kept FROM r""")
 def wn14_source_budget(spark, sf_dir):
     """WN-14: documents of a source by id, within 3000 tokens."""
     d = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")

@@ -4,8 +4,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from docloom.operators import catalog, retrieval
+from docloom.operators import catalog, retrieval, shared
 
 
 def rows_of(df, *columns):
@@ -54,3 +55,14 @@ def test_containment_both_ways(spark):
     assert rows_of(catalog.contained(e, d), "item_id", "doc_id") == want
     assert rows_of(catalog.contained(e, d, most=0), "item_id", "doc_id") == want
     assert catalog.contained(e.limit(0), d).collect() == []
+
+
+def test_numbering_large_groups_by_ranges(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.choice(["a", "a", "a", "b", None]), rng.randrange(50)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, k string, v int").repartition(7)
+    got = {r.id: r.place for r in shared.numbered(df, ["k"], [F.desc("v"), F.col("id")], "place").collect()}
+    for key in ("a", "b", None):
+        own = sorted((r for r in rows if r[1] == key), key=lambda r: (-r[2], r[0]))
+        assert [got[r[0]] for r in own] == list(range(1, len(own) + 1))
+    assert shared.numbered(df.limit(0), ["k"], [F.col("id")], "place").collect() == []
