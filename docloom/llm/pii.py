@@ -51,7 +51,7 @@ CELLS = int(np.prod(list(FEATURES.values())))
 CHUNK, PIECE, FILLER = 64, 512, "\ue000"
 MATCHES = "array<struct<start:long,stop:long,value:string,before:string,after:string>>"
 SPANS = "array<struct<start:long,kind:int,stop:long>>"
-ROUNDS, RATE, RIDGE, PRECISION, LEAST, PROBABILITY = 40, 0.3, 1.0, 0.98, 5, 0.9
+ROUNDS, RATE, RIDGE, PRECISION, LEAST, PROBABILITY = 80, 0.3, 1.0, 0.98, 5, 0.9
 
 
 def let(value: Column, f) -> Column:
