@@ -156,14 +156,15 @@ def links(docs: DataFrame, sets: DataFrame, words: int, similarity: float, max_b
     split = now.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("h")
     now = materialize(now.join(split, "h", "left_semi"), "copies-left")
     other = now.select("h", *[F.col(c).alias(f"o_{c}") for c in ("key", "size", "pos", "root")])
-    # At the first shingle that two ordered sets share, all other common ones come after it in both.
+    # At the first shingle that two ordered sets share, all other common ones come after it in both, and so do all that their prefixes must share.
     room = F.least(F.col("size") - F.col("pos"), F.col("o_size") - F.col("o_pos")) >= similarity / (1 + similarity) * (F.col("size") + F.col("o_size")) - EDGE
-    pairs = now.join(other, "h").where((F.col("key") < F.col("o_key")) & (F.col("root") != F.col("o_root")) & near_size(F.col("size"), F.col("o_size")))
-    counted = pairs.groupBy(F.col("key").alias("u"), F.col("o_key").alias("v")).agg(F.count(F.lit(1)).alias("common"), F.bool_or(room).alias("room"), F.first("size").alias("n"), F.first("o_size").alias("m"))
-    counted = counted.where(F.col("room") & (F.col("common") >= needed(F.col("n"), F.col("m"), similarity))).select("u", "v")
-    rest = materialize(counted.join(tried, ["u", "v"], "left_anti"), "copies-pairs")
+    left = lambda n, pos: n - F.ceil(similarity * n - EDGE) + 1 - pos
+    ahead = F.least(left(F.col("size"), F.col("pos")), left(F.col("o_size"), F.col("o_pos"))) >= needed(F.col("size"), F.col("o_size"), similarity)
+    pairs = now.join(other, "h").where((F.col("key") < F.col("o_key")) & (F.col("root") != F.col("o_root")) & near_size(F.col("size"), F.col("o_size")) & room & ahead)
+    met_first = materialize(pairs.select(F.col("key").alias("u"), F.col("o_key").alias("v")).distinct().join(tried, ["u", "v"], "left_anti"), "copies-pairs")
+    rest = materialize(promising(met_first, now, similarity), "copies-rest")
     found = materialize(first.unionByName(confirmed(rest, docs, sets, words, similarity)), "copies-edges")
-    discard(met, shared, degrees, tried, likely, now, rest)
+    discard(met, shared, degrees, tried, likely, now, met_first, rest)
     return found
 
 
