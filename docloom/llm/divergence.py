@@ -155,31 +155,33 @@ def share(n, total, kept):
     return F.when(F.col(kept) > 0, 1 + exact).otherwise(0).cast("long")
 
 
-def _tile(rows: pd.DataFrame) -> pd.DataFrame:
-    """Sums of |p - q| for the pairs of one tile. A row without a term gives a source's share where it lacks a term."""
-    lang, ti, tj, _ = rows[["lang", "ti", "tj", "chunk"]].iloc[0]
-    absent = rows[rows["term"].isna()].sort_values("place")
-    terms = rows[rows["term"].notna()]
-    row, column = pd.factorize(terms["term"])[0], np.searchsorted(absent["place"].to_numpy(), terms["place"].to_numpy())
-    n = int(row.max()) + 1 if len(row) else 0
-    shares = np.tile(absent["p"].to_numpy(np.int64), (n, 1))
-    shares[row, column] = terms["p"].to_numpy(np.int64)
-    place = absent["place"].to_numpy()
-    right, out = np.flatnonzero(place // TILE == tj), []
-    for a in np.flatnonzero(place // TILE == ti):
-        other = right[right > a]
-        out.append(pd.DataFrame({"a": place[a], "b": place[other], "f": np.abs(shares[:, [a]] - shares[:, other]).sum(0)}))
-    return pd.concat([*out, pd.DataFrame({"a": [], "b": [], "f": []})]).astype("int64").assign(lang=lang, seen=n)[["lang", "a", "b", "f", "seen"]]
-
-
-def pair_values(groups: DataFrame, shares: DataFrame) -> DataFrame:
+def _tile(tile: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        """Sums of |p - q| for the pairs of one tile. A row without a term gives a source's share where it lacks a term."""
+        lang, ti, tj = rows[["lang", "ti", "tj"]].iloc[0]
+        absent = rows[rows["term"].isna()].sort_values("place")
+        terms = rows[rows["term"].notna()]
+        place, row = absent["place"].to_numpy(), pd.factorize(terms["term"])[0]
+        n = int(row.max()) + 1 if len(row) else 0
+        shares = np.tile(absent["p"].to_numpy(np.int64), (n, 1))
+        shares[row, np.searchsorted(place, terms["place"].to_numpy())] = terms["p"].to_numpy(np.int64)
+        right, out = np.flatnonzero(place // tile == tj), []
+        for a in np.flatnonzero(place // tile == ti):
+            other = right[right > a]
+            out.append(pd.DataFrame({"a": place[a], "b": place[other], "f": np.abs(shares[:, [a]] - shares[:, other]).sum(0)}))
+        return pd.concat([*out, pd.DataFrame({"a": [], "b": [], "f": []})]).astype("int64").assign(lang=lang, seen=n)[["lang", "a", "b", "f", "seen"]]
+
+    return run
+
+
+def pair_values(groups: DataFrame, shares: DataFrame, tile: int = TILE, chunk: int = CHUNK) -> DataFrame:
     """lang, source, item, value for each two sources of a language. groups: lang, source, place, absent, sources, kept; shares: lang, place, term, p."""
-    tiles = F.ceil(F.col("sources") / TILE)
-    chunks = F.greatest(F.lit(1), F.ceil(F.col("kept") / CHUNK))
-    both = lambda rows: rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1))).withColumn("own", F.floor(F.col("place") / TILE)).select("lang", F.least("own", "other").alias("ti"), F.greatest("own", "other").alias("tj"), "chunk", "place", "term", "p")
+    tiles = F.ceil(F.col("sources") / tile)
+    chunks = F.greatest(F.lit(1), F.ceil(F.col("kept") / chunk))
+    both = lambda rows: rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1))).withColumn("own", F.floor(F.col("place") / tile)).select("lang", F.least("own", "other").alias("ti"), F.greatest("own", "other").alias("tj"), "chunk", "place", "term", "p")
     lacking = both(groups.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1))).withColumn("term", F.lit(None).cast("binary")).withColumn("p", F.col("absent")))
     having = both(shares.withColumn("chunk", F.pmod(F.xxhash64("term"), chunks)))
-    sums = lacking.unionByName(having).groupBy("lang", "ti", "tj", "chunk").applyInPandas(_tile, "lang string, a long, b long, f long, seen long").groupBy("lang", "a", "b").agg(F.sum("f").alias("f"), F.sum("seen").alias("seen"))
+    sums = lacking.unionByName(having).groupBy("lang", "ti", "tj", "chunk").applyInPandas(_tile(tile), "lang string, a long, b long, f long, seen long").groupBy("lang", "a", "b").agg(F.sum("f").alias("f"), F.sum("seen").alias("seen"))
     side = lambda x: groups.select("lang", F.col("place").alias(x), F.col("source").alias(f"source_{x}"), F.col("absent").alias(f"absent_{x}"), *(["kept"] if x == "a" else []))
     value = F.col("f") + (F.col("kept") - F.col("seen")) * F.abs(F.col("absent_a") - F.col("absent_b"))
     found = sums.join(side("a"), ["lang", "a"]).join(side("b"), ["lang", "b"]).withColumn("value", value)
@@ -187,7 +189,7 @@ def pair_values(groups: DataFrame, shares: DataFrame) -> DataFrame:
     return found.select("lang", F.explode(turned).alias("x"), "value").select("lang", "x.source", "x.item", "value")
 
 
-def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, first_length: int = FIRST_LENGTH) -> DataFrame:
+def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, first_length: int = FIRST_LENGTH, tile: int = TILE, chunk: int = CHUNK) -> DataFrame:
     """lang, source, part, item, value, rank, see the module and the query's contract."""
     docs = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
     kept = materialize(kept_terms(docs, min_docs, first_length).select("lang", "prefix"), "divergence-terms")
@@ -208,4 +210,4 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, first_lengt
     over = shares.join(usual, ["lang", "term"]).where("p > q").select("lang", "source", F.col("term").cast("string").alias("item"), (F.col("p") - F.col("q")).alias("value"))
     by = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     ranks = lambda rows, part: rows.withColumn("rank", F.row_number().over(by)).select("lang", "source", F.lit(part).alias("part"), "item", "value", "rank")
-    return ranks(pair_values(groups, shares), "pair").unionByName(ranks(over, "term").where(F.col("rank") <= top))
+    return ranks(pair_values(groups, shares, tile, chunk), "pair").unionByName(ranks(over, "term").where(F.col("rank") <= top))
