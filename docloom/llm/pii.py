@@ -3,13 +3,13 @@
 Fixed patterns give the base spans of every text. Wider generators (numbers with any of the usual separators, each as a card, a
 phone and an address; e-mail addresses with "at" and "dot" spelled out) propose overlapping candidates. A candidate's features
 describe its normalised form (check digit, digit count, octets, grouping, domain) and its context (characters on either side, a cue
-word before), not the notation by which the fixed patterns know theirs. Boosted trees of depth two learn from candidates whose kind is known:
-those in base notation that pass the kind's checks are positive, those that fail the checks (see `plausible`) negative, whatever their notation;
-candidates that pass in another notation are what the trees are for, so they count as neither. Spark counts the feature combinations over all rows,
-of which there are at most CELLS, and the driver boosts over those counts. For each kind the threshold is the lowest at which PRECISION of the
-accepted known candidates of the held-out fold are positive, and not under the log-odds of PROBABILITY. The trees go into the second pass as one
-CASE expression. That pass proposes candidates in what base spans leave of a text, addresses before numbers; a number gets the kind by
-which it passes best, so spans that are added overlap nothing.
+word before), not the notation by which the fixed patterns know theirs. No rule says which candidates count: boosted trees of depth two learn it
+from base spans as positives and all other candidates as negatives, those that can't be of the kind (a wrong check digit, octet or count of digits) with
+weight 1, the others, unlabelled, with weight UNLABELLED, since some of them are of the kind in another notation. Spark counts the feature
+combinations over all rows, of which there are at most CELLS, and the driver boosts over those counts. For each kind the threshold is the lowest
+at which PRECISION of the accepted labelled candidates of the held-out fold are positive, and not under the log-odds of PROBABILITY. The second pass
+looks a candidate's margin up by its combination, in an array that the driver works out from the trees. That pass proposes candidates in what
+base spans leave of a text, addresses before numbers; a number gets the kind by which it passes best, so spans that are added overlap nothing.
 
 Positions come from running sums over chunks, and texts are cut by chunks, so work grows with the length of a text and the spans in it.
 
@@ -47,11 +47,15 @@ CUE = r"(?i)(?:tel|phone|call|fax|mobil|mail|contact|card|visa|master|server|hos
 #: Features and how many values each has; a candidate is one of CELLS combinations.
 FEATURES = {"kind": 4, "luhn": 2, "digits": 8, "octets": 2, "parens": 2, "groups": 4, "before": 3, "after": 3, "cue": 2, "domain": 3}
 CELLS = int(np.prod(list(FEATURES.values())))
+#: The features that vary among candidates of each generator; margins are looked up by their combination.
+VARYING = {"addresses": ("before", "after", "cue", "domain"), "numbers": tuple(n for n in FEATURES if n != "domain")}
 #: Values that a running sum takes at once, and code points of the pieces a text is cut from.
 CHUNK, PIECE, FILLER = 64, 512, "\ue000"
 MATCHES = "array<struct<start:long,stop:long,value:string,before:string,after:string>>"
 SPANS = "array<struct<start:long,kind:int,stop:long>>"
-ROUNDS, RATE, RIDGE, PRECISION, LEAST, PROBABILITY = 80, 0.3, 1.0, 0.98, 5, 0.9
+ROUNDS, RATE, RIDGE, PRECISION, LEAST, PROBABILITY = 80, 0.3, 1.0, 0.98, 5, 0.8
+#: What an unlabelled candidate weighs as a negative: at 0.1 and a probability of 0.8, other notations may be 2.5 times as frequent as the base one among candidates alike.
+UNLABELLED = 0.1
 
 
 def let(value: Column, f) -> Column:
@@ -128,19 +132,18 @@ def _context(c: Column) -> Column:
     return F.when(c.rlike(r"\s"), 0).when(c.rlike(r"[\p{L}\p{N}]"), 2).otherwise(1)
 
 
-def plausible(kind: Column, value: Column, digits: Column, written: Column, cue: Column, domain: Column) -> Column:
-    """The kind's checks. In base notation those of the fixed patterns; else a card passes the check digit, a phone begins like one or is cut into groups and has
-    its digits, an address has four octets and a cue, and an e-mail address ends in a known domain, or has a cue and ends like one."""
-    n, groups = F.length(digits), F.size(F.split(value, "[^0-9]+"))
-    card = n.between(12, 19) & F.when(n.between(12, 19), luhn(digits)).otherwise(False)
-    phone = n.between(9, 15) & (written | value.rlike(r"^(?:\+|00|\(?0)") | (groups >= 3))
-    ip = octets(F.regexp_replace(value, "[^0-9]+", ".")) & (written | cue)
-    email = written | (domain == 2) | ((domain == 1) & cue)
-    return F.when(kind == 0, email).when(kind == 1, ip).when(kind == 2, card).otherwise(phone)
+def possible(kind: int, value: Column, digits: Column, domain: Column) -> Column:
+    """Whether a candidate may be of the kind at all, for labels: an address ends like a domain, and numbers have the kind's digits, octets and check digit."""
+    n = F.length(digits)
+    if kind == 0:
+        return domain > 0
+    if kind == 1:
+        return octets(F.regexp_replace(value, "[^0-9]+", "."))
+    return n.between(12, 19) & F.when(n.between(12, 19), luhn(digits)).otherwise(False) if kind == 2 else n.between(9, 15)
 
 
 def _candidate(m: Column, kind: int, value: Column, domain: Column) -> Column:
-    """A struct of span, features, and whether it is written in base notation and plausible."""
+    """A struct of span, features, and whether it is written in base notation and possible."""
     digits = digits_of(value)
     n, k, cue, written = F.length(digits), F.lit(kind), m["before"].rlike(CUE), m["value"].rlike(WRITTEN[kind])
     number = lambda x: F.lit(0) if kind == 0 else x
@@ -153,7 +156,7 @@ def _candidate(m: Column, kind: int, value: Column, domain: Column) -> Column:
         number(F.least(F.size(F.split(value, "[^0-9]+")) - 1, F.lit(3))).alias("groups"),
         F.when(m["before"] == "", F.when(m["start"] == 0, 0).otherwise(1)).otherwise(_context(F.right(m["before"], F.lit(1)))).alias("before"),
         F.when(m["after"] == "", 0).otherwise(_context(m["after"])).alias("after"),
-        cue.cast("int").alias("cue"), domain.alias("domain"), written.alias("written"), plausible(k, value, digits, written, cue, domain).alias("plausible"),
+        cue.cast("int").alias("cue"), domain.alias("domain"), written.alias("written"), (possible(kind, value, digits, domain) | (written & (k == 0))).alias("possible"),
     )
 
 
@@ -194,21 +197,23 @@ class Trees:
             out += np.where(left, np.where(x[:, lf] <= lt, leaves[0], leaves[1]), np.where(x[:, rf] <= rt, leaves[2], leaves[3]))
         return out
 
-    def column(self, c: Column) -> Column:
-        names = list(FEATURES)
-        pick = lambda f, t, a, b: F.when(c[names[f]] <= t, a).otherwise(b)
-        out = F.lit(self.bias)
-        for root, left, right, leaves in self.trees:
-            out = out + pick(*root, pick(*left, F.lit(leaves[0]), F.lit(leaves[1])), pick(*right, F.lit(leaves[2]), F.lit(leaves[3])))
-        return out
-
-    def margin(self, c: Column) -> Column:
-        """How far the score of a plausible candidate is above its kind's threshold; null for others."""
-        out = F.lit(None).cast("double")
-        for k, t in enumerate(self.thresholds):
-            if t is not None:
-                out = F.when((c["kind"] == k) & c["plausible"], self.column(c) - t).otherwise(out)
-        return out
+    def margins(self, kind: int | None) -> np.ndarray:
+        """By combination of the varying features, how far the score is above the kind's threshold; -1 below. kind: 0 for addresses, None for numbers."""
+        names = VARYING["numbers" if kind is None else "addresses"]
+        combinations = np.indices([FEATURES[n] for n in names]).reshape(len(names), -1)
+        x = np.zeros((combinations.shape[1], len(FEATURES)), int)
+        x[:, [list(FEATURES).index(n) for n in names]] = combinations.T
+        limits = np.array([np.inf if t is None else t for t in self.thresholds])[x[:, 0]]
+        above = self.raw(x) - limits
+        return np.where((above >= 0) & (x[:, 0] == 0 if kind == 0 else (above >= 0) & (x[:, 0] > 0)), above, -1.0)
+
+    def margin(self, c: Column, names: tuple[str, ...], kind: int | None) -> Column:
+        """The margin of a candidate, looked up; the array is one constant."""
+        cell = F.lit(0)
+        for n in names:
+            cell = cell * FEATURES[n] + c[n]
+        values = F.split(F.lit(",".join(f"{v:.4g}" for v in self.margins(kind))), ",").cast("array<double>")
+        return F.get(values, cell)
 
 
 def _split(x: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[int, int]:
@@ -224,7 +229,7 @@ def _split(x: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[int, int]:
 
 
 def boost(x: np.ndarray, positive: np.ndarray, total: np.ndarray, check_positive: np.ndarray, check_total: np.ndarray) -> Trees:
-    """x: one row for each feature combination, with how many candidates it has and how many of them are base spans, in the fitting folds and in the held-out one."""
+    """x: one row for each feature combination, with the weight of its candidates and how many of them are base spans, in the fitting folds, and those of the labelled ones in the held-out fold."""
     none = Trees(0.0, [], [None] * len(KINDS))
     if not total.sum():
         return none
@@ -260,16 +265,16 @@ def fit(docs: DataFrame) -> Trees:
     """Boosted over counts of feature combinations from every row of docs; the driver receives at most twice CELLS rows."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.expr(f"coalesce({held_out_sql()}, false)").alias("held_out"), text.alias("text")).where(F.col("text").rlike(r"[0-9]") | F.col("text").rlike(SPELLED))
-    rows = rows.select("held_out", F.explode(candidates(F.col("text"))).alias("c")).where("c.written OR NOT c.plausible")
-    counted = rows.select("held_out", F.col("c.plausible").cast("long").alias("hit"), *[F.col(f"c.{n}").alias(n) for n in FEATURES])
-    cells = counted.groupBy("held_out", *FEATURES).agg(F.sum("hit").alias("hits"), F.count(F.lit(1)).alias("n")).collect()
+    rows = rows.select("held_out", F.explode(candidates(F.col("text"))).alias("c"))
+    counted = rows.select("held_out", F.expr("c.written AND c.possible").cast("long").alias("hit"), F.expr("c.written OR NOT c.possible").cast("long").alias("sure"), *[F.col(f"c.{n}").alias(n) for n in FEATURES])
+    cells = counted.groupBy("held_out", *FEATURES).agg(F.sum("hit").alias("hits"), F.sum("sure").alias("sure"), F.count(F.lit(1)).alias("n")).collect()
     index: dict[tuple, int] = {}
     for r in cells:
         index.setdefault(tuple(r[n] for n in FEATURES), len(index))
     counts = np.zeros((4, len(index)))
     for r in cells:
         i = index[tuple(r[n] for n in FEATURES)]
-        counts[0 + 2 * r.held_out, i], counts[1 + 2 * r.held_out, i] = r.hits, r.n
+        counts[0 + 2 * r.held_out, i], counts[1 + 2 * r.held_out, i] = r.hits, r.sure if r.held_out else r.sure + UNLABELLED * (r.n - r.sure)
     order = sorted(index, key=lambda k: k)
     at = [index[k] for k in order]
     return boost(np.array(order, int).reshape(-1, len(FEATURES)), *counts[:, at])
@@ -283,14 +288,15 @@ def with_spans(docs: DataFrame, model: Trees, text: str = "text", name: str = "p
     if all(x is None for x in model.thresholds):
         return docs.withColumn(name, F.struct(base.alias("base"), none.alias("added")))
     span = lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["stop"].alias("stop"))
-    good = lambda c: F.coalesce(model.margin(c) >= 0, F.lit(False))
+    of = {kind: lambda c, k=kind: model.margin(c, VARYING[k], 0 if k == "addresses" else None) for kind in VARYING}
+    good = lambda c: of["addresses"](c) >= 0
 
     def added(free: Column) -> Column:
         spelled = F.transform(F.filter(addresses(free), good), span)
 
         def with_numbers(own: Column) -> Column:
-            best = F.transform(numbers(F.when(F.size(own) > 0, masked(free, own)).otherwise(free)), lambda kinds: F.array_max(F.transform(kinds, lambda c: F.struct(model.margin(c).alias("margin"), span(c).alias("span")))))
-            return F.array_sort(F.concat(own, F.transform(F.filter(best, lambda x: F.coalesce(x["margin"] >= 0, F.lit(False))), lambda x: x["span"])))
+            best = F.transform(numbers(F.when(F.size(own) > 0, masked(free, own)).otherwise(free)), lambda kinds: F.array_max(F.transform(kinds, lambda c: F.struct(of["numbers"](c).alias("margin"), span(c).alias("span")))))
+            return F.array_sort(F.concat(own, F.transform(F.filter(best, lambda x: x["margin"] >= 0), lambda x: x["span"])))
 
         return let(spelled, with_numbers)
 

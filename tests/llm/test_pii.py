@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import time
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -172,9 +173,36 @@ def test_planted_notations_are_found_and_decoys_left(spark):
     learn, test = corpus(rng, 1500) + grouped(rng, 1500), planted(rng, 600)
     model = pii.fit(spark.createDataFrame([*learn, *[r[:2] for r in test]], "doc_id long, text string"))
     df = spark.createDataFrame([r[:2] for r in test], "doc_id long, text string")
-    got = {r.doc_id: r for r in pii.with_spans(df, model).select("doc_id", "pii.added", "pii.base").collect()}
     want = {i: k for i, _, k in test}
-    found = {i: [pii.KINDS[s.kind] for s in r.added] for i, r in got.items()}
+
+    def added(model):
+        return {r.doc_id: [pii.KINDS[s.kind] for s in r.added] for r in pii.with_spans(df, model).select("doc_id", "pii.added").collect()}
+
+    found = added(model)
+    wrong = lambda found: sum(len(k) for i, k in found.items() if k != [want[i]])
     right = sum(want[i] in k for i, k in found.items() if want[i])
     assert right / sum(map(bool, want.values())) > 0.95
-    assert sum(len(k) for i, k in found.items() if k != [want[i]]) <= 0.02 * sum(map(len, found.values()))
+    assert wrong(found) <= 0.02 * sum(map(len, found.values()))
+    # The trees decide: accepting every candidate adds spans to most decoys, and so does a model without splits.
+    decoys = sum(not k for k in want.values())
+    assert wrong(added(replace(model, thresholds=[-1e9] * 4))) > 0.5 * decoys
+    assert wrong(added(replace(model, trees=[], thresholds=[model.bias] * 4))) > 0.5 * decoys
+
+
+def test_margins_are_those_of_the_trees():
+    rng = np.random.default_rng(5)
+    x = np.unique(np.stack([rng.integers(0, n, 4000) for n in pii.FEATURES.values()], 1), axis=0)
+    x[x[:, 0] == 0, 1:6] = 0
+    x[x[:, 0] > 0, -1] = 0
+    x = np.unique(x, axis=0)
+    total = rng.integers(1, 50, len(x))
+    hits = np.where(x[:, 8] + x[:, 1] + x[:, 9] > 1, total, 0)
+    model = pii.boost(x, hits, total, hits, total)
+    score, names = model.raw(x), list(pii.FEATURES)
+    for kind, rows in ((0, x[:, 0] == 0), (None, x[:, 0] > 0)):
+        varying = pii.VARYING["numbers" if kind is None else "addresses"]
+        cell = np.zeros(len(x), int)
+        for n in varying:
+            cell = cell * pii.FEATURES[n] + x[:, names.index(n)]
+        above = score - np.array([np.inf if t is None else t for t in model.thresholds])[x[:, 0]]
+        assert np.allclose(model.margins(kind)[cell[rows]], np.where(above >= 0, above, -1)[rows])
