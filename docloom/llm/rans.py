@@ -16,6 +16,7 @@ no groups. A damaged block raises.
 
 from __future__ import annotations
 
+import functools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import hand_back
-from .packing import PART_ROWS, memo_for, texts_ids
+from .packing import PART_ROWS, SEPARATOR, WordMemo, separated, texts_ids
 
 END_ID = 1
 #: Frequencies of a table sum to 1 << SCALE_BITS; a lane's state is kept in [LOW, LOW << 32).
@@ -38,6 +39,8 @@ EVERY, BLOCK_IDS, GROUP_IDS, GROUP_DOCS = 512, 1 << 20, 1 << 22, 1 << 15
 MAGIC, VERSION, HEAD = b"LOOM", 1, struct.Struct("<4sHIIQQI")
 GROUP = "shard int, part int, n_ids long, doc_ids array<long>, lengths array<long>, frequencies binary, blocks array<binary>"
 ROW_GROUP = 16 << 20
+#: Distinct chunks that a worker remembers from task to task (about 250 bytes each), and bytes of text that it looks up at once.
+MEMO_WORDS, MEMO_CHARS = 600_000, 4 << 20
 
 
 class Frequencies(NamedTuple):
@@ -160,13 +163,20 @@ def _group(shard: int, part: int, docs: list[int | None], texts: list[np.ndarray
     return pa.record_batch([pa.array(x, k) for x, k in zip(row, types, strict=True)], names=[x.split()[0] for x in GROUP.split(", ")])
 
 
+@functools.lru_cache(1)
+def _memo(path: str) -> WordMemo:
+    from tokenizers import Tokenizer
+
+    return WordMemo(separated(Tokenizer.from_file(path), SEPARATOR), MEMO_WORDS)
+
+
 def _writer(tokenizer_path: str, end_id: int, group_ids: int, block_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, part, memo, docs, texts, n = TaskContext.get().partitionId(), 0, memo_for(tokenizer_path), [], [], 0
+        shard, part, memo, docs, texts, n = TaskContext.get().partitionId(), 0, _memo(tokenizer_path), [], [], 0
         for batch in (b.slice(i, PART_ROWS) for b in batches for i in range(0, b.num_rows, PART_ROWS)):
-            for doc, found in zip(batch.column(0).to_pylist(), texts_ids(memo, batch.column(1)), strict=True):
+            for doc, found in zip(batch.column(0).to_pylist(), texts_ids(memo, batch.column(1), MEMO_CHARS), strict=True):
                 docs.append(doc)
                 texts.append(np.append(found, np.uint32(end_id)))
                 n += len(texts[-1])
@@ -175,7 +185,6 @@ def _writer(tokenizer_path: str, end_id: int, group_ids: int, block_ids: int):
                     part, docs, texts, n = part + 1, [], [], 0
         if docs:
             yield _group(shard, part, docs, texts, block_ids)
-        del memo
         hand_back()
 
     return run
