@@ -5,7 +5,8 @@ and the others revisit it. Spark's text writer lays down the records, so archive
 shared folder; reading resolves each revisit by a join to its original's record id.
 
 Defined cases: a null html is an empty payload; payloads under MIN_REVISIT_BYTES are always responses; a null url leaves
-WARC-Target-URI out; rows that repeat a (page_id, html) pair which is the smallest of its group are all responses; a null page_id
+WARC-Target-URI out; rows that repeat a (page_id, html) pair which is the smallest of its group are all responses, and rows that share a
+page_id with other payloads are pages each, with record ids of their own; a null page_id
 never becomes an original unless the whole group has none, and is then a response; extra columns are ignored; no rows give no records.
 """
 
@@ -49,8 +50,9 @@ def resolve(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     return headers.join(originals, "payload_digest", "left").select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("original")).alias("refers_to"))
 
 
-def record_id(page_id: Column) -> Column:
-    h = F.sha2(F.concat(F.lit("page "), F.coalesce(page_id.cast("string"), F.lit("none"))).cast("binary"), 256)
+def record_id(page_id: Column, digest: Column) -> Column:
+    """From the page id and the payload digest, since rows with other payloads may share a page id."""
+    h = F.sha2(F.concat(F.lit("page "), F.coalesce(page_id.cast("string"), F.lit("none")), F.lit(" "), digest).cast("binary"), 256)
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]), F.lit(">"))
 
 
@@ -64,9 +66,9 @@ def records(resolved: DataFrame, date: str = WARC_DATE) -> DataFrame:
     optional = lambda c: F.coalesce(c, F.lit(""))
     return resolved.select(
         F.concat(
-            F.lit("WARC/1.1\r\n"), _field("WARC-Type", F.col("record_type")), _field("WARC-Record-ID", record_id(F.col("page_id"))), F.lit(f"WARC-Date: {date}\r\n"),
+            F.lit("WARC/1.1\r\n"), _field("WARC-Type", F.col("record_type")), _field("WARC-Record-ID", record_id(F.col("page_id"), F.col("payload_digest"))), F.lit(f"WARC-Date: {date}\r\n"),
             optional(_field("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]", ""))), optional(_field("X-Page-Id", F.col("page_id"))), _field("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("payload_digest"))),
-            F.when(revisit, F.concat(F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n"), _field("WARC-Refers-To", record_id(F.col("refers_to"))))).otherwise(F.lit("Content-Type: text/html; charset=utf-8\r\n")),
+            F.when(revisit, F.concat(F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n"), _field("WARC-Refers-To", record_id(F.col("refers_to"), F.col("payload_digest"))))).otherwise(F.lit("Content-Type: text/html; charset=utf-8\r\n")),
             _field("Content-Length", F.when(revisit, F.lit(0)).otherwise(F.col("payload_bytes"))), F.lit("\r\n"), F.when(revisit, F.lit("")).otherwise(F.col("payload")),
         ).alias("value")
     )

@@ -1,4 +1,5 @@
 import hashlib
+import random
 from pathlib import Path
 
 from docloom.llm import warc
@@ -44,3 +45,18 @@ def test_records_are_plain_warc(spark):
     (raw,) = [r[0] for r in warc.records(warc.resolve(pages)).collect()]
     ((fields, block),) = warc.parse_archive((raw + warc.END).encode())
     assert bytes(block) == b"<p>hi</p>" and fields["warc-type"] == "response" and fields["content-length"] == "9"
+
+
+def test_page_ids_that_clash(spark):
+    """Rows share a page_id with other payloads, and payloads with other page_ids, some of equal length."""
+    rng = random.Random(3)
+    payloads = ["a" * 200, "b" * 150, "c" * 150, "d" * 200, "é" * 120, "short"]
+    rows = [(1, "a" * 200), (1, "b" * 150), (2, "a" * 200), (3, "b" * 150)] + [(rng.randrange(12), rng.choice(payloads)) for _ in range(80)]
+    pages, path = spark.createDataFrame([(p, "u", h) for p, h in rows], "page_id long, url string, html string").repartition(4), new_folder(spark, "t")
+    warc.write_archives(pages, path)
+    want = []
+    for page, html in rows:
+        raw = html.encode()
+        first = min(p for p, h in rows if h == html) if len(raw) >= 100 else page
+        want.append((page, len(raw), hashlib.sha256(raw).hexdigest(), "response" if first == page else "revisit", None if first == page else first))
+    assert sorted(map(tuple, warc.read_archives(spark, path).collect()), key=str) == sorted(want, key=str)
