@@ -189,10 +189,10 @@ def separated(tokenizer, separator: str):
     return encode
 
 
-def memo_for(path: str) -> WordMemo:
+def memo_for(path: str, most: int = MEMO_WORDS) -> WordMemo:
     from tokenizers import Tokenizer
 
-    return WordMemo(separated(Tokenizer.from_file(path), SEPARATOR))
+    return WordMemo(separated(Tokenizer.from_file(path), SEPARATOR), most)
 
 
 def fullest(sizes: list[int], count, room: int) -> dict[int, int]:
@@ -255,12 +255,12 @@ def _crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def _packer(path: str, capacity: int, end_id: int, waiting: int):
+def _packer(path: str, capacity: int, end_id: int, waiting: int, memo_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         sequence = TaskContext.get().partitionId() << 32
-        memo, bins, rows = memo_for(path), Bins(capacity), []
+        memo, bins, rows = memo_for(path, memo_words), Bins(capacity), []
 
         def place(pieces: list[tuple]) -> None:
             """pieces: doc_id, start, ids, doc_tokens; one sequence."""
@@ -319,9 +319,9 @@ def _packer(path: str, capacity: int, end_id: int, waiting: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, waiting: int = WAITING) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, waiting: int = WAITING, memo_words: int = MEMO_WORDS) -> DataFrame:
     """One row for each piece of each document, see SCHEMA. sequence_id is unique over the whole result."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_packer(tokenizer_path, capacity, end_id, waiting), SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_packer(tokenizer_path, capacity, end_id, waiting, memo_words), SCHEMA)
 
 
 def word_tokenizer() -> str:
