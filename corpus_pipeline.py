@@ -20,6 +20,8 @@ LEAST_SHARE = 0.3
 MARK = "_docloom"
 #: Rows of an Arrow batch on the way to Python and back: documents are long, so Spark's default of 10,000 holds much memory at once.
 BATCH_ROWS = 1000
+#: Chunks that a packing task remembers and remainders that it holds: fewer than by default, since executors have stages behind them whose memory they keep.
+MEMO_WORDS, WAITING = 100_000, 8_000
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -74,7 +76,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of fixed-size sequences, see docloom.llm.packing."""
     small_batches(spark)
-    return packing.pack(docs, packing.word_tokenizer())
+    return packing.pack(docs, packing.word_tokenizer(), waiting=WAITING, memo_words=MEMO_WORDS)
 
 
 STAGES = [("quality rules", quality_rules), ("language ID", language), ("near duplicates", near_duplicates), ("personal data", personal_data), ("packing", packed)]
