@@ -31,7 +31,8 @@ SPEC = (
 
 
 class Tables(NamedTuple):
-    """tables: table, period_axis (rows, columns or null), label_key. rows: table, key, idx, label, type (data, total, section), period, granularity, end, section.
+    """tables: table, period_axis (rows, columns or null), label_key; rewrites read document too. rows: table, key, idx, label, type (data, total, section), period,
+    granularity, end, section; rewrites read parts too, the keys that a total adds up.
     columns: table, key, idx, label, type, period, granularity, end, measure. cells: table, row, col, value, unit."""
 
     tables: DataFrame
@@ -190,7 +191,8 @@ def resolved(specs: DataFrame, tables: Tables) -> DataFrame:
     asked = specs.select("spec", F.posexplode("periods").alias("pos", "period")).join(has, "spec", "left")
     told.append(_problems(asked, 5, _say(~F.coalesce(F.array_contains("has", F.col("period")), F.lit(False)), "no such period ", F.col("period")), F.col("pos")))
 
-    items = stored(x_items(series, tables).join(named, ["spec", "table"]), "spec-items")
+    turns = series.groupBy("spec", "table").agg(F.min("pos").alias("table_pos"))  # items come in the order of the first series of their tables
+    items = stored(x_items(series, tables).join(turns, ["spec", "table"]), "spec-items")
     kept = stored(_kept_items(specs, items), "spec-kept")
     told.append(_problems(specs.join(kept, "spec", "left"), 6, _say(F.col("items").isNull(), "no x left")))
 

@@ -7,8 +7,9 @@ from types import SimpleNamespace
 
 import pytest
 
+from docloom.operators import rewrites as R
 from docloom.operators import specs as S
-from docloom.operators.visual import LIMITS
+from docloom.operators.visual import FALLBACK, LIMITS
 from docloom.plans import spec_queries as Q
 
 SF = "/root/testdata/sf0.001"
@@ -237,21 +238,125 @@ def made(spark):
     )
 
 
-def test_many_specs_over_odd_tables(spark):
-    rng, tables = random.Random(8), made(spark)
+def random_specs(spark, tables, seed, n):
+    rng = random.Random(seed)
     keys = {t: [x["key"] for f in (tables.rows, tables.columns) for x in rows_of(f) if x["table"] == t] for t in "ABC"}
     ref = lambda t: rng.choice([f"{t}:{rng.choice(keys[t])}"] * 12 + ["bad", f"{t}:", "Z:q", f"{t}:none"])
     specs = []
-    for i in range(400):
+    for i in range(n):
         t = rng.choice("ABC")
         use = [t] if rng.random() < 0.7 else [t, rng.choice("ABCE")]
         some = lambda most, chance: [ref(rng.choice([u for u in use if u in "ABC"])) for _ in range(rng.randrange(1, most))] if rng.random() < chance else []
         x = rng.choice([None] * 6 + [f"{t}:period", f"{t}:rows", f"{t}:columns", "bad", f"{t}:item"])
         calculation = (rng.choice(["growth", "ratio"]), ref(t), rng.choice([None, ref(t)]), rng.choice([None, "FY24", ref(t)]), None)
         specs.append((i, rng.choice([k for k in LIMITS if k != "timeline"]), use + ["Z"] * (rng.random() < 0.03), x, some(4, 0.97), rng.choice([[]] * 8 + [["FY24"], ["Q1 FY24", "Q2 FY24"], ["FY99"]]), some(3, 0.2), some(2, 0.1), [calculation] if rng.random() < 0.15 else None))
-    told = compare(spark, spark.createDataFrame(specs, S.SPEC), tables)
+    return spark.createDataFrame(specs, S.SPEC)
+
+
+def test_many_specs_over_odd_tables(spark):
+    tables = made(spark)
+    told = compare(spark, random_specs(spark, tables, 8, 400), tables)
     assert told["fine"] > 20, told
 
 
+def test_many_rewrites_over_odd_tables(spark):
+    tables = made(spark)
+    parts = "CASE key WHEN 'sum' THEN array('q1', 'q2', 'q4') WHEN 'both' THEN array('north', 'south') END"
+    tables = tables._replace(rows=tables.rows.selectExpr("*", f"{parts} AS parts"))
+    won = compare_rewrites(spark, random_specs(spark, tables, 9, 300), tables)
+    assert len(won) >= 9 and any(h and h.endswith("one unit") for h in won), won
+
+
 def test_no_specs(spark):
     assert S.resolved(spark.createDataFrame([], S.SPEC), made(spark)).collect() == []
+
+
+def column_to_run_down(p, table, periods):
+    cols = [c for c in p.columns[table] if c["type"] in S.MEASURED]
+    cols = [c for c in cols if c["period"] in periods] or cols
+    measure = next((c["measure"] for c in cols if c["measure"]), None)
+    cols = [c for c in cols if measure is None or c["measure"] == measure]
+    return max(cols, key=lambda c: c["end"].toordinal() if c["end"] else 0)["key"] if cols else None
+
+
+def forms(p, s):
+    """(how, spec) of every form in turn."""
+    none = {"highlight": [], "calculations": []}
+    refs = [parts(r) for r in dict.fromkeys(s["series"] or [])]
+    flipped = None
+    if len(refs) > 1 and len({t for t, _ in refs}) == 1 and refs[0][0] in p.tables and all(any(r["key"] == k and r["type"] != "section" for r in p.rows[t]) for t, k in refs):
+        t = refs[0][0]
+        if column := column_to_run_down(p, t, s["periods"] or []):
+            flipped = s | none | {"tables": [t], "series": [f"{t}:{column}"], "categories": list(dict.fromkeys(s["series"])), "periods": []}
+    out = [("as given", s)]
+    if flipped and s["kind"] in ("donut", "waterfall"):
+        out.append(("transposed", flipped))
+    base = flipped or s
+    if s["kind"] == "waterfall" and base["tables"] and (t := base["tables"][0]) in p.tables:
+        chosen = {parts(r)[1] for r in [*base["series"], *(base["categories"] or [])] if r.startswith(f"{t}:")}
+        column = next((k for x, k in map(parts, base["series"]) if x == t and any(c["key"] == k and c["period"] for c in p.columns[t])), None) or column_to_run_down(p, t, base["periods"] or [])
+        totals = [r for r in p.rows[t] if r["type"] == "total" and len(r["parts"] or []) > 1 and not r["period"]]
+        for r in sorted(totals, key=lambda r: -len(chosen & {*r["parts"], r["key"]})) if column else []:
+            out.append(("bridge", s | none | {"x": None, "tables": [t], "series": [f"{t}:{column}"], "categories": [f"{t}:{k}" for k in [*r["parts"], r["key"]]], "periods": []}))
+    bare = s | none
+    no_filters = bare | {"periods": [], "categories": []}
+    out += [("plain", bare), ("no filters", no_filters)]
+    if flipped and s["kind"] not in ("donut", "waterfall"):
+        out.append(("transposed", flipped))
+    kind = s["kind"]
+    while kind := FALLBACK.get(kind):
+        out += [("other kind", bare | {"kind": kind}), ("other kind, no filters", no_filters | {"kind": kind})] + ([("other kind, transposed", flipped | {"kind": kind})] if flipped else [])
+    if len(s["series"] or []) > 1:
+        out.append(("first series", bare | {"series": s["series"][:1]}))
+    return out
+
+
+def narrowed(p, s):
+    t, key = parts(s["series"][0]) if len(s["series"] or []) == 1 else (None, None)
+    if t not in p.tables or all(c["key"] != key for c in p.columns[t]):
+        return None
+    cells = [(r["key"], p.cells[t, r["key"], key]["unit"]) for r in p.rows[t] if r["type"] == "data" and p.cells.get((t, r["key"], key), {"value": None})["value"] is not None]
+    units = Counter(u for _, u in cells)
+    rows = [f"{t}:{k}" for k, u in cells if u == units.most_common(1)[0][0]]
+    return s | {"categories": rows, "periods": []} if len(units) > 1 and len(rows) > 1 else None
+
+
+def rewritten(p, s):
+    for how, form in forms(p, s):
+        got = p.resolve(form)
+        if isinstance(got, tuple):
+            return how, form["kind"], *got
+        if any(x.startswith("mixed units") for x in got) and (less := narrowed(p, form)) and isinstance(got := p.resolve(less), tuple):
+            return f"{how}, one unit", form["kind"], *got
+    return None, None, None, None
+
+
+def compare_rewrites(spark, asked, tables):
+    p, won = Plain(*map(rows_of, tables)), Counter()
+    got = {r.spec: r for r in R.first_valid(asked, tables).collect()}
+    for s in rows_of(asked):
+        r = got.pop(s["spec"])
+        assert (r.how, r.kind, r.x, r.series and [tuple(x) for x in r.series]) == rewritten(p, s), s
+        won[r.how] += 1
+    assert not got
+    return won
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="the tables aren't here")
+def test_rewrites_over_the_printed_grids(spark):
+    tables = Q.printed(spark, SF)
+    won = compare_rewrites(spark, Q.asked(tables, Q.ASKED + Q.MENDED), tables)
+    assert set(won) >= {None, "as given", "transposed", "bridge", "plain", "no filters", "other kind", "other kind, no filters", "other kind, transposed", "first series", "other kind, one unit"} - {"other kind, one unit"}, won
+
+
+def test_one_document(spark):
+    tables = made(spark)
+    tables = tables._replace(tables=tables.tables.selectExpr("*", "CASE WHEN table IN ('A', 'B') THEN 'x' ELSE 'y' END AS document"))
+    specs = [
+        (1, "bar", ["A", "C"], None, ["C:sales", "A:debt"], [], ["A:debt", "C:north", "x"], ["C:north", "FY24"], [("growth", "A:debt", None, None, None), ("growth", "C:sales", None, None, None)]),
+        (2, "bar", ["A", "B"], None, ["A:debt"], ["FY24"], [], [], []), (3, "bar", ["C", "A"], None, ["Z:x"], [], [], [], []), (4, "timeline", ["C", "A"], None, [], [], [], [], []), (5, "bar", ["Z"], None, ["Z:x"], [], [], [], []),
+    ]
+    got = {r.spec: r for r in R.one_document(spark.createDataFrame(specs, S.SPEC), tables).collect()}
+    assert set(got) == {1, 2, 4, 5}
+    assert (got[1].tables, got[1].series, got[1].categories, got[1].highlight, [c.series for c in got[1].calculations]) == (["C"], ["C:sales"], ["C:north", "x"], ["C:north", "FY24"], ["C:sales"])
+    assert got[2].tables == ["A", "B"] and got[4].tables == ["C"] and got[5].tables == ["Z"]
