@@ -104,3 +104,50 @@ def coverage(old: Column, new: Column) -> Column:
     """JN-27, SE-03, SE-06: how a set of data points relates to an older one."""
     more, less = F.size(F.array_except(new, old)), F.size(F.array_except(old, new))
     return F.when((more == 0) & (less == 0), "same").when(more == 0, "covered").when(less == 0, "extends").otherwise("other")
+
+
+# Labels of total rows, and units whose amounts add up (none: a plain number).
+TOTAL_LABEL = r"(?iu)^(?:total|grand\s+total|sub-?total|net\s+total|कुल|योग)(?![\p{L}\p{N}_])"
+ADDITIVE = ("currency", "count", "none")
+
+
+def _agreeing(total: dict, parts: list[tuple[str, dict]]) -> int | None:
+    """In how many additive columns a row is the sum of the parts that have numbers there, two at least; None if any disagrees."""
+    checked = 0
+    for col, (value, decimals, unit) in total.items():
+        present = [cells[col] for _, cells in parts if col in cells]
+        if unit.split(":")[0] not in ADDITIVE or len(present) < 2:
+            continue
+        if any(u != unit for _, _, u in present):
+            return None
+        most = max([decimals, *(d for _, d, _ in present)])
+        # Printed figures are rounded: half a unit for each part, but never more than 0.2 % of the total.
+        if abs(sum(v for v, _, _ in present) - value) > min(0.5 * 10.0**-most * len(present), 0.002 * abs(value)) + 1e-9:
+            return None
+        checked += 1
+    return checked
+
+
+def _nested(state, row):
+    """AG-27: state is the rows that nothing has added up yet, totals among them in place of their parts."""
+    if row is None or row.section:
+        return state, [] if row is None else [(row.table_id, row.row, row.key, False, 0, [])]
+    cells = {c["col"]: (c["value"], c["decimals"], c["unit"]) for c in row.values}
+    for k in range(2, len(state) + 1):
+        checked = _agreeing(cells, state[-k:])
+        if checked and (row.labelled or checked >= 2 or k >= 3):
+            return [*state[:-k], (row.key, cells)], [(row.table_id, row.row, row.key, True, checked, [key for key, _ in state[-k:]])]
+    return [*state, (row.key, cells)], [(row.table_id, row.row, row.key, False, 0, [])]
+
+
+def nested_totals(rows: DataFrame) -> DataFrame:
+    """AG-27: table_id, row, key, is_total, columns (that agree), parts: rows that are the sum of those just above them, over whole rows.
+
+    rows: table_id, row, key, label, section (boolean), values: array<struct<col int, value double, decimals int, unit string>> of the cells that are numbers. A
+    total takes the place of its parts, so that a grand total is found as the sum of its subtotals. Every additive column in which the row and two parts
+    have numbers must agree, and the row needs a label of a total, two such columns, or three parts; of several runs the shortest counts. Units
+    begin with their kind. A table's rows are read in order and only those that nothing has added up are held; a table without rows gives none.
+    """
+    values = F.filter(F.coalesce("values", F.array().cast("array<struct<col:int,value:double,decimals:int,unit:string>>")), lambda v: v["value"].isNotNull())
+    keyed = rows.select("table_id", "row", "key", F.coalesce("section", F.lit(False)).alias("section"), F.coalesce(F.col("label").rlike(TOTAL_LABEL), F.lit(False)).alias("labelled"), values.alias("values"))
+    return folded(keyed, "table_id", ["row"], _nested, list, "table_id long, row int, key string, is_total boolean, columns int, parts array<string>")
