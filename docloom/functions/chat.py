@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .text import collapsed
 
-# Romanised Hindi words that aren't English, marks at the edges of titles, chart kinds and edit words, words that frame a question.
+# Romanised Hindi words that aren't English, marks at the edges of titles, chart kinds, ordinals, what edits are said with in English, Hindi and romanised Hindi, words that frame a question.
 HINGLISH = """
     hai hain tha thi thhe ho hoga hogi honge hota hoti hote hua hui hue kya kyaa kyu kyun kyon kaise kaisa kaisi
     kitna kitni kitne kaun kaunsa kaunsi konsa konsi kab kahan kaha kidhar kis kise kisne kiska kiski kiske mein mai
@@ -17,7 +17,7 @@ HINGLISH = """
     bilkul batao bataiye bataye bataen bolo boliye suno dekho samjhao samjhaiye samjha samjho karo kariye karna
     karke kar kiya kiye raha rahi rahe gaya gayi gaye diya diye liya liye lekar chahiye chahte chahta chahti sakte
     sakta sakti wala wali wale abhi ab phir fir wapas vapas chalo baat baare matlab yaani yani kuch sab sabse zyada
-    jyada kam bahut bohot saal pichle pichhle agle pehle baad dono aaj kal yaar bhai kripya dhanyavaad
+    jyada kam bahut bohot bahot saal pichle pichhle agle pehle baad dono aaj kal yaar bhai kripya dhanyavaad
     dhanyawad shukriya namaste jaankari jankari rupaye
 """.split()
 EDGES, TRAILING = "\"'`“”‘’„«»*_#>\\s", ".,;:!?…।॥\\-–—"
@@ -26,15 +26,37 @@ KINDS = {
     "waterfall": r"waterfall(?:\s+chart)?|bridge\s+chart", "bar": r"bar\s+(?:chart|graph)|bars|column\s+chart|bar", "line": r"line\s+(?:chart|graph)|trend\s+line|line", "table": r"table",
 }
 ORDINALS = {"first|1st": 0, "second|2nd": 1, "third|3rd": 2, "fourth|4th": 3, "fifth|5th": 4, "last|final": -1}
-CLEAR = r"clear\s+(?:the\s+)?(?:canvas|screen|board|charts?|everything|all)|(?:remove|delete|hide|close)\s+(?:all|every|everything)"
-REMOVE, PIN, UNPIN = r"remove|delete|drop|hide|close|discard|get\s+rid\s+of|take\s+(?:(?:it|that|this)\s+)?(?:away|off|down)", r"pin|keep\s+(?:it|that|this)\s+(?:on\s+(?:the\s+)?screen|there)", "unpin|un-pin"
-ADD, ONLY, QUESTION = "add|put|include|show|compare|plot|bring\\s+in|next\\s+to|alongside|too|also|as\\s+well|with|against", "only|just", "what|why|how|which|who|whom|when|where"
-CHANGE, EDIT_VERB = "this|that|it|as|into|instead|make|turn|change|switch|convert|redo|redraw", "make|turn|change|switch|convert|add|put|include|replace|swap|show|plot|highlight|sort|only|just"
+REMOVE = (
+    r"remove|delete|drop|hide|close|discard|get\s+rid\s+of|take\s+(?:it\s+|that\s+|this\s+)?(?:away|off|down)|"
+    r"हटा|हटाओ|हटाइए|हटाएं|हटाएँ|हटा\s+दो|हटा\s+दीजिए|मिटा|मिटाओ|मिटा\s+दो|"
+    r"hata|hatao|hataiye|hatayein|hata\s*do|hata\s+dijiye|mita|mitao|mita\s*do"
+)
+CLEAR = (
+    r"clear\s+(?:the\s+)?(?:canvas|screen|board|charts?|everything|all)|"
+    r"(?:remove|delete|hide|close)\s+(?:all|every|everything)(?:\s+(?:the\s+)?(?:charts?|graphs?|visuals?))?|"
+    r"(?:sab|sabhi|saare|sare|सब|सभी|सारे)\s+(?:\w+\s+)?(?:hata|hatao|hata\s+do|हटा|हटाओ|हटा\s+दो|मिटा\s+दो)"
+)
+UNPIN = r"unpin|un-pin|अनपिन|pin\s+(?:hata|hatao|hata\s+do|nikal\s+do)|पिन\s+(?:हटा|हटाओ|हटा\s+दो)"
+PIN = r"pin|पिन|keep\s+(?:it|that|this)\s+(?:on\s+(?:the\s+)?screen|there)"
+ADD = r"add|put|include|show|compare|plot|bring\s+in|jodo|jod\s+do|add\s+karo|add\s+kar\s+do|dikhao|daalo|dalo|जोड़ो|जोड़\s+दो|जोड़ें|दिखाओ|डालो"
+ALONG = r"next\s+to|alongside|beside|too|also|as\s+well|with|against|bhi|भी|saath|साथ"
+ONLY = "only|just|sirf|keval|केवल|सिर्फ़|सिर्फ"
+QUESTION = "what|why|how|which|who|when|where|kyun|kyon|kaise|kaun|kitna|kitni|kitne|क्यों|कैसे|कौन|कितना|कितनी|कितने"
+POINTING = "it|that|this|these|those|them|isko|isse|ise|isey|is|ye|yeh|usko|use|usse|wo|woh|vo|इसे|इसको|इस|यह|ये|उसे|उसको|उस|वो|वह"
+CHANGE = rf"{POINTING}|as|into|instead|make|turn|change|switch|convert|redo|redraw|mein|me|में|ki\s+jagah|की\s+जगह|badlo|badal|बदलो|बदल|banao|बनाओ"
+EDIT_VERB = "make|turn|change|switch|convert|add|put|include|replace|swap|show|plot|highlight|sort|only|just"
 EDIT_WORDS = """
     make turn change switch convert redo redraw show display put draw plot give use see view let's lets let us me it
     that this them these those the same chart charts graph graphs visual panel one figure previous last instead
     please now can could would you will as into to in a an ok okay and so rather kindly version form format type
-    style again just only like than of add include compare with against too also for
+    style again just only like rather than of
+    isko ise isey isse is ye yeh usko use usse wo woh vo ko mein me main men ek ki ke ka jagah ab zara thoda
+    dikhao dikhaiye dikhaye dikha do dijiye banao banaiye bana badlo badal dalo karo kar kariye kijiye chahiye
+    इसे इसको इस यह ये उसे उसको उस वो वह को में एक की के का जगह अब ज़रा थोड़ा
+    दिखाओ दिखाइए दिखाएं दिखाएँ दिखा दो दीजिए बनाओ पनाओ बनाइए बना बदलो बदल करो कर कीजिए करें चाहिए चार्ट ग्राफ़ ग्राफ
+    add include compare next alongside beside too also well with against bhi saath jodo jod daalo sirf keval
+    भी साथ जोड़ो जोड़ जोड़ें डालो सिर्फ़ सिर्फ केवल
+    na toh yaar bhai plz pls jara thora jaldi ना तो यार भाई जरा थोड़ा जल्दी
 """.split()
 FRAME = """
     a an the and or but if so nor of at to by for in on with without about around from into onto over under as than
@@ -44,6 +66,7 @@ FRAME = """
     explain tell show give describe summarize summarise list find get check look say says said please kindly know
     let lets want need like help any some anything something everything
     today todays tonight now currently current latest recent recently live real time right moment week morning
+    yesterday yesterdays tomorrow soon fy cy q h
 """.split()
 LIVE_TOPIC = r"(?i)\b(?:news|weather|stock price|share price|exchange rate|sensex|nifty|gold price)\b"
 POINTER = r"(?i)\b(?:in|from|per|see|according to)\s+(?:the|my|our|this|that)\s+(?:annual\s+)?(?:report|documents?|files?|deck|policy|presentation)\b"
@@ -196,7 +219,7 @@ def parsed_edit(utterance: Column) -> Column:
     edit = lambda a, k=None, t=None: F.struct(F.lit(a).alias("action"), (F.lit(None).cast("string") if k is None else k).alias("kind"), (F.lit(None).cast("string") if t is None else t).alias("target"))
     found = (
         F.when(has(n, CLEAR), edit("clear")).when(has(n, UNPIN), edit("unpin", t=first)).when(has(n, REMOVE) & (words <= 9), edit("remove", t=final)).when(has(n, PIN) & (words <= 9), edit("pin", t=final))
-        .when(timed & has(n, ONLY), edit("only")).when(timed & has(n, ADD), edit("periods"))
+        .when(timed & has(n, ONLY), edit("only")).when(timed & (has(n, ADD) | has(n, ALONG)), edit("periods"))
         .when((count > 0) & only_edit(stripped) & ((count > 1) | has(stripped, CHANGE)), edit("kind", k=final, t=F.when(count > 1, first)))
         .when(has(n, EDIT_VERB) & n.rlike(r"\b(?:to|on|in|into|from|of)\s+(?:it|this|that|(?:the|that|this)\s+(?:\w+\s+)?(?:chart|graph|visual|table)s?)\b"), edit("model"))
     )

@@ -164,3 +164,19 @@ def test_chart_edits(spark):
     assert [None if r is None else tuple(r) for r in got] == list(EDITS.values())
     assert each(spark, C.kind_mentions, ["a stacked bar chart and a line", "Bars or pie", "none"]) == [["stacked_bar", "line"], ["bar", "donut"], []]
     assert each(spark, lambda t: C.ordinal_before(t, "charts?|bars?"), ["the second chart", "the last red bar", "chart one"]) == [1, -1, None]
+
+
+DENIED = [
+    "The documents do not specify the margin.", "The report doesn't provide it.", "[S2] rose but does not give the FY23 split.", "It is not mentioned in the sources.", "There is no such information in the report.", "I couldn't find it.",
+    "इस बारे में जानकारी नहीं दी गई है।", "यह विवरण नही है", "yeh uplabdh nahi hai",
+]
+STATED = ["The report shows revenue does not include other income.", "Revenue was not available online.", "No. 5 is about it.", "लाभ बढ़ा", "", "nahi uplabdh"]
+
+
+def test_not_covered(spark):
+    assert each(spark, G.not_covered, DENIED + STATED) == [True] * len(DENIED) + [False] * len(STATED)
+
+
+def test_edits_in_hindi(spark):
+    got = each(spark, C.parsed_edit, ["chart hata do", "सब हटा दो", "isko pie chart mein badlo", "sirf FY24 dikhao", "kitna hai"])
+    assert [None if r is None else r.action for r in got] == ["remove", "clear", "kind", "only", None]

@@ -125,7 +125,7 @@ def plain_totals(rows):
                     checked = -1
                     break
                 checked += 1
-            if checked > 0 and (label.lower().startswith(("total", "sub-total", "grand total")) or checked > 1 or k > 2):
+            if checked > 0 and (label in ("Total", "Sub-total") or checked > 1 or k > 2):
                 out[key] = (True, checked, [p for p, _ in working[-k:]])
                 working = working[:-k]
                 break
