@@ -1,12 +1,17 @@
 """Main text of web pages by tag-path ratios.
 
 A page is cut into blocks at block-level tags; the tag path of a block is the chain of block-level elements above it, each with
-its class and id. For every path the text length and the punctuation of its blocks are added up and divided by the number of
-blocks (text in links doesn't count). The two ratios are smoothed over the path's container (the marked article, else the element
-above) and fused by a product; marks weigh it: OUTSIDE for a path outside the article where a page marks one, NAMED for a path with an element whose
-class or id names an advert, a notice, a sidebar or comments. Paths at or above a share of the best fused ratio are content, and
-open their containers: a marked article then counts with all paths below it, another container with the headings, paragraphs, lists and tables
-directly in it, so that short blocks stay beside long paragraphs. Paths that are mostly links, and named ones, need a ratio of their own for that.
+its class and id. For every path the text length and the punctuation of its blocks are added up (text in links doesn't count). The two ratios of
+text to path are smoothed over the path's container (the marked article, else the element above) and fused by a product. Paths at or above
+a share of the best fused ratio are content, and open their containers: a marked article then counts with all paths below it, another container with
+the headings, paragraphs, lists and tables directly in it, so that short blocks stay beside long paragraphs; there, and where they are named, paths that
+are mostly links need a ratio of their own.
+
+Marks are evidence beside the ratios, and weigh less the more text there is to go by: a path outside the article where a page marks one, and a path
+with an element whose class or id names an advert, a menu or the like, have their ratio multiplied by WEIGHT to the power of
+1 + REACH / the page's text. On a page with some thousands of characters that is little, so ratios choose; where the article is one line and an advert as
+long, marks do. Only elements named as text of its own, such as readers' comments, notices and sidebars, which ratios can't tell from an article,
+are multiplied by LEAST_WEIGHT.
 Kinds that never hold article text (scripts, forms, navigation, headers, footers and asides, hidden elements) count zero. A word on an
 element around the page's only articles doesn't weigh on them. If no ratio is above zero, the marked article counts as it is.
 
@@ -40,6 +45,8 @@ OFF_WORDS = frozenset(
     "navigation newsletter notice notices notification pagination pager popup promo promoted promotion reactions related replies reply search share sharing sidebar signup skip social sponsor sponsored "
     "subscribe subscription toc toolbar widget widgets".split()
 )
+#: Of these, the words that name text of its own, which is as long and as punctuated as an article.
+OWN_WORDS = frozenset("comment comments consent cookie cookies disqus gdpr legal notice notices notification popup reactions related replies reply sidebar".split())
 MAIN_WORDS = frozenset("article articlebody body content entry main post story text".split())
 MAIN_ROLES, OFF_ROLES = frozenset(["main", "article"]), frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar note".split())
 
@@ -58,10 +65,10 @@ FLOW = HEADINGS | SCOPES | frozenset("p li dt dd thead tbody tfoot tr td th capt
 
 #: Share of a path's ratios that comes from its container, and the least share of the best fused ratio that content has.
 SMOOTHING, LEAST_SHARE = 0.5, 0.3
-#: Weights of paths outside the marked article and of named ones; the share of linked text from which a path is mostly links.
-OUTSIDE, NAMED, LINKED = 0.02, 0.02, 0.5
-#: Why an element is off: a word on an element around its article, a word on it or above, its kind.
-AROUND, WORDED, NEVER = 1, 2, 3
+#: Weight of paths outside the marked article and of named ones, the text at which it counts twice, and its least value; the share of linked text from which a path is mostly links.
+WEIGHT, REACH, LEAST_WEIGHT, LINKED = 0.75, 1000, 0.02, 0.5
+#: Why an element is off: a word on an element around its article, a word on it or above, a word for text of its own, its kind.
+AROUND, WORDED, OWN, NEVER = 1, 2, 3, 4
 
 
 @dataclass
@@ -96,7 +103,7 @@ def _marks(tag: str, attributes: str, inside: bool) -> tuple[str, bool, int]:
                 name += ("." if key == "class" else "#") + value
                 main |= tag in ("div", "section") and bool(words) and words <= MAIN_WORDS
                 if tag not in ("html", "body", "article", "main") and words & OFF_WORDS - ({"header"} if inside else set()):
-                    off = max(off, WORDED)
+                    off = max(off, OWN if words & OWN_WORDS else WORDED)
             elif key == "role":
                 main |= value in MAIN_ROLES
                 off = NEVER if value in OFF_ROLES else off
@@ -197,31 +204,31 @@ def blocks(page: str, marked: bool = True) -> tuple[list[Block], list[Path]]:
         if key not in numbers:
             numbers[key] = len(paths)
             up = paths[above]
-            starts = main and up.main < 0 and up.off == WORDED and not off
+            starts = main and up.main < 0 and up.off in (WORDED, OWN) and not off
             paths.append(Path(tag, above, up.main if up.main >= 0 else len(paths) if main else -1, AROUND if starts else max(up.off, off)))
         places.setdefault(tag, []).append(len(stack))
         stack.append((tag, numbers[key]))
     return out, paths
 
 
-def fused_ratios(paths: list[Path], smoothing: float, outside: float, named: float) -> list[float]:
+def fused_ratios(paths: list[Path], smoothing: float, weight: float, reach: float) -> list[float]:
     """The fused ratio of each path."""
     sums: dict[int, list[int]] = {}
     for p in paths:
         if p.off != NEVER:
-            own = sums.setdefault(_container(p), [0, 0, 0])
-            own[0], own[1], own[2] = own[0] + p.n, own[1] + p.length, own[2] + p.marks
+            own = sums.setdefault(_container(p), [0, 0])
+            own[0], own[1] = own[0] + p.length, own[1] + p.marks
+    weight = max(LEAST_WEIGHT, weight ** (1 + reach / max(1, sum(length for length, _ in sums.values()))))
     article = any(p.n and p.main >= 0 and not p.off for p in paths)
     out = []
     for p in paths:
-        if not p.n or p.off == NEVER:
+        if not p.n or not p.length or p.off == NEVER:
             out.append(0.0)
             continue
-        n, length, marks = sums[_container(p)]
-        text_ratio = (1 - smoothing) * p.length / p.n + smoothing * length / n
-        mark_ratio = (1 - smoothing) * p.marks / p.n + smoothing * marks / n
-        weight = (outside if article and p.main < 0 else 1) * (named if p.off else 1)
-        out.append(text_ratio * (1 + mark_ratio) * weight if p.length else 0.0)
+        length, marks = sums[_container(p)]
+        text_ratio = (1 - smoothing) * p.length + smoothing * length
+        mark_ratio = (1 - smoothing) * p.marks + smoothing * marks
+        out.append(text_ratio * (1 + mark_ratio) * (weight if article and p.main < 0 else 1) * (LEAST_WEIGHT if p.off == OWN else weight if p.off else 1))
     return out
 
 
@@ -239,12 +246,12 @@ def content(paths: list[Path], fused: list[float], least_share: float) -> list[b
     reached = [False] * len(paths)  # inside an opened container; a path comes after the one above it
     for i, p in enumerate(paths):
         reached[i] = p.main in opened if p.main >= 0 else p.tag in FLOW and (p.above in opened or reached[p.above])
-        if reached[i] and p.n and not p.off and (p.tag in HEADINGS or 1 - p.length / p.total < LINKED):
+        if reached[i] and p.n and not p.off and (p.main >= 0 or p.tag in HEADINGS or 1 - p.length / p.total < LINKED):
             chosen[i] = True
     return chosen
 
 
-def extract(page: str | None, smoothing: float = SMOOTHING, least_share: float = LEAST_SHARE, outside: float = OUTSIDE, named: float = NAMED, marked: bool = True) -> str:
+def extract(page: str | None, smoothing: float = SMOOTHING, least_share: float = LEAST_SHARE, weight: float = WEIGHT, reach: float = REACH, marked: bool = True) -> str:
     """Text of the content blocks, joined by line ends."""
     cut, paths = blocks(page or "", marked)
     found = []
@@ -258,7 +265,7 @@ def extract(page: str | None, smoothing: float = SMOOTHING, least_share: float =
     if not any(p.n and p.main >= 0 and not p.off for p in paths):  # the only article stands in an element with such a word
         for p in paths:
             p.off = 0 if p.off == AROUND else p.off
-    chosen = content(paths, fused_ratios(paths, smoothing, outside, named), least_share)
+    chosen = content(paths, fused_ratios(paths, smoothing, weight, reach), least_share)
     return "\n".join(t for path, t in found if chosen[path])
 
 

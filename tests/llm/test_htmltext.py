@@ -1,10 +1,14 @@
 import random
+import re
 import time
 from html.parser import HTMLParser
+from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from docloom.llm import htmltext
 from docloom.llm.htmltext import extract, main_text
 
 LONG = "Sentence one, which is long enough. Sentence two follows; it has marks."
@@ -115,12 +119,11 @@ def plain_extract(page):
     p = Plain()
     p.feed(page)
     found = [(path, t.strip(), linked) for path, t, linked in p.found if t.strip()]
-    mean = lambda rows, f: sum(map(f, rows)) / len(rows)
     length, marks = lambda r: max(0, len(r[1]) - r[2]), lambda r: 0 if r[2] else sum(c in ".,;:!?" for c in r[1])
     fused = {}
     for path in {r[0] for r in found}:
         own, near = [r for r in found if r[0] == path], [r for r in found if r[0][:-1] == path[:-1]]
-        fused[path] = (mean(own, length) + mean(near, length)) / 2 * (1 + (mean(own, marks) + mean(near, marks)) / 2) if sum(map(length, own)) else 0
+        fused[path] = (sum(map(length, own)) + sum(map(length, near))) / 2 * (1 + (sum(map(marks, own)) + sum(map(marks, near))) / 2) if sum(map(length, own)) else 0
     chosen = {x for x, f in fused.items() if f >= 0.3 * max(fused.values())}
     opened = {x[:-1] for x in chosen}
     for path in fused:
@@ -162,8 +165,7 @@ def test_ratios_against_a_plain_version():
 
 def test_ratios_decide_beside_marks():
     article = f"<article><h1>Title</h1><p>{LONG}</p><p>{LONG}</p><ul><li><a href=x>Other page</a></li><li><a href=y>One more page</a></li></ul></article>"
-    assert extract(article).split("\n") == ["Title", LONG, LONG]
-    assert extract(article, least_share=0).split("\n")[-1] == "One more page"
+    assert extract(article).split("\n") == ["Title", LONG, LONG, "Other page", "One more page"]  # the article's own links stay
     teaser = f"<article><p>Tiny.</p></article><div class=c1>{f'<p>{LONG * 20}</p>' * 3}</div>"
     assert extract(teaser).split("\n") == [LONG * 20] * 3
     assert extract("<article><p><a href=x>Only a link</a></p></article><p><a>Menu</a></p>") == "Only a link"
@@ -172,3 +174,25 @@ def test_ratios_decide_beside_marks():
 def test_without_marks_ratios_stand_alone():
     got = extract(PAGE, marked=False).split("\n")
     assert LONG in got and "One" not in got and "Name" not in got
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="the tables aren't here")
+def test_ratios_decide_on_the_given_pages(monkeypatch):
+    """With constant ratios the marks alone choose otherwise; without marks the ratios find the article's blocks nearly as well."""
+    pages = [x for x in pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"])["html"].to_pylist() if x]
+    real, bare = [extract(x) for x in pages], [extract(x, marked=False) for x in pages]
+    want = [{t for t in extract(f"<article>{m[1]}</article>").split("\n")} if (m := re.search(r"(?s)<article>(.*?)(?:</article>|\Z)", x)) else None for x in pages]
+    kept = [(set(b.split("\n")), w) for b, w in zip(bare, want, strict=True) if w]
+    assert sum(len(b & w) for b, w in kept) > 0.9 * sum(len(b) for b, _ in kept) and sum(len(b & w) for b, w in kept) > 0.9 * sum(len(w) for _, w in kept)
+    assert all(set(r.split("\n")) == w for r, w in zip(real, want, strict=True) if w)
+    monkeypatch.setattr(htmltext, "fused_ratios", constant(htmltext.fused_ratios))
+    assert sum(extract(x) != r for x, r in zip(pages, real, strict=True)) > 0.5 * len(pages)
+
+
+def constant(fused):
+    """Fused ratios of pages as long, whose every path has the same text and punctuation; marks, names and kinds stay."""
+
+    def run(paths, smoothing, weight, reach):
+        return [f and f / r for f, r in zip(fused(paths, smoothing, weight, reach), fused(paths, smoothing, 1.0, reach), strict=True)]
+
+    return run
