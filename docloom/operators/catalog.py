@@ -124,6 +124,20 @@ def replaced_if_different(old: DataFrame, new: DataFrame, key: str, value: str)
     return old.join(same, key, "left_semi").withColumn("kept", F.lit(True)).unionByName(new.join(same, key, "left_anti").withColumn("kept", F.lit(False)))
 
 
+def replaced_if_present(stored: DataFrame, new: DataFrame, documents: DataFrame, tables: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """DM-08: stored after new datasets replaced those of their documents, and which documents were done.
+
+    stored, new: document_id, version, table_id and more; documents: document_id, version; tables: document_id, version, table_id. A document's new datasets
+    count as one change: all are taken, in place of everything stored for it, if the document has their version and every table they name still has
+    a row of that version; else none is, and what was stored stays. new must hold one version of a document.
+    """
+    keys = ["document_id", "version"]
+    asked = new.select(*keys, "table_id").join(documents.select(*keys, F.lit(True).alias("_doc")).distinct(), keys, "left").join(tables.select(*keys, "table_id", F.lit(True).alias("_table")).distinct(), [*keys, "table_id"], "left")
+    done = asked.groupBy(*keys).agg((F.count(F.lit(1)) == F.count(F.when(F.col("_doc") & F.col("_table"), 1))).alias("done"))
+    taken = done.where("done").select(*keys)
+    return stored.join(taken.select("document_id"), "document_id", "left_anti").select(*stored.columns).unionByName(new.join(taken, keys, "left_semi").select(*stored.columns)), done
+
+
 def contained(evidence: DataFrame, docs: DataFrame, window: int = 5, most: int = NEEDLE_BYTES) -> DataFrame:
     """JN-10, FLT-09: (item_id, doc_id, lang) where the document's text holds the evidence, letter case aside.
 

@@ -33,6 +33,12 @@ def st01_endpointing(spark, sf_dir):
     return folded(_frames(spark, sf_dir), "key", ["frame_no"], S.endpoint(), lambda: None, "key long, frame_no long, event string, speech_ms long, silence_ms long")
 
 
+@register()
+def st03_gated_endpointing(spark, sf_dir):
+    """ST-03: each user's events as frames of a session, announced only where near speech reached the least."""
+    return folded(_frames(spark, sf_dir), "key", ["frame_no"], S.gated(), lambda: None, "key long, frame_no long, event string, speech_ms long, silence_ms long, level double")
+
+
 @register()
 def st04_noise_floor(spark, sf_dir):
     """ST-04, ST-06."""

@@ -234,3 +234,84 @@ def sentence_out(s: Writing | None, row):
             out.append((row.key, n, held[:end].strip()))
         held = held[end:]
     return Writing(held, n, row.key), out
+
+
+# Fixed values of a room: floors in dBFS taken for quiet and loud, what a loud one raises the probability and the least speech to, decibels above the floor at
+# which a turn opens and goes on, the speaker's level before it is known with the room left for that, how far under it is far away, and the slack while a turn runs.
+QUIET_FLOOR, LOUD_FLOOR, NOISY_ON, NOISY_SHORTEST = -60.0, -35.0, 0.8, 400.0
+START_SNR, END_SNR, ASSUMED_LEVEL, ASSUMED_MARGIN, FAR_DB, SLACK_DB = 9.0, 4.0, -26.0, 2.0, 8.0, 6.0
+RISE, FALL = 0.5, 0.15
+
+
+@dataclass(frozen=True)
+class Gated:
+    """ST-03: a room's floor and its speaker's level, and the utterance that is heard or held back."""
+
+    noise: Noise = Noise()
+    user: float | None = None
+    started: int | None = None
+    speech: int = 0
+    silence: int = 0
+    paused: bool = False
+    announced: bool = False
+    levels: tuple[float, ...] = ()
+
+
+def gated(on: float = ON):
+    """ST-03: endpointing in a noisy room. An utterance opens at a probability that rises with the noise floor, by a frame well above it, but is held back:
+    it is announced once it holds the least speech (which rises too), is in no silence, and its level, the 80th percentile of its speech frames, isn't far
+    below the speaker's. While it runs, frames at the floor or far below the speaker's level are silence whatever their probability. One that
+    ends unannounced or too short is dropped; one that ends announced moves the speaker's level, quickly up and slowly down.
+
+    Rows: key, frame_no, event (announce, resume, pause, close, discard), speech_ms, silence_ms, level.
+    """
+
+    def least_level(s: Gated) -> float:
+        return s.user - FAR_DB if s.user is not None else ASSUMED_LEVEL - FAR_DB - ASSUMED_MARGIN
+
+    def step(s: Gated | None, row):
+        s = s or Gated()
+        if row is None:
+            return s, []
+        out, heard = [], noise(s.noise, row)[0]
+        s = replace(s, noise=replace(heard, speech=()))
+        share = min(1.0, max(0.0, (heard.floor - QUIET_FLOOR) / (LOUD_FLOOR - QUIET_FLOOR)))
+        opens, shortest = on + (max(NOISY_ON, on) - on) * share, SHORTEST + (max(NOISY_SHORTEST, SHORTEST) - SHORTEST) * share
+        off = max(on - OFF_BELOW, OFF_LEAST)
+
+        def emit(event: str, s: Gated) -> None:
+            out.append((row.key, row.frame_no, event, s.speech, s.silence, round(_percentile(list(s.levels), LEVEL_AT), 4) if s.levels else None))
+
+        def announced(s: Gated) -> Gated:
+            if s.announced or s.speech < shortest or s.silence or (s.levels and _percentile(list(s.levels), LEVEL_AT) < least_level(s)):
+                return s
+            s = replace(s, announced=True)
+            emit("announce", s)
+            return s
+
+        if s.started is None:
+            if row.p >= opens and row.level >= heard.floor + START_SNR:
+                s = announced(replace(s, started=max(0, row.frame_no - PRE_ROLL // FRAME_MS), speech=FRAME_MS, silence=0, paused=False, announced=False, levels=(row.level,)))
+            return s, out
+        audible = row.level >= heard.floor + END_SNR and row.level >= least_level(s) - SLACK_DB
+        if row.p >= on and audible:
+            if s.silence and s.paused:
+                emit("resume", s)
+            s = replace(s, speech=s.speech + s.silence + FRAME_MS, silence=0, paused=False, levels=(*s.levels, row.level))
+        elif row.p < off or s.silence or not audible:
+            s = replace(s, silence=s.silence + FRAME_MS)
+        else:
+            s = replace(s, speech=s.speech + FRAME_MS)
+        s = announced(s)
+        if s.silence >= CLOSE_SILENCE or s.speech + s.silence >= LONGEST:
+            whole = s.announced and s.speech >= shortest
+            emit("close" if whole else "discard", s)
+            level = _percentile(list(s.levels), LEVEL_AT) if whole and s.levels else None
+            user = s.user if level is None else level if s.user is None else s.user + (level - s.user) * (RISE if level > s.user else FALL)
+            s = Gated(s.noise, user)
+        elif s.announced and not s.paused and s.silence >= HALF_SILENCE and s.speech >= shortest:
+            s = replace(s, paused=True)
+            emit("pause", s)
+        return s, out
+
+    return step
