@@ -18,6 +18,7 @@ extra columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -39,10 +40,18 @@ MEMO_WORDS, MEMO_CHARS = 300_000, 1 << 20
 SEPARATOR = "<|endoftext|>"
 #: Marks that a chunk of letters may end with, and how such a chunk ends.
 MARKS, CLOSED = ".,", "[A-Za-z\\x{C0}-\\x{D6}\\x{D8}-\\x{F6}\\x{F8}-\\x{FF}][.,]$"
-# How the file marks a word's last token, and its pre-tokenizer's words in chunks of letters, digits and marks without an apostrophe.
+# How the file marks a word's last token, how it normalises and cuts texts, and its pre-tokenizer's words in chunks of letters, digits and marks without an apostrophe.
 WORD_END = "</w>"
 _LETTERS, _SIGNS = "A-Za-z\\x{C0}-\\x{D6}\\x{D8}-\\x{F6}\\x{F8}-\\x{FF}", "!-&(-/:-@\\[-`{-~"
 PLAIN, PLAIN_WORD = f"^[{_LETTERS}0-9{_SIGNS}]+$", f"[{_LETTERS}]+|[0-9]|[{_SIGNS}]+"
+NORMALISES = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+CUTS = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 #: Chunks in one text of a batch.
 TOGETHER = 256
 #: Rows of a batch that are looked up together.
@@ -189,10 +198,19 @@ def separated(tokenizer, separator: str):
     return encode
 
 
-def memo_for(path: str, most: int = MEMO_WORDS) -> WordMemo:
+def cut_as_known(path: str):
+    """The tokenizer of a file, if it puts texts in lower case and cuts them as PLAIN_WORD, `plainer` and the cut at spaces take for granted; another file raises."""
     from tokenizers import Tokenizer
 
-    return WordMemo(separated(Tokenizer.from_file(path), SEPARATOR), most)
+    tokenizer = Tokenizer.from_file(path)
+    says = json.loads(tokenizer.to_str())
+    if (says["normalizer"], says["pre_tokenizer"], says["model"].get("end_of_word_suffix")) != (NORMALISES, CUTS, WORD_END):
+        raise ValueError(f"{path} normalises or cuts texts in another way than this packing knows")
+    return tokenizer
+
+
+def memo_for(path: str, most: int = MEMO_WORDS) -> WordMemo:
+    return WordMemo(separated(cut_as_known(path), SEPARATOR), most)
 
 
 def fullest(sizes: list[int], count, room: int) -> dict[int, int]:

@@ -17,7 +17,7 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     filters = langid.fit(docs.where(f"NOT coalesce({held_out_sql()}, false)"))
     found = docs.withColumn("found", langid.language(docs, filters))
-    return found.select("doc_id", F.expr(held_out_sql()).alias("held_out"), F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"))
+    return found.select("doc_id", F.expr(f"coalesce({held_out_sql()}, false)").alias("held_out"), F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +58,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = _table(spark, sf_dir, "labels").where(f"NOT {held_out_sql()}").select("doc_id", F.col("quality").alias("label"))
     vectors = quality.word_vectors(docs)
     network = quality.fit(docs, labels, vectors)
-    scored = docs.select("doc_id", F.expr(held_out_sql()).alias("held_out"), quality.score(docs, vectors, network).alias("score"))
+    scored = docs.select("doc_id", F.expr(f"coalesce({held_out_sql()}, false)").alias("held_out"), quality.score(docs, vectors, network).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= PREDICTED_FROM).cast("int"))
 
 

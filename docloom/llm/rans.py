@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import hand_back
-from .packing import PART_ROWS, SEPARATOR, WordMemo, separated, texts_ids
+from .packing import PART_ROWS, WordMemo, memo_for, texts_ids
 
 END_ID = 1
 #: Frequencies of a table sum to 1 << SCALE_BITS; a lane's state is kept in [LOW, LOW << 32).
@@ -165,9 +165,7 @@ def _group(shard: int, part: int, docs: list[int | None], texts: list[np.ndarray
 
 @functools.lru_cache(1)
 def _memo(path: str) -> WordMemo:
-    from tokenizers import Tokenizer
-
-    return WordMemo(separated(Tokenizer.from_file(path), SEPARATOR), MEMO_WORDS)
+    return memo_for(path, MEMO_WORDS)
 
 
 def _writer(tokenizer_path: str, end_id: int, group_ids: int, block_ids: int):

@@ -73,3 +73,8 @@ def test_fullest_is_best_subset():
         chosen = packing.fullest(sorted(counts), counts.__getitem__, room)
         assert all(n <= counts[s] for s, n in chosen.items())
         assert sum(s * n for s, n in chosen.items()) == max(x for x in sums if x <= room)
+
+
+def test_a_file_that_cuts_otherwise_is_refused():
+    with pytest.raises(ValueError, match="another way"):
+        packing.memo_for(packing.word_tokenizer().replace("word_bpe_49k", "byte_bpe_50k"))
