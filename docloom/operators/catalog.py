@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -142,7 +141,7 @@ def contained(evidence: DataFrame, docs: DataFrame, window: int = 5, most: int =
     """JN-10, FLT-09: (item_id, doc_id, lang) where the document's text holds the evidence, letter case aside.
 
     Evidence of up to `most` bytes in all, which is counted first, goes to the tasks as one automaton that finds every piece in one pass over a
-    text. More of it meets the texts by windows of words, see `contained_by_windows`.
+    text (pyahocorasick must be installed there). More of it meets the texts by windows of words, see `contained_by_windows`.
     """
     needles = evidence.select("item_id", F.lower("text").alias("needle")).where("needle IS NOT NULL")
     size = needles.agg(F.sum(F.octet_length("needle")).alias("n")).first().n or 0
@@ -153,15 +152,19 @@ def contained(evidence: DataFrame, docs: DataFrame, window: int = 5, most: int =
         held.setdefault(r.needle, []).append(r.item_id)
     shared = docs.sparkSession.sparkContext.broadcast(held)
 
+    made: list = []  # the automaton of a task, once its first batch has come
+
     def find(texts: pa.Array) -> pa.Array:
-        automaton = ahocorasick.Automaton()
-        for needle, ids in shared.value.items():
-            if needle:
-                automaton.add_word(needle, ids)
-        always = shared.value.get("", [])
-        if len(automaton):
-            automaton.make_automaton()
-        out = []
+        if not made:
+            import ahocorasick
+
+            made.append(ahocorasick.Automaton())
+            for needle, ids in shared.value.items():
+                if needle:
+                    made[0].add_word(needle, ids)
+            if len(made[0]):
+                made[0].make_automaton()
+        automaton, always, out = made[0], shared.value.get("", []), []
         for text in texts.to_pylist():
             ids = set(always) if text is not None else set()
             if text and len(automaton):
