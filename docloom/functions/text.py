@@ -189,3 +189,19 @@ def age(seconds: Column) -> Column:
     """SC-42: how long ago, in the largest unit."""
     whole = lambda d, u: F.concat(F.floor(seconds / d).cast("string"), F.lit(u))
     return F.when(seconds < 60, "now").when(seconds < 3600, whole(60, " min")).when(seconds < 86400, whole(3600, " h")).otherwise(whole(86400, " d"))
+
+
+# Fixed value: the namespace of chunk ids.
+CHUNK_NAMESPACE = "5b0f6a4e2f0c4c1a9a433f8e0f3c2d71"
+
+
+def chunk_id(document: Column, version: Column, index: Column) -> Column:
+    """SC-64: document:v2:0007."""
+    return F.concat(document.cast("string"), F.lit(":v"), version.cast("string"), F.lit(":"), F.format_string("%04d", index))
+
+
+def point_id(chunk: Column, namespace: str = CHUNK_NAMESPACE) -> Column:
+    """SC-64: the name-based UUID (version 5) of a chunk id, so that a chunk that is stored again overwrites itself; null for null."""
+    h = F.sha1(F.concat(F.unhex(F.lit(namespace)), chunk.cast("binary")))
+    variant = F.element_at(F.array(*map(F.lit, "89ab")), F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4 + 1)
+    return F.when(chunk.isNotNull(), F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12)))

@@ -6,6 +6,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import stored
+
 #: Evidence that a task may get at once.
 NEEDLE_BYTES = 8 << 20
 STATES = ["QUEUED", "RUNNING", "SUCCEEDED", "FAILED", "CANCELLED"]
@@ -208,3 +210,22 @@ def scope_without(scope: Column, gone: Column) -> Column:
     """JN-28: a scope array less a deleted id; null once it is empty."""
     left = F.filter(scope, lambda x: x != gone)
     return F.when(F.size(left) > 0, left)
+
+
+def fact_coverage(facts: DataFrame, chunks: DataFrame) -> DataFrame:
+    """JN-11: fact, chunks (that hold all of its evidence), stating (of these, on a page that states it), for every fact.
+
+    facts: fact, evidence (array<string>), pages (array<int>: null or empty, any page will do). chunks: chunk (long), text, page_start, page_end (null: the same page; no
+    start: any page). All pieces of evidence are found by one containment join, a piece that several facts share once; facts then count the chunks in which all
+    of theirs met. A fact without evidence, or with a null or empty piece, is held nowhere; letter case doesn't matter; pieces that repeat count once.
+    """
+    pieces = facts.select("fact", "pages", F.array_distinct(F.transform("evidence", lambda e: F.lower(e))).alias("all")).where(F.forall("all", lambda e: e.isNotNull() & (e != "")))
+    pieces = pieces.select("fact", "pages", F.size("all").alias("n"), F.explode("all").alias("piece"))
+    known = stored(pieces.select("piece").distinct().withColumn("item_id", F.monotonically_increasing_id()), "evidence")
+    met = contained(known.select("item_id", F.col("piece").alias("text")), chunks.select(F.col("chunk").alias("doc_id"), F.lit(None).cast("string").alias("lang"), "text"))
+    hits = pieces.join(known, "piece").join(met.select("item_id", F.col("doc_id").alias("chunk")), "item_id")
+    held = hits.groupBy("fact", "chunk").agg(F.count(F.lit(1)).alias("found"), F.first("n").alias("n"), F.first("pages").alias("pages")).where("found = n").join(chunks.select("chunk", "page_start", "page_end"), "chunk")
+    inside = F.exists("pages", lambda p: p.between(F.col("page_start"), F.coalesce("page_end", "page_start")))
+    right = F.coalesce(F.size("pages"), F.lit(0)).isin(0, -1) | F.col("page_start").isNull() | F.coalesce(inside, F.lit(False))
+    counted = held.groupBy("fact").agg(F.count(F.lit(1)).alias("chunks"), F.count_if(right).alias("stating"))
+    return facts.select("fact").join(counted, "fact", "left").na.fill(0, ["chunks", "stating"])

@@ -1,11 +1,12 @@
-"""Queries of labels and of the guarded replacement of datasets."""
+"""Queries of labels, ids, the guarded replacement of datasets, and the coverage of facts by chunks."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
-from ..operators.catalog import replaced_if_present
+from ..functions.text import chunk_id, point_id
+from ..operators.catalog import fact_coverage, replaced_if_present
 from ..sources.frames import DOCUMENTS_SQL, documents
 from .registry import registry, table
 
@@ -51,3 +52,29 @@ def dm08_replace_datasets(spark, sf_dir):
     i = F.col("document_id")
     new = d.where("document_id % 3 > 0").select("document_id", F.when(i % 4 == 0, F.col("version") + 1).otherwise(F.col("version")).alias("version"), F.explode(F.array(F.lit(1), F.when(i % 5 == 0, 3).otherwise(2))).alias("table_id"), F.lit("new").alias("body"))
     return replaced_if_present(stored, new, d, tables)[0]
+
+
+@register("""WITH c AS (SELECT doc_id, doc_id || ':v' || (1 + doc_id % 3) || ':' || lpad(unnest(range(1 + n_chars // 2000))::VARCHAR, 4, '0') AS chunk_id FROM documents), h AS (SELECT *, sha1(unhex('5b0f6a4e2f0c4c1a9a433f8e0f3c2d71') || encode(chunk_id)) AS h FROM c)
+    SELECT doc_id, chunk_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || (['8', '9', 'a', 'b'])[(strpos('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1] || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point FROM h""")
+def sc64_point_ids(spark, sf_dir):
+    """SC-64: the ids of all chunks of 2,000 characters of every document."""
+    chunks = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.sequence(F.lit(0), F.floor(F.col("n_chars") / 2000).cast("int"))).alias("i"))
+    return chunks.select("doc_id", chunk_id(F.col("doc_id"), 1 + F.col("doc_id") % 3, F.col("i")).alias("chunk_id")).select("doc_id", "chunk_id", point_id(F.col("chunk_id")).alias("point"))
+
+
+FACTS = """f AS (SELECT item_id AS fact, string_split(text, ' ') AS w FROM benchmark), facts AS (SELECT fact, list_distinct([lower(w[1] || ' ' || w[2] || ' ' || w[3]), lower(w[len(w) - 1] || ' ' || w[len(w)])]) AS evidence, [1, 4 + fact % 5] AS pages FROM f WHERE len(w) > 3),
+    l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents), chunks AS (SELECT doc_id, i // 8 AS page, string_agg(line, chr(10) ORDER BY i) AS text FROM l GROUP BY ALL)"""
+
+
+@register(f"""WITH {FACTS}, held AS (SELECT fact, page, pages FROM facts JOIN chunks ON list_bool_and(list_transform(evidence, lambda e: contains(lower(text), e))))
+    SELECT fact, count(page) AS chunks, count(*) FILTER (WHERE list_bool_or(list_transform(held.pages, lambda p: p BETWEEN page + 1 AND page + 2))) AS stating FROM facts LEFT JOIN held USING (fact) GROUP BY 1""")
+def jn11_fact_coverage(spark, sf_dir):
+    """JN-11: the start and the end of each benchmark passage as its evidence, against chunks of eight lines of all documents, two pages each."""
+    w = F.split("text", " ")
+    word = lambda i: F.element_at(w, i)
+    evidence = F.array(F.concat_ws(" ", word(1), word(2), word(3)), F.concat_ws(" ", word(-2), word(-1)))
+    facts = table(spark, sf_dir, "benchmark").where(F.size(w) > 3).select(F.col("item_id").alias("fact"), evidence.alias("evidence"), F.array(F.lit(1), (4 + F.col("item_id") % 5).cast("int")).alias("pages"))
+    lines = F.split("text", "\n")
+    cut = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / 8).cast("int")), lambda i: F.struct(i.alias("page"), F.array_join(F.slice(lines, i * 8 + 1, F.lit(8)), "\n").alias("text")))).alias("c"))
+    chunks = cut.select((F.col("doc_id") * 100_000 + F.col("c.page")).alias("chunk"), "c.text", (F.col("c.page") + 1).alias("page_start"), (F.col("c.page") + 2).alias("page_end"))
+    return fact_coverage(facts, chunks)

@@ -1,12 +1,14 @@
 """Labels, the guarded replacement and the gate of a noisy room on cases whose results are known."""
 
 import random
+import uuid
 from types import SimpleNamespace as Row
 
 from pyspark.sql import functions as F
 
 from docloom.functions import labels as L
-from docloom.operators.catalog import replaced_if_present
+from docloom.functions.text import CHUNK_NAMESPACE, point_id
+from docloom.operators.catalog import fact_coverage, replaced_if_present
 from docloom.operators.windows import folded
 from docloom.streaming import steps as S
 from docloom.streaming.stateful import stateful
@@ -109,3 +111,16 @@ def test_gate_is_the_same_on_a_stream(spark, tmp_path):
     q.awaitTermination()
     batch = folded(spark.createDataFrame(rows, schema), "key", ["frame_no"], S.gated(), lambda: None, out).collect()
     assert sorted(map(tuple, spark.table("gated").collect())) == sorted(map(tuple, batch)) and len(batch) > 20
+
+
+def test_point_ids(spark):
+    names = ["7:v1:0000", "", "é:v2:0013", None] + [f"{i}:v1:{i:04}" for i in range(200)]
+    got = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string").orderBy("i").select(point_id(F.col("n")).alias("p")).collect()
+    assert [r.p for r in got] == [None if n is None else str(uuid.uuid5(uuid.UUID(CHUNK_NAMESPACE), n)) for n in names]
+
+
+def test_fact_coverage(spark):
+    facts = [(1, ["Net", "rose"], [2]), (2, ["net"], None), (3, ["net", "NET", "fell"], [9]), (4, [], [1]), (5, None, [1]), (6, ["rose", None], None), (7, ["rose", ""], None), (8, ["rose"], [])]
+    chunks = [(10, "The NET rose", 1, 3), (11, "net fell", 4, None), (12, "rose. Net", None, None), (13, None, 1, 1), (14, "net rose", 3, 4)]
+    got = fact_coverage(spark.createDataFrame(facts, "fact long, evidence array<string>, pages array<int>"), spark.createDataFrame(chunks, "chunk long, text string, page_start int, page_end int"))
+    assert sorted(map(tuple, got.collect())) == [(1, 3, 2), (2, 4, 4), (3, 1, 0), (4, 0, 0), (5, 0, 0), (6, 0, 0), (7, 0, 0), (8, 3, 3)]
