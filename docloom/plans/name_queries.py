@@ -30,15 +30,15 @@ def ag35_key_points(spark, sf_dir):
     return N.merged_points(said.select("key", F.struct("turn", "i").alias("pos"), "text", F.array("turn").alias("sources")))
 
 
-LEDGER = f"""l AS (SELECT c_nationkey::BIGINT AS table_id, year(o_orderdate)::INTEGER + (month(o_orderdate) > 3)::INT AS fy, ((month(o_orderdate) + 8) % 12 // 3 + 1)::INTEGER AS q, list_position({SEG}, c_mktsegment)::INTEGER AS col, CAST(round(sum(o_totalprice) / 1000, 0) AS BIGINT) AS v
-    FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)"""
+LEDGER = f"""l AS (SELECT n_regionkey::BIGINT AS table_id, year(o_orderdate)::INTEGER + (month(o_orderdate) > 3)::INT AS fy, ((month(o_orderdate) + 8) % 12 // 3 + 1)::INTEGER AS q, list_position({SEG}, c_mktsegment)::INTEGER AS col, CAST(round(sum(o_totalprice) / 1000, 0) AS BIGINT) AS v
+    FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL)"""
 
 
 def ledger(spark, sf_dir):
-    """Each nation's quarters, a total after each fiscal year and one at the end: table_id, row, key, label, section, values."""
-    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    """Each region's quarters, a total after each fiscal year and one at the end: table_id, row, key, label, section, values."""
+    o, c, n = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
     d = F.col("o_orderdate")
-    cells = o.join(c, o.o_custkey == c.c_custkey).groupBy(F.col("c_nationkey").cast("long").alias("table_id"), fiscal_year(d).alias("fy"), fiscal_quarter(d).alias("q"), F.array_position(F.array(*map(F.lit, SEGMENTS)), F.col("c_mktsegment")).cast("int").alias("col"))
+    cells = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).groupBy(F.col("n_regionkey").cast("long").alias("table_id"), fiscal_year(d).alias("fy"), fiscal_quarter(d).alias("q"), F.array_position(F.array(*map(F.lit, SEGMENTS)), F.col("c_mktsegment")).cast("int").alias("col"))
     cells = cells.agg(F.round(F.sum("o_totalprice") / 1000, 0).cast("long").alias("v"))
     years = cells.groupBy("table_id", "fy", F.lit(5).alias("q"), "col").agg(F.sum("v").alias("v"))
     whole = years.groupBy("table_id", F.lit(9999).alias("fy"), F.lit(6).alias("q"), "col").agg(F.sum("v").alias("v"))
