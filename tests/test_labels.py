@@ -32,10 +32,10 @@ def test_reference_labels(spark):
 
 
 def test_document_labels(spark):
-    rows = [("valmora_annual_report_fy24.pdf", "Valmora Industries Limited"), ("valmora_annual_report.pdf", "Annual Report"), ("dir/a.b-c.tar.gz", None), ("", "Only title"), (None, None), ("x.txt", ""), (".hidden", "Hidden")]
+    rows = [("kelmora_annual_report_fy24.pdf", "Kelmora Industries Limited"), ("kelmora_annual_report.pdf", "Annual Report"), ("dir/a.b-c.tar.gz", None), ("", "Only title"), (None, None), ("x.txt", ""), (".hidden", "Hidden")]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, f string, t string").orderBy("i")
     got = [r[0] for r in df.select(L.document_label(F.col("f"), F.col("t"))).collect()]
-    assert got == ["valmora annual report fy24: Valmora Industries Limited", "valmora annual report", "a b c tar", "Only title", "", "x", "hidden"]
+    assert got == ["kelmora annual report fy24: Kelmora Industries Limited", "kelmora annual report", "a b c tar", "Only title", "", "x", "hidden"]
     split = spark.createDataFrame([("a b: c: d",), ("a b",), ("",)], "l string").select(L.split_document_label(F.col("l")).alias("x")).collect()
     assert [tuple(r.x) for r in split] == [("a b", "c: d"), ("a b", ""), ("", "")]
 
