@@ -90,6 +90,20 @@ def heard_names(text: Column) -> Column:
     return F.filter(latin_words(text), lambda w: w.rlike("^[A-Z][a-z]+$") & (F.length(w) >= UNFAMILIAR_LETTERS))
 
 
+def own_words(labels: DataFrame, group: str, words: str) -> DataFrame:
+    """SE-04: labels with own (their words less those that every label of the group has) and shared (these), both in order.
+
+    The intersection of a group's labels is what as many of them hold as there are, so words are counted and no group is collected. words: an array without
+    repeats; a label without words empties the intersection of its group; a null group is one of its own.
+    """
+    sizes = labels.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    held = labels.select(group, F.explode(words).alias("_word")).groupBy(group, "_word").agg(F.count(F.lit(1)).alias("_k"))
+    same = lambda a, b: a[group].eqNullSafe(b[group])
+    every = held.join(sizes, same(held, sizes)).where("_k = _n").groupBy(held[group].alias("_group")).agg(F.array_sort(F.collect_list("_word")).alias("shared"))
+    joined = labels.join(every, labels[group].eqNullSafe(every["_group"]), "left").drop("_group").withColumn("shared", F.coalesce("shared", F.array().cast("array<string>")))
+    return joined.withColumn("own", F.array_sort(F.array_except(F.coalesce(words, F.array().cast("array<string>")), F.col("shared"))))
+
+
 _POINT_WORD = re.compile(r"[\wऀ-ॿ%.,₹]+")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import guard as G
 from ..functions.numbers import fiscal_quarter, fiscal_year
 from ..functions.text import sentences
 from ..operators import names as N
@@ -57,3 +58,19 @@ def ledger(spark, sf_dir):
 def ag27_nested_totals(spark, sf_dir):
     """AG-27: yearly totals of quarters, and the grand total of these."""
     return T.nested_totals(ledger(spark, sf_dir))
+
+
+@register()
+def flt16_not_covered(spark, sf_dir):
+    """FLT-16: of each turn how many sentences there are and how many say that the documents lack something."""
+    s = sentences(F.col("text"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(s).alias("sentences"), F.size(F.filter(s, G.not_covered)).alias("denied"))
+
+
+@register("""WITH l AS (SELECT p_type AS kind, p_partkey, list_distinct(string_split(lower(p_name || ' ' || p_type), ' ')) AS w FROM part), n AS (SELECT kind, count(*) AS n FROM l GROUP BY 1),
+    k AS (SELECT kind, t, count(*) AS k FROM (SELECT kind, unnest(w) AS t FROM l) GROUP BY ALL), e AS (SELECT kind, list(t ORDER BY t) AS shared FROM k JOIN n USING (kind) WHERE k = n GROUP BY 1)
+    SELECT p_partkey, list_sort(list_filter(w, lambda t: NOT list_contains(coalesce(shared, []), t))) AS own, coalesce(shared, []) AS shared FROM l LEFT JOIN e USING (kind)""")
+def se04_own_words(spark, sf_dir):
+    """SE-04: the words that tell each part's label from the others of its type, and those in every label of the type."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("kind"), F.array_distinct(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " ")).alias("w"))
+    return N.own_words(p, "kind", "w").select("p_partkey", "own", "shared")

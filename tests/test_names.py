@@ -162,3 +162,10 @@ def test_totals_of_odd_rows(spark):
     df = spark.createDataFrame([(1, 1, "a", None, None, one(3)), (1, 2, "b", "", None, None), (1, 3, "c", "x", None, one(4)), (1, 4, "d", "Total", None, one(7)), (2, 1, "a", "Total", None, one(7))], shape)
     got = {(r.table_id, r.key): r.parts for r in T.nested_totals(df).collect()}
     assert got[1, "d"] == ["a", "b", "c"] and got[2, "a"] == [] and T.nested_totals(df.limit(0)).collect() == []
+
+
+def test_words_in_every_label(spark):
+    rows = [("a", ["x", "net", "b"]), ("a", ["net", "c", "x"]), ("b", ["net"]), ("b", []), ("c", ["one"]), (None, ["p", "q"]), (None, ["q"]), ("d", None)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, g string, w array<string>")
+    got = {r.i: (r.own, r.shared) for r in N.own_words(df, "g", "w").collect()}
+    assert got == {0: (["b"], ["net", "x"]), 1: (["c"], ["net", "x"]), 2: (["net"], []), 3: ([], []), 4: ([], ["one"]), 5: (["p"], ["q"]), 6: ([], ["q"]), 7: ([], [])}
