@@ -1,7 +1,7 @@
 """The answer guard (ST-09): sentences of streamed answers, checked against their sources before they go out.
 
-Pieces become whole sentences in a keyed fold (streaming.steps.sentence_out); all checks are columns over those sentences, joined to what their
-answer's sources state, so a stream and a batch run the same plan."""
+Pieces become whole sentences in a keyed fold (streaming.steps.sentence_out), on a stream or in a batch; all checks are columns over those sentences, joined to what
+their answer's sources state. `guarded` ranks within an answer, which Spark doesn't do on a stream, so it runs over a batch of whole answers."""
 
 from __future__ import annotations
 

@@ -197,6 +197,7 @@ def script_check(s: Script | None, row):
     return s, [(row.key, row.seq, s.verdict)]
 
 
+# Abbreviations and marks after which no sentence ends, and where sentences end.
 ABBREVIATED = re.compile(r"(?:^|[(\"'])(?:(?:rs|mr|mrs|ms|dr|vs|e\.g|i\.e|etc|approx|inc|ltd|co|st|fig|no)\.|(?:[a-z]\.){2,}|\(?\d{1,2}\.)$", re.I)
 SENTENCE_END = re.compile(r"[.!?।॥][\"'”’)»]*(?=\s)|\n")
 
