@@ -19,9 +19,9 @@ from docloom.llm.common import held_out_sql, materialize
 LEAST_SHARE = 0.3
 MARK = "_docloom"
 #: Rows of an Arrow batch on the way to Python and back: documents are long, so Spark's default of 10,000 holds much memory at once.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 #: Chunks that a packing task remembers and remainders that it holds: fewer than by default, since executors have stages behind them whose memory they keep.
-MEMO_WORDS, WAITING = 100_000, 8_000
+MEMO_WORDS, WAITING = 60_000, 4_000
 
 
 def small_batches(spark: SparkSession) -> None:
