@@ -15,6 +15,8 @@ RRF_K, PREFETCH, RERANK, MIN_SCORE = 60, 8, 5, 0.02
 QUERY_BLOCK = 4096
 #: Items that are scored at once against a block of queries.
 SLICE = 1024
+#: Scores that a task of a dense search holds at once.
+CELLS = 1 << 20
 
 
 def top_per(df: DataFrame, key: str | list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:
@@ -41,6 +43,27 @@ def first_k(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))
 
 
+def merged(score: np.ndarray, item: np.ndarray, found: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of each row of score (with items) and of found (columns: items own, ascending), best first, ties to the smaller item; -inf is none."""
+    better = np.flatnonzero((found.max(axis=1, initial=-np.inf) >= score[:, -1]) & (found > -np.inf).any(axis=1))
+    if not len(better):
+        return score, item
+    f = found[better]
+    if f.shape[1] > k:
+        # Of the scores that tie with the kth, those of the first columns count.
+        kth = np.partition(f, f.shape[1] - k, axis=1)[:, f.shape[1] - k, None]
+        over, tied = f > kth, f == kth
+        keep = over | (tied & (np.cumsum(tied, axis=1, dtype=np.int32) <= k - over.sum(axis=1)[:, None]))
+        at = np.nonzero(keep)[1].reshape(len(f), k)
+        f, items = np.take_along_axis(f, at, axis=1), own[at]
+    else:
+        items = np.broadcast_to(own, f.shape)
+    s, i = np.concatenate([score[better], f], axis=1), np.concatenate([item[better], items], axis=1)
+    best = np.lexsort((i, -s), axis=1)[:, :k]
+    score[better], item[better] = np.take_along_axis(s, best, axis=1), np.take_along_axis(i, best, axis=1)
+    return score, item
+
+
 def block_by_block(queries: DataFrame, corpus: DataFrame, key: str, block_of, search, schema: str, finish, block: int = QUERY_BLOCK) -> DataFrame:
     """search(broadcast of block_of(table)) over corpus for every block of queries, then finish(found).
 
@@ -65,10 +88,26 @@ def block_by_block(queries: DataFrame, corpus: DataFrame, key: str, block_of, se
     return spark.read.schema(result).parquet(*[f"{found}/block={b}" for b in range(n)])
 
 
+def best_items(batches: Iterator[pa.RecordBatch], ids: np.ndarray, q: np.ndarray, k: int, digits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and ids of the k items (id, vector) nearest to each unit vector of q, other than its own id, best first; at most CELLS scores are held at once."""
+    step = max(1, min(SLICE, CELLS // max(len(ids), 1)))
+    score, item = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64)
+    for batch in batches:
+        items = np.asarray(batch.column(0))
+        for first in range(0, len(items), step):
+            own, v = items[first : first + step], unit(batch.column(1).slice(first, step), q.shape[1])
+            order = np.argsort(own, kind="stable")
+            own, v = own[order], v[order]
+            found = np.round(q @ v[:, : q.shape[1]].T, digits)
+            found[ids[:, None] == own] = -np.inf
+            score, item = merged(score, item, found, own, k)
+    return score, item
+
+
 def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = PREFETCH, query_id: str = "query_id", item_id: str = "vec_id", vector: str = "embedding", digits: int = 6, block: int = QUERY_BLOCK) -> DataFrame:
     """JN-08, SO-07: for each query its k nearest items by cosine (rounded), ties to the smaller id, the query itself left out.
 
-    Queries go out in blocks of bounded size; each task multiplies a block with its rows and passes on k rows a query. Null vectors and
+    Queries go out in blocks of bounded size; each task multiplies a block with a few rows at a time, at most CELLS scores, holds the k best of each query and passes on k rows a query. Null vectors and
     those that hold nulls take no part; shorter ones count as padded with zeros.
     """
     usable = lambda df, i: df.where(F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull())).select(i, vector)
@@ -79,15 +118,9 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = PREFETCH, query_i
     def search(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, q = shared.value
-            for batch in batches:
-                own, v = np.asarray(batch.column(0)), unit(batch.column(1), q.shape[1])
-                score = np.round(v[:, : q.shape[1]] @ q.T, digits).T
-                out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-                for i, qid in enumerate(ids):
-                    rows = np.flatnonzero(own != qid)
-                    best = rows[first_k(score[i, rows], own[rows], k)]
-                    out.append((np.full(len(best), qid), own[best], score[i, best]))
-                yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=[query_id, item_id, "score"])
+            score, item = best_items(batches, ids, q, k, digits)
+            held = score > -np.inf
+            yield pa.record_batch([pa.array(np.repeat(ids, held.sum(axis=1)).astype(np.int64)), pa.array(item[held]), pa.array(score[held])], names=[query_id, item_id, "score"])
 
         return run
 

@@ -1,8 +1,10 @@
 """Searches of the core against plain versions, with odd rows and in several blocks."""
 
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,3 +68,19 @@ def test_numbering_large_groups_by_ranges(spark):
         own = sorted((r for r in rows if r[1] == key), key=lambda r: (-r[2], r[0]))
         assert [got[r[0]] for r in own] == list(range(1, len(own) + 1))
     assert shared.numbered(df.limit(0), ["k"], [F.col("id")], "place").collect() == []
+
+
+def test_dense_search_holds_few_scores_at_once():
+    rng = np.random.default_rng(4)
+    v, ids = rng.integers(-1, 2, (10_000, 8)).astype(np.float32), rng.permutation(10_000)
+    batch = pa.record_batch([pa.array(ids), pa.array(list(v), pa.list_(pa.float32()))], names=["vec_id", "embedding"])
+    full = retrieval.unit(batch.column(1))
+    tracemalloc.start()
+    score, item = retrieval.best_items(iter([batch.slice(0, 6_000), batch.slice(6_000)]), ids[:3000], full[:3000], 8, 6)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6  # all scores of the batch at once are 240 MB
+    for i in range(0, 3000, 37):
+        all_ = np.round(full @ full[i], 6)
+        best = [x for x in np.lexsort((ids, -all_)) if ids[x] != ids[i]][:8]
+        assert item[i].tolist() == ids[best].tolist() and np.allclose(score[i], all_[best])
