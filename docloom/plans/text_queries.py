@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators.catalog import fingerprint
+from ..operators.shared import stored
 from .registry import registry, table
 
 QUERIES, ORACLES, register = registry()
@@ -136,11 +137,15 @@ def jn21_edit_distance(spark, sf_dir):
 @register("""WITH w AS (SELECT p_partkey, unnest(string_split(lower(p_name), ' ')) AS t FROM part), q AS (SELECT DISTINCT p_brand AS brand, unnest(string_split(lower(p_type), ' ')) AS t FROM part)
     SELECT brand, p_partkey, count(DISTINCT t) AS shared FROM q JOIN w USING (t) GROUP BY ALL""")
 def jn18_label_overlap(spark, sf_dir):
-    """JN-18, JN-19: words of a question (here: a brand's types) against words of labels, by an equi-join on the word."""
+    """JN-18, JN-19: words of a question (here: a brand's types) against words of labels, by an equi-join on the word.
+
+    Labels are dealt by their key over a number of tasks that grows with their rows, and a label's words are made distinct before they meet the brands, so a task counts
+    the pairs of some 25,000 labels at a time, however large the file or few the row groups it came from. The brands' words are written first, so the planner knows how few they are."""
     p = table(spark, sf_dir, "part")
-    w = p.select("p_partkey", F.explode(F.split(F.lower("p_name"), " ")).alias("t"))
-    q = p.select(F.col("p_brand").alias("brand"), F.explode(F.split(F.lower("p_type"), " ")).alias("t")).distinct()
-    return q.join(w, "t").groupBy("brand", "p_partkey").agg(F.count_distinct("t").alias("shared"))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-p.count() // 25_000))
+    w = p.select("p_partkey", F.explode(F.split(F.lower("p_name"), " ")).alias("t")).repartition(tasks, "p_partkey").distinct()
+    q = stored(p.select(F.col("p_brand").alias("brand"), F.explode(F.split(F.lower("p_type"), " ")).alias("t")).distinct(), "brand-words")
+    return w.join(q, "t").groupBy("brand", "p_partkey").agg(F.count(F.lit(1)).alias("shared"))
 
 
 @register("SELECT page_id, coalesce(sha256('chunk|' || doc), '') AS point, doc AS chunk_id FROM (SELECT page_id, page_id || ':v' || (1 + page_id % 3) || ':' || lpad((page_id % 50)::VARCHAR, 4, '0') AS doc FROM pages)")

@@ -159,3 +159,15 @@ def test_names_within_one_edit_meet_by_keys(spark, tmp_path):
     want = sorted((i, j) for i, a, k in s for j, b, m in c if k == m and a is not None and b is not None and near(digits(a), digits(b)))
     assert sorted(map(tuple, found.collect())) == want
     assert "levenshtein" not in found._jdf.queryExecution().toString()
+
+
+def test_label_overlap_is_dealt_by_labels(spark, tmp_path):
+    rows = [(i % 50, " ".join(("Red", "red", "blue", "tin")[j % 4] for j in range(i % 5)), f"B{i % 3}", ("RED TIN", "BLUE blue", "x")[i % 3]) for i in range(120)] + [(None, "red", "B0", None)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    said = {b: {w for _, _, c, t in rows if c == b and t for w in t.lower().split(" ")} for b in ("B0", "B1", "B2")}
+    has = defaultdict(set)
+    for key, name, _, _ in rows:
+        has[key] |= set(name.lower().split(" "))
+    found = QUERIES["jn18_label_overlap"](spark, str(tmp_path))
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().toString()
+    assert {(r.brand, r.p_partkey): r.shared for r in found.collect()} == {(b, k): len(w & s) for b, s in said.items() for k, w in has.items() if w & s}
