@@ -35,10 +35,14 @@ def section_label(section: Column, short: bool = True) -> Column:
 
 def reference_label(filename: Column, title: Column, web: Column, start: Column, end: Column, section: Column, language: Column, short: bool = True) -> Column:
     """SC-20: a document with its page, else its section; a page of the web with its title."""
-    where = F.coalesce(F.nullif(pages_label(start, end, language, short), F.lit("")), F.nullif(section_label(section, short), F.lit("")))
-    name = F.coalesce(F.nullif(filename, F.lit("")), F.lit(UNKNOWN))
     site = F.concat_ws(" — ", F.concat(F.lit("web: "), F.coalesce(filename, F.lit(""))), F.nullif(collapsed(F.coalesce(title, F.lit(""))), F.lit("")))
-    return F.when(web, site).otherwise(F.concat_ws(", ", name, where))
+    return F.when(web, site).otherwise(document_place(filename, start, end, section_label(section, short), language, short))
+
+
+def document_place(filename: Column, start: Column, end: Column, shown_section: Column, language: Column, short: bool = True) -> Column:
+    """SC-20: a document with its page, else its section as it is shown."""
+    where = F.coalesce(F.nullif(pages_label(start, end, language, short), F.lit("")), F.nullif(shown_section, F.lit("")))
+    return F.concat_ws(", ", F.coalesce(F.nullif(filename, F.lit("")), F.lit(UNKNOWN)), where)
 
 
 def _words(text: Column) -> Column:

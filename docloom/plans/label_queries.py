@@ -21,11 +21,16 @@ PARTS = """p AS (SELECT l_orderkey, l_linenumber, p_name, p_type, l_quantity::IN
         '§ ' || section AS whole_section FROM s""")
 def sc20_reference_labels(spark, sf_dir):
     """SC-20: a line's part as a source, its quantity as the page, its return flag telling pages of the web and sources without pages."""
-    j = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    # What the part alone says is made once for each part and not for each of its lines.
+    section = L.section_of(F.array("p_type", F.lit(" "), "p_name"))
+    fixed = [L.section_label(section, short=False).alias("whole_section"), L.reference_label(F.col("p_type"), F.col("p_name"), F.lit(True), *[F.lit(None)] * 4).alias("site")]
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_type", L.section_label(section).alias("short_section"), *fixed)
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderpriority").startswith("1"), "hi").otherwise("en").alias("language"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_quantity")
+    j = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     start = F.when(F.col("l_returnflag") != "R", F.col("l_quantity").cast("int"))
-    section, language = L.section_of(F.array("p_type", F.lit(" "), "p_name")), F.when(F.col("o_orderpriority").startswith("1"), "hi").otherwise("en")
-    label = L.reference_label(F.col("p_type"), F.col("p_name"), F.col("l_returnflag") == "N", start, (F.col("l_quantity") + F.col("l_linenumber") % 3).cast("int"), section, language)
-    return j.select("l_orderkey", "l_linenumber", label.alias("label"), L.section_label(section, short=False).alias("whole_section"))
+    page = L.document_place(F.col("p_type"), start, (F.col("l_quantity") + F.col("l_linenumber") % 3).cast("int"), F.col("short_section"), F.col("language"))
+    return j.select("l_orderkey", "l_linenumber", F.when(F.col("l_returnflag") == "N", F.col("site")).otherwise(page).alias("label"), "whole_section")
 
 
 @register("""WITH f AS (SELECT doc_id, lang || '_' || source || '-report.v' || doc_id % 3 || '.pdf' AS filename, regexp_extract(text, '^[^\\n]*') AS line FROM documents), t AS (SELECT *, trim(regexp_replace(line, '[\\s\\x{00A0}\\x{200B}\\x{FEFF}]+', ' ', 'g')) AS title FROM f),

@@ -124,3 +124,8 @@ def test_fact_coverage(spark):
     chunks = [(10, "The NET rose", 1, 3), (11, "net fell", 4, None), (12, "rose. Net", None, None), (13, None, 1, 1), (14, "net rose", 3, 4)]
     got = fact_coverage(spark.createDataFrame(facts, "fact long, evidence array<string>, pages array<int>"), spark.createDataFrame(chunks, "chunk long, text string, page_start int, page_end int"))
     assert sorted(map(tuple, got.collect())) == [(1, 3, 2), (2, 4, 4), (3, 1, 0), (4, 0, 0), (5, 0, 0), (6, 0, 0), (7, 0, 0), (8, 3, 3)]
+
+
+def test_a_section_may_be_shown_already(spark):
+    df = spark.createDataFrame([("a.pdf", 2, 3, "§ x", "en"), ("a.pdf", None, None, "§ x", "en"), (None, None, None, "", "hi")], "f string, s int, e int, x string, l string")
+    assert [r[0] for r in df.select(L.document_place(*map(F.col, "fsexl"))).collect()] == ["a.pdf, pp. 2–3", "a.pdf, § x", "(unknown document)"]
