@@ -12,15 +12,17 @@ from ..functions import guard as G
 
 
 def source_facts(sources: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, unsigned, signed, allowed: how an answer's sources state their figures; each source is reduced before they meet."""
-    facts = sources.select(key, G.number_facts(F.col(text)).alias("f"), G.figures(F.col(text)).alias("figures"))
+    """key, unsigned, signed, allowed: how an answer's sources state their figures; each source is reduced before they meet.
+
+    Sources are dealt by key first, so that all cores read texts, also those of a single file."""
+    facts = sources.repartition(key).select(key, G.number_facts(F.col(text)).alias("f"), G.figures(F.col(text)).alias("figures"))
     merged = lambda c: F.array_distinct(F.flatten(F.collect_set(c)))
     return facts.groupBy(key).agg(merged("f.unsigned").alias("unsigned"), merged("f.signed").alias("signed"), merged("figures").alias("allowed"))
 
 
 def units(sources: DataFrame, key: str, text: str = "text", heading: Column | None = None) -> DataFrame:
     """key, unit, terms: evidence that states a figure (SC-36)."""
-    each = sources.select(key, F.explode(G.evidence_units(F.col(text), F.lit("") if heading is None else heading)).alias("unit"))
+    each = sources.repartition(key).select(key, F.explode(G.evidence_units(F.col(text), F.lit("") if heading is None else heading)).alias("unit"))
     return each.withColumn("terms", G.terms(F.col("unit"), stated=True)).where(F.size("terms.numbers") > 0)
 
 

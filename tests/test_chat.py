@@ -180,3 +180,14 @@ def test_not_covered(spark):
 def test_edits_in_hindi(spark):
     got = each(spark, C.parsed_edit, ["chart hata do", "सब हटा दो", "isko pie chart mein badlo", "sirf FY24 dikhao", "kitna hai"])
     assert [None if r is None else r.action for r in got] == ["remove", "clear", "kind", "only", None]
+
+
+def test_figures_of_long_texts_in_time(spark):
+    import time
+
+    from docloom.functions.guard import number_facts
+
+    df = spark.createDataFrame([("no figure " * 20_000 + "fell by 12", ), ("7 up", )] * 5, "t string").select(number_facts(F.col("t")).alias("f"))
+    began = time.time()
+    assert [(r.f.unsigned, r.f.signed) for r in df.collect()] == [([], ["12"]), (["7"], [])] * 5
+    assert time.time() - began < 20
