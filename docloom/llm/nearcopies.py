@@ -105,10 +105,12 @@ def needed(n: Column, m: Column, similarity: float) -> Column:
 
 
 def promising(pairs: DataFrame, shared: DataFrame, similarity: float) -> DataFrame:
-    """u, v: the pairs whose prefixes share enough."""
-    side = lambda k, n: shared.select(F.col("key").alias(k), F.col("size").alias(n), "h")
-    met = pairs.join(side("u", "n"), "u").join(side("v", "m"), ["v", "h"]).groupBy("u", "v").agg(F.count(F.lit(1)).alias("common"), F.first("n").alias("n"), F.first("m").alias("m"))
-    return met.where(F.col("common") >= needed(F.col("n"), F.col("m"), similarity)).select("u", "v")
+    """u, v: the pairs whose prefixes share enough. A prefix meets its pairs as one list, so that a pair is one row throughout."""
+    keys = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
+    lists = materialize(shared.join(keys, "key", "left_semi").groupBy("key").agg(F.first("size").alias("size"), F.collect_list("h").alias("prefix")), "copies-prefixes")
+    side = lambda k, n: lists.select(F.col("key").alias(k), F.col("size").alias(n), F.col("prefix").alias(f"of_{k}"))
+    met = pairs.join(side("u", "n"), "u").join(side("v", "m"), "v")
+    return met.where(F.size(F.array_intersect("of_u", "of_v")) >= needed(F.col("n"), F.col("m"), similarity)).select("u", "v")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int, similarity: float) -> DataFrame:

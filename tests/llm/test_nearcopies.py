@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -108,3 +109,26 @@ def test_stage_keeps_one_row_without_id_of_a_class(spark):
     got = cp.near_duplicates(spark, spark.createDataFrame(rows, COLUMNS), "").collect()
     assert sorted(" ".join(r.text.lower().split()) for r in got if r.doc_id is None) == ["a b c d e f", "other words of ours"]
     assert [r.text for r in got if r.doc_id == 7] == ["copy of a known row"] and len(got) == 3
+
+
+def test_pairs_meet_their_prefixes_as_single_rows(spark):
+    """The joins of pairs with prefixes make no more rows than there are pairs; which pairs pass is counted plainly."""
+    rng = random.Random(6)
+    prefixes = {k: rng.sample(range(60), 21 + k % 3) for k in range(30)}
+    sizes = {k: 5 * (len(p) - 1) for k, p in prefixes.items()}
+    pairs = [(u, v) for u in prefixes for v in prefixes if u < v]
+    shared = spark.createDataFrame([(k, sizes[k], h) for k, p in prefixes.items() for h in p], "key long, size int, h long")
+    plain = {(u, v) for u, v in pairs if len(set(prefixes[u]) & set(prefixes[v])) >= min(math.ceil(4 / 9 * (sizes[u] + sizes[v]) - 1e-9) - math.ceil(0.8 * sizes[k] - 1e-9) + 1 for k in (u, v))}
+    assert 0 < len(plain) < len(pairs)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = nearcopies.promising(spark.createDataFrame(pairs, "u long, v long"), shared, 0.8)
+        assert {(r.u, r.v) for r in got.collect()} == plain
+        nodes, made = [got._jdf.queryExecution().executedPlan()], []
+        for node in nodes:
+            nodes += [node.children().apply(i) for i in range(node.children().size())]
+            made += [node.metrics().apply("numOutputRows").value()] if "Join" in node.nodeName() else []
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert len(made) == 2 and max(made) <= len(pairs)
