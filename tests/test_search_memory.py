@@ -40,7 +40,7 @@ def with_peak(spark, run):
         del env[name]
 
 
-@pytest.mark.parametrize("name", ["ag08_recall_mrr", "so08_rerank_order"])
+@pytest.mark.parametrize("name", ["ag08_recall_mrr", "so08_rerank_order", "ag10_citation_precision"])
 def test_workers_hold_few_scores(spark, tables, name):
     found, mb = with_peak(spark, lambda: QUERIES[name](spark, tables).toArrow())
     assert mb < 260  # all scores at once are 128 MB, and more than one copy of them was held; a worker alone has 125
