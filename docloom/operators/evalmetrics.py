@@ -16,7 +16,7 @@ def ratio(a: Column, b: Column, digits: int = 6) -> Column:
     return F.round(F.try_divide(a.cast("double"), b.cast("double")), digits)
 
 
-def question_ranks(hits: DataFrame, question: str, rank: str, hit: str, found: str, k: int) -> DataFrame:
+def question_ranks(hits: DataFrame, question: str | list[str], rank: str, hit: str, found: str, k: int) -> DataFrame:
     """AG-07: per question the first hit's rank, how many distinct targets are covered within k, and success."""
     near = (F.col(rank) <= k) & F.col(hit)
     return hits.groupBy(question).agg(

@@ -26,13 +26,15 @@ def top_per(df: DataFrame, key: str | list[str], order: list[Column], k: int, na
 
 
 def unit(column: pa.ListArray, width: int = 0) -> np.ndarray:
-    """Rows scaled to unit length, short ones padded with zeros; zero vectors stay zero (SC-61)."""
+    """Rows scaled to unit length, short ones padded with zeros; zero vectors stay zero (SC-61), one that isn't finite is NaN throughout."""
     sizes = np.asarray(column.value_lengths()).astype(np.int64)
     flat, v = np.asarray(column.flatten()).astype(np.float64), np.zeros((len(column), max(width, int(sizes.max(initial=0)))))
     rows = np.repeat(np.arange(len(sizes)), sizes)
     v[rows, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
     norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
-    return np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
+    scaled = np.divide(v, norm, out=np.zeros_like(v), where=(norm > 0) & np.isfinite(norm))
+    scaled[~np.isfinite(norm[:, 0])] = np.nan
+    return scaled
 
 
 def first_k(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -89,7 +91,7 @@ def block_by_block(queries: DataFrame, corpus: DataFrame, key: str, block_of, se
 
 
 def best_items(batches: Iterator[pa.RecordBatch], ids: np.ndarray, q: np.ndarray, k: int, digits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Scores and ids of the k items (id, vector) nearest to each unit vector of q, other than its own id, best first; at most CELLS scores are held at once."""
+    """Scores and ids of the k items (id, vector) nearest to each unit vector of q, other than its own id, best first; at most CELLS scores are held at once. A score of NaN goes first, as in Spark's order, and is returned as infinite."""
     step = max(1, min(SLICE, CELLS // max(len(ids), 1)))
     score, item = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64)
     for batch in batches:
@@ -99,6 +101,7 @@ def best_items(batches: Iterator[pa.RecordBatch], ids: np.ndarray, q: np.ndarray
             order = np.argsort(own, kind="stable")
             own, v = own[order], v[order]
             found = np.round(q @ v[:, : q.shape[1]].T, digits)
+            found[np.isnan(found)] = np.inf
             found[ids[:, None] == own] = -np.inf
             score, item = merged(score, item, found, own, k)
     return score, item
@@ -108,7 +111,7 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = PREFETCH, query_i
     """JN-08, SO-07: for each query its k nearest items by cosine (rounded), ties to the smaller id, the query itself left out.
 
     Queries go out in blocks of bounded size; each task multiplies a block with a few rows at a time, at most CELLS scores, holds the k best of each query and passes on k rows a query. Null vectors and
-    those that hold nulls take no part; shorter ones count as padded with zeros.
+    those that hold nulls take no part; shorter ones count as padded with zeros; NaN, the score of one that isn't finite, is above all others.
     """
     usable = lambda df, i: df.where(F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull())).select(i, vector)
 
@@ -120,6 +123,7 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = PREFETCH, query_i
             ids, q = shared.value
             score, item = best_items(batches, ids, q, k, digits)
             held = score > -np.inf
+            score[score == np.inf] = np.nan
             yield pa.record_batch([pa.array(np.repeat(ids, held.sum(axis=1)).astype(np.int64)), pa.array(item[held]), pa.array(score[held])], names=[query_id, item_id, "score"])
 
         return run

@@ -72,16 +72,14 @@ def hits(spark, sf_dir):
 @register(f"WITH {HITS}, {PER} SELECT query_id, CAST(first_rank AS INTEGER) AS first_rank, covered, success FROM p")
 def ag07_question_ranks(spark, sf_dir):
     """AG-07: neighbours as passages, those with the query's label as targets."""
-    return E.question_ranks(hits(spark, sf_dir), "query_id", "rank", "hit", "vec_id", 5)
+    return E.question_ranks(hits(spark, sf_dir), ["query_id", "wanted"], "rank", "hit", "vec_id", 5).drop("wanted")
 
 
 @register(f"WITH {HITS}, {PER} SELECT label, count(*) AS questions, round(avg(covered / 5.0), 6) AS recall, round(avg(success::INT), 6) AS success_rate, round(avg(coalesce(1.0 / first_rank, 0)), 6) AS mrr FROM p GROUP BY 1")
 def ag08_recall_mrr(spark, sf_dir):
     """AG-08."""
-    h = hits(spark, sf_dir)
-    per = E.question_ranks(h, "query_id", "rank", "hit", "vec_id", 5).withColumn("targets", F.lit(5))
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), "label")
-    return E.macro(per.join(e, "query_id"), ["label"])
+    per = E.question_ranks(hits(spark, sf_dir), ["query_id", "wanted"], "rank", "hit", "vec_id", 5)
+    return E.macro(per.withColumn("targets", F.lit(5)).withColumnRenamed("wanted", "label"), ["label"])
 
 
 @register(f"WITH {HITS}, o AS (SELECT label, bool_or(hit AND rank = 1) AS first, avg(hit::INT) AS share FROM h GROUP BY label, query_id) SELECT label, round(avg(first::INT), 6) AS top1, round(avg(share), 6) AS precision FROM o GROUP BY 1")
