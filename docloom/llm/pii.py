@@ -40,8 +40,8 @@ NUMBER = r"(?<![A-Za-z0-9])\+?[(]?[0-9](?:[\x20().\-/ ‐-―]{0,3}[0-9]){6,}+"
 ADDRESS = rf"(?<!{LOCAL}){LOCAL}{{1,64}}+\x20?(?:@|[(\[{{](?i:at)[)\]}}]|\x20(?i:at)\x20)\x20?[A-Za-z0-9-]++(?:(?:\.|\x20?[(\[{{](?i:dot)[)\]}}]\x20?|\x20(?i:dot)\x20)[A-Za-z0-9-]++)++"
 SPELLED = r"@|(?i:[(\[{]at[)\]}]|\x20at\x20[a-z0-9-]+(?:\.|\x20dot\x20|\x20?[(\[{]dot[)\]}]))"
 KNOWN_TOP = "(?i)^(?:com|net|org|edu|gov|io|info|biz|eu|de|at|ch|uk|fr|es|it|pt|nl|be|pl|cz|se|no|dk|fi|ru|ua|us|ca|mx|br|ar|in|cn|jp|kr|au|nz|za)$"
-#: Base notation of a whole candidate, by kind.
-WRITTEN = (rf"^{LOCAL}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+\z", r"^[0-9]+(?:\.[0-9]+){3}\z", r"^[0-9](?:[\x20-]?[0-9])+\z", r"^\+[0-9][\x20().0-9-]+[0-9]\z")
+#: Base notation of a whole candidate, by kind. Possessive too: a group that may give back recurses once a repeat, and some thousand repeats overflow the stack, which ends the executor.
+WRITTEN = (rf"^{LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++\z", r"^[0-9]+(?:\.[0-9]+){3}\z", r"^[0-9](?:[\x20-]?[0-9])++\z", r"^\+[0-9][\x20().0-9-]+[0-9]\z")
 CUE = r"(?i)(?:tel|phone|call|fax|mobil|mail|contact|card|visa|master|server|host|\bip\b|address)"
 
 #: Features and how many values each has; a candidate is one of CELLS combinations.
@@ -74,8 +74,12 @@ def running(values: Column, join) -> Column:
     def joined_up(parts: Column) -> Column:
         return F.flatten(F.zip_with(parts, along(parts, lambda p: p["at"])["out"], lambda p, b: F.transform(p["out"], lambda x: join(x, b))))
 
-    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / CHUNK).cast("int")), lambda j: F.slice(values, j * CHUNK + 1, F.lit(CHUNK)))
-    return F.when(F.size(values) > 0, let(F.transform(chunks, lambda c: along(c, lambda x: x)), joined_up)).otherwise(none)
+    def over(v: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / CHUNK).cast("int")), lambda j: F.slice(v, j * CHUNK + 1, F.lit(CHUNK)))
+        return F.when(F.size(v) > 0, let(F.transform(chunks, lambda c: along(c, lambda x: x)), joined_up)).otherwise(none)
+
+    # Bound, so that the values are worked out once and not for each chunk.
+    return let(values, over)
 
 
 def matches(text: Column, pattern: str) -> Column:

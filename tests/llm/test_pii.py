@@ -206,3 +206,20 @@ def test_margins_are_those_of_the_trees():
             cell = cell * pii.FEATURES[n] + x[:, names.index(n)]
         above = score - np.array([np.inf if t is None else t for t in model.thresholds])[x[:, 0]]
         assert np.allclose(model.margins(kind)[cell[rows]], np.where(above >= 0, above, -1)[rows])
+
+
+def test_candidates_with_very_many_repeats_leave_the_stack(spark):
+    # A repeat that gives back recursed once a digit or domain part; the overflow ended the session.
+    texts = ["7" * 100_000, "7-" * 50_000 + "7", "7 " * 50_000 + "7", "a@b" + ".c" * 50_000, "a at b" + " dot c" * 20_000, "me@a.de, 4111 1111 1111 1111"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1)
+    found = {r.doc_id: [(c.kind, c.written) for c in r.c] for r in df.select("doc_id", pii.candidates(F.col("text")).alias("c")).collect()}
+    assert found == {0: [(1, False), (2, True), (3, False)], 1: [(1, False), (2, True), (3, False)], 2: [(1, False), (2, True), (3, False)], 3: [(0, True)], 4: [(0, False)], 5: [(0, True), (1, False), (2, True), (3, False)]}
+    assert pii.fit(df).thresholds == [None] * 4
+
+
+def test_running_sums_work_their_values_out_once(spark):
+    n = 64 * 500
+    values = F.transform(F.sequence(F.lit(1), F.col("id").cast("int")), lambda i: F.aggregate(F.sequence(F.lit(1), i % 50 + 1), F.lit(0), lambda a, x: a + x).cast("long"))
+    began = time.time()
+    assert spark.range(n, n + 1, 1, 1).select(F.size(pii.running(values, lambda a, x: a + x))).collect()[0][0] == n
+    assert time.time() - began < 20
