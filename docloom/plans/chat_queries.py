@@ -54,8 +54,9 @@ def sc18_table_snippet(spark, sf_dir):
 
 
 def _answers(spark, sf_dir):
-    """Per order: its lines as sources, and an answer of three sentences in pieces of a word."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("int").alias("n"), F.col("l_quantity").cast("int").alias("q"), F.format_string("%.2f", F.col("l_extendedprice").cast("double")).alias("price"))
+    """Per order: its lines as sources, dealt by order before all cores write their texts, and an answer of three sentences in pieces of a word."""
+    raw = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice").repartition("l_orderkey")
+    lines = raw.select("l_orderkey", F.col("l_linenumber").cast("int").alias("n"), F.col("l_quantity").cast("int").alias("q"), F.format_string("%.2f", F.col("l_extendedprice").cast("double")).alias("price"))
     sources = lines.select(F.col("l_orderkey").alias("key"), F.format_string("Line %d sold %d units for %s.", "n", "q", "price").alias("text"))
     each = lines.groupBy("l_orderkey").agg(F.sum("q").alias("units"), F.min(F.struct("n", "price"))["price"].alias("price"))
     text = F.concat(F.format_string("The lines sold %d units in all. The first came to -%s. ", "units", "price"), F.lit("The documents do not give the units sold for line 3."))
@@ -72,7 +73,7 @@ def st09_answer_guard(spark, sf_dir):
     """ST-09: pieces become sentences, and each is checked against what its order's lines state."""
     pieces, sources = _answers(spark, sf_dir)
     sentences = folded(pieces, "key", ["seq"], S.sentence_out, lambda: None, "key long, n long, sentence string")
-    return A.guarded(sentences, sources).select("key", "n", "action", "out")
+    return A.guarded(sentences, sources, dealt=True).select("key", "n", "action", "out")
 
 
 @register("SELECT o_orderkey, printf('%.2f', o_totalprice) || '% of it' AS text FROM orders")

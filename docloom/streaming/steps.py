@@ -199,11 +199,13 @@ def script_check(s: Script | None, row):
 
 # Abbreviations and marks after which no sentence ends, and where sentences end.
 ABBREVIATED = re.compile(r"(?:^|[(\"'])(?:(?:rs|mr|mrs|ms|dr|vs|e\.g|i\.e|etc|approx|inc|ltd|co|st|fig|no)\.|(?:[a-z]\.){2,}|\(?\d{1,2}\.)$", re.I)
-SENTENCE_END = re.compile(r"[.!?।॥][\"'”’)»]*(?=\s)|\n")
+SENTENCE_END, END_MARK = re.compile(r"[.!?।॥][\"'”’)»]*(?=\s)|\n"), re.compile(r"[.!?।॥\n]")
 
 
 def sentence_end(text: str) -> int | None:
     """ST-09: where the first whole sentence ends, or None; citation markers hold no end, nor do abbreviations, initials and list numbers."""
+    if not END_MARK.search(text):
+        return None
     plain = re.sub(r"\[[^\]]*\]", lambda m: " " * len(m[0]), text)
     for m in SENTENCE_END.finditer(plain):
         head = plain[: m.end()]

@@ -191,3 +191,29 @@ def test_figures_of_long_texts_in_time(spark):
     began = time.time()
     assert [(r.f.unsigned, r.f.signed) for r in df.collect()] == [([], ["12"]), (["7"], [])] * 5
     assert time.time() - began < 20
+
+
+def test_sentences_are_folded_once_and_sources_may_be_dealt(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for frame in frames:
+            seen.add(len(frame))
+            yield frame
+
+    said = ["It came to 5.", "The documents do not give sales.", "It fell in 2022.", "The report does not give sales in FY23."]
+    schema = "key long, n long, sentence string"
+    sentences = spark.createDataFrame([(k, i + 1, x) for k in range(20) for i, x in enumerate(said)], schema).mapInPandas(counted, schema)
+    sources = spark.createDataFrame([(k, "Sales reached 5 in FY22." if k % 2 else "Costs were 7.") for k in range(20)], "key long, text string").repartition("key")
+    for more in ({}, {"dealt": True}):
+        before = seen.value
+        got = {(r.key % 2, r.n): r.action for r in A.guarded(sentences, sources, **more).collect()}
+        assert got == {(1, 1): "released", (1, 2): "dropped", (1, 3): "released", (1, 4): "released", (0, 1): "released", (0, 2): "released", (0, 3): "released", (0, 4): "released"}
+        assert seen.value - before == 80
+
+
+def test_cut_words_still_mark_figures(spark):
+    # What stands before a figure is cut at 40 characters, which may leave a fall word of a longer one.
+    texts = ["x sundown " + "y" * 34 + " 12", "sundown 12", "a (12)", "a 12 and 0.50 and 007", "12 lessons"]
+    got = [(r.unsigned, r.signed) for r in each(spark, G.number_facts, texts)]
+    assert got == [([], ["12"]), (["12"], []), ([], ["12"]), (["12", "0.5", "7"], []), (["12"], [])]
